@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import naming, ogg
+from . import bpe, langid, naming, ogg, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,32 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(documents(spark, sf_dir)).drop("row_id")
 
 
-QUERIES = {"op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
+def fold(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learn = docs.filter((fold(4) != 2) & F.col("lang").isNotNull())
+    found = langid.identify(docs, langid.train(learn))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")).drop("ids")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
