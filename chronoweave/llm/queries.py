@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, naming, ogg, packing, quality
+from . import bpe, langid, lm, mincut, naming, ogg, packing, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(documents(spark, sf_dir), fold(7) != 2)
+    return found.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return mincut.extract(pages, mincut.train(pages))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     learn = docs.filter((fold(4) != 2) & F.col("lang").isNotNull())
@@ -52,7 +62,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """

@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Python's split() also cuts at these; a word in the sense used here may hold them.
 _NOT_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -25,7 +24,7 @@ def words(text: str) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A-Z in lower case, nothing else changed."""
-    return text.lower() if text.isascii() else text.translate(_UPPER_TO_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class Hashes(dict):
