@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, mincut, naming, ogg, packing, quality
+from . import bpe, jaccard, langid, lm, mincut, naming, ogg, packing, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(5) != 0)
@@ -62,7 +66,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
