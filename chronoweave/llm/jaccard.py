@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .components import components
 from .scratch import Scratch
 from .words import Hashes, grams, lower_ascii, mix, words
@@ -35,8 +36,6 @@ from .words import Hashes, grams, lower_ascii, mix, words
 SHINGLE = 5
 FRAGMENTS = 4
 FREQUENT = 2**31 - 1
-#: Bits of the filter that spares the shuffle of sets that nobody asks for: 16 MB, whatever the corpus.
-FILTER_BITS = 27
 
 
 def shingle_set(text: str | None, hashes: Hashes, size: int = SHINGLE) -> np.ndarray:
@@ -204,25 +203,6 @@ def _choose(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(o[take]), pa.array(t[take].astype(np.int64)), pa.array(n[take])], names=["owner", "token", "n"])
 
 
-def _filter_of(rows: DataFrame, column: str, parts: int) -> np.ndarray:
-    """A bit for each value's leading bits: built in segments by Spark, 16 MB in all."""
-    low = 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = b.column(0).to_numpy(zero_copy_only=False) >> (63 - FILTER_BITS)
-            for s in np.unique(at >> low):
-                got.setdefault(int(s), np.zeros(1 << low, bool))[at[at >> low == s] & ((1 << low) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([np.packbits(x).tobytes() for x in got.values()], pa.binary())], ["segment", "bits"])
-
-    keyed = rows.select(column).distinct().repartition(parts, F.shiftright(F.col(column), 63 - FILTER_BITS + low))
-    out = np.zeros((1 << (FILTER_BITS - low), (1 << low) // 8), np.uint8)
-    for r in keyed.mapInArrow(run, "segment long, bits binary").collect():
-        out[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
     """Second pass: id, set size and class of every row; sets of those classes that the filter lets through,
     once a batch, in fragments of the global order."""
@@ -240,8 +220,7 @@ def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
                 if c is None or c in done:
                     continue
                 done.add(c)
-                at = c >> (63 - FILTER_BITS)
-                if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                if bitfilter.passes(bits, np.array([c]))[0]:
                     t48 = s >> np.uint64(16)
                     cut = np.searchsorted(t48, np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64((1 << 48) // FRAGMENTS))
                     out += [(c, len(s), f, _pack(t48[cut[f] : cut[f + 1]])) for f in range(FRAGMENTS)]
@@ -281,7 +260,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     routed = _prefixes(source.select("text"), parts, shingle).groupBy("key").applyInArrow(_count(parts), "part int, owners binary, sizes binary, tokens binary, holders binary, df binary")
     held = scratch.save(routed.groupBy("part").applyInArrow(_choose, "owner long, token long, n long"), "held")
-    rows = scratch.save(_meta_and_sets(source, _filter_of(held, "owner", parts), shingle), "rows")
+    rows = scratch.save(_meta_and_sets(source, bitfilter.build(held.select("owner").distinct(), "owner", parts), shingle), "rows")
     wanted = held.select("owner").distinct()
     sets = scratch.save(rows.filter("fragment is not null").join(wanted, "owner", "left_semi").groupBy("owner", "fragment").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
     fits = "4 * least(m, n) >= 3 * greatest(m, n)"

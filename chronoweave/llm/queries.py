@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, mincut, naming, ogg, packing, quality
+from . import bpe, jaccard, langid, lm, mincut, naming, ogg, packing, quality, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score(documents(spark, sf_dir), fold(7) != 2)
     return found.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -66,7 +70,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
