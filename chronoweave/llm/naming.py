@@ -103,3 +103,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "groups",
     ).select("level", "name", F.col("m.doc_id").alias("keep_id"), F.col("m.row_id").alias("keep_row"), "group_size")
     return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "row_id")
+
+
+def keep_largest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, all their columns as they are."""
+    scratch = Scratch(docs.sparkSession, "distinct")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept")), "rows")
+    source = rows.select("_row", F.col(f"_kept.`{doc_id}`").alias("doc_id"), F.col(f"_kept.`{text}`").alias("text"))
+    named = name_texts(source, scratch, keep=["doc_id", "_row"])
+    order = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id"), F.col("row_id"))
+    stays = scratch.save(named.groupBy("level", "name").agg(F.max_by("_row", order).alias("_row")), "stays")
+    return rows.join(stays.select("_row"), "_row", "left_semi").select("_kept.*")
