@@ -1,0 +1 @@
+"""Column expressions and parsers that stay inside the JVM."""

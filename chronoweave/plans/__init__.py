@@ -1,0 +1 @@
+"""Queries that bind the operators to the driver's tables, and SQL for each."""
