@@ -57,7 +57,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     count = [np.add.reduceat((kind == k).view(np.uint8), starts, dtype=np.int64) for k in range(1, 9)]
     lower, upper, digit, space, plain, bang, symbol, high = count
     same = np.zeros(len(a), np.uint8)
-    same[1:] = (a[1:] == a[:-1]) & (kind[1:] != _SPACE)
+    same[1:] = (a[1:] == a[:-1]) & (kind[1:] != _SPACE) & (a[1:] != 10)
     some = np.maximum(size, 1)
     words, distinct, repeated = np.empty(len(ends)), np.empty(len(ends)), np.empty(len(ends))
     i = 0

@@ -70,9 +70,37 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_lm_score": op4_lm_score, "op7_html_mincut": op7_html_mincut, "op2_quality": op2_quality, "op10_language": op10_language, "op6_packing": op6_packing, "op8_bpe": op8_bpe, "op5_media_ogg": op5_media_ogg, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_lm_score": op4_lm_score,
+    "op5_media_ogg": op5_media_ogg,
+    "op6_packing": op6_packing,
+    "op7_html_mincut": op7_html_mincut,
+    "op8_bpe": op8_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_language": op10_language,
+}
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 ORACLE = {
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+        grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (min(a.n) + min(b.n) - count(*))),
+        sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN sym ON a = r)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE d = doc_id) AS component_id FROM sets""",
+    "op3_suffix_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        runs AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50)),
+        found AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r, count(*) OVER (PARTITION BY g) AS n FROM runs),
+        marked AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p, lag(s) OVER (PARTITION BY doc_id, r > 1 ORDER BY s) AS q FROM found WHERE n > 1),
+        -- A later run adds the words that the later run before it does not reach.
+        grown AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k, CASE WHEN r = 1 THEN 0 WHEN q IS NULL THEN 50 ELSE least(50, s - q) END AS more FROM marked)
+        SELECT doc_id, min(s) AS start_word, max(s) + 50 - min(s) AS n_words, CAST(sum(more) AS BIGINT) AS n_later FROM grown GROUP BY doc_id, k""",
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
