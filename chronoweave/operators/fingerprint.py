@@ -42,7 +42,7 @@ def offset_votes(pairs: DataFrame, offset: str, step: int = 1_000, top: int = 24
 
 def landmark_hash(first_bin: str, second_bin: str, delta_ms: str):  # noqa: ANN201
     """Two frequency bins and a time difference in steps of 50 ms in 24 bits."""
-    return F.shiftleft(F.col(first_bin).bitwiseAND(255), 16).bitwiseOR(F.shiftleft(F.col(second_bin).bitwiseAND(255), 8)).bitwiseOR(F.floor(F.col(delta_ms) / 50).cast("int").bitwiseAND(255))
+    return F.shiftleft(F.col(first_bin).bitwiseAND(255), 16).bitwiseOR(F.shiftleft(F.col(second_bin).bitwiseAND(255), 8)).bitwiseOR(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col(delta_ms) + 25) / 50))).cast("int"))
 
 
 def peaks(cells: DataFrame, key: list[str], frame: str, band: str, value: str, factor: float = 2.25, per_frame: int = 4) -> DataFrame:

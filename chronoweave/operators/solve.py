@@ -197,7 +197,9 @@ def align_pairs(source: DataFrame, target: DataFrame, key: str, order: str, vec:
         return pd.DataFrame([(key_value[0], k, *o, total) for k, o in enumerate(out)], columns=["pair", "span", "kind", "source_start", "source_end", "target_start", "target_end", "total_cost"])
 
     schema = "pair long, span long, kind string, source_start long, source_end long, target_start long, target_end long, total_cost long"
-    return source.groupBy(key).cogroup(target.groupBy(key)).applyInPandas(run, schema)
+    # Fresh columns, in case both sides come from one relation.
+    right = target.select(*[F.col(c).alias(c) for c in (key, order, vec)])
+    return source.select(key, order, vec).groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, schema)
 
 
 def match_most(cost: dict[tuple[int, int], float], n: int, m: int) -> list[tuple[int, int]]:

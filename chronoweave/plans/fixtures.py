@@ -76,3 +76,14 @@ MEDIA = Literal("media", "media_id string, role string, duration_ms long", (*((f
 MAPS = Literal("maps", "map_id string, state string, source_id string, target_id string", (("click", "confirmed", "m_click", "t1"), ("view", "confirmed", "m_view", "t1"), ("purchase", "confirmed", "m_purchase", "t3"), ("error", "candidate", "m_error", "t2")))
 FILES = Literal("files", "file_name string, source_order long", tuple((n, i) for i, n in enumerate(("第二季第1-12集.xml", "S02E03-E05.xml", "01-10.xml", "第3.2集.xml", "第十一季第7话.xml", "Show S01E09 final.xml", "第12集.xml", "random name.xml", "003、第一季08.xml", "5_1.xml", "07 - S1E2.xml", "1-90.xml", "第二十季第3集.xml"))))
 NUMBERS = Literal("numbers", "x double", ((-2.5,), (-0.5,), (0.5,), (2.5,), (1234.4999,), (99.0,)))
+SEARCHES = Literal("searches", "q string", tuple((q,) for q in ("Show S1E02", "剧名 第2季第03集", "Show 1x12 -", "第 7 话 剧", "plain words,", "E5", "")))
+PROJECTS = Literal(
+    "projects",
+    "value string",
+    (
+        ('{"schemaVersion":1,"id":"old","clips":[{"id":"c1","assetId":"a","timelineStartMs":0,"sourceInMs":0,"sourceOutMs":999,"enabled":true}]}',),
+        ('{"schemaVersion":13,"id":"new","clips":[{"id":"c2","assetId":"a","timelineStartMs":5,"sourceInMs":10,"sourceOutMs":20,"localOffsetMs":-3}],"mediaTimeMaps":[{"id":"m","state":"confirmed","sourceMediaId":"s","targetMediaId":"t","spans":[{"kind":"matched","sourceStartMs":0,"sourceEndMs":5,"targetStartMs":1,"targetEndMs":6},{"kind":"sourceOnly","sourceStartMs":5,"sourceEndMs":9,"targetStartMs":6,"targetEndMs":6}]}]}',),
+        ('{"schemaVersion":99,"id":"future","clips":[{"id":"c3"}]}',),
+        ("no json",),
+    ),
+)

@@ -159,7 +159,7 @@ ORACLE = {
     "landmark_join": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms, (user_id % 40 * 256 + item_id % 256) // 256 AS family, item_id % 256 AS b FROM items),
         s AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'click'), t AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'view')
         SELECT s.family, s.t_ms AS source_ms, t.t_ms AS target_ms, t.t_ms - s.t_ms AS offset_ms FROM s JOIN t ON s.family = t.family AND abs(s.b - t.b) <= 1 WHERE s.n <= 400 AND t.n <= 400""",
-    "landmark_hash": f"WITH {_ITEMS} SELECT item_id, user_id % 256 * 65536 + item_id % 300 % 256 * 256 + t_ms % 9000 // 50 % 256 AS h FROM items",
+    "landmark_hash": f"WITH {_ITEMS} SELECT item_id, user_id % 256 * 65536 + item_id % 300 % 256 * 256 + least(255, (t_ms % 19000 + 25) // 50) AS h FROM items",
     "spectral_peaks": f"""WITH {_FRAMES}, c AS (SELECT label, vec_id AS frame, unnest(range(0, 64)) AS band, abs(unnest(v)) AS x FROM frames),
         g AS (SELECT *, lag(x) OVER a AS a1, lead(x) OVER a AS a2, lag(x) OVER b AS b1, lead(x) OVER b AS b2, avg(x) OVER (PARTITION BY label, frame) AS m FROM c WINDOW a AS (PARTITION BY label, band ORDER BY frame), b AS (PARTITION BY label, frame ORDER BY band)),
         p AS (SELECT * FROM g WHERE x >= 2.25::DOUBLE * m AND (a1 IS NULL OR x > a1) AND (a2 IS NULL OR x > a2) AND (b1 IS NULL OR x > b1) AND (b2 IS NULL OR x > b2)),
@@ -187,3 +187,48 @@ ORACLE = {
         d AS (SELECT *, wall_ms - lag(wall_ms) OVER w AS wg, media_ms - lag(media_ms) OVER w AS mg FROM e WINDOW w AS (PARTITION BY user_id ORDER BY wall_ms)),
         s AS (SELECT user_id, CASE WHEN wg IS NULL THEN 'first' WHEN wg > 100000 THEN 'gap' WHEN mg < 0 THEN 'seekBack' WHEN mg = 0 THEN 'stalled' WHEN mg > wg * 0.0002::DOUBLE + 2 THEN 'jump' ELSE 'playing' END AS status FROM d) SELECT user_id, status, count(*) AS n FROM s GROUP BY 1, 2""",
 }
+
+_STEPS = f"""{_ITEMS}, st AS (SELECT user_id, item_id, ['matched', 'matched', 'sourceOnly', 'targetOnly', 'ambiguous'][item_id * 7 % 5 + 1] AS kind, item_id % 90 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS n FROM items),
+    steps0 AS (SELECT *, n * 10 AS source_start_ms, n * 10 + 10 AS source_end_ms, n * 20 AS target_start_ms, n * 20 + 20 AS target_end_ms, kind IN ('sourceOnly', 'targetOnly') AS gap FROM st)"""
+_GOLD = f"{_ITEMS}, sp AS (SELECT user_id AS case_id, CASE WHEN item_id % 3 = 0 THEN 'sourceOnly' ELSE 'targetOnly' END AS kind, item_id, t_ms AS a, t_ms + 5000 + item_id % 100 * 10 AS z, asset_id FROM items)"
+
+ORACLE |= {
+    "title_scores": """WITH p AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2) AS tok, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', p_name, 'E', p_partkey % 40 + p_partkey % 2)), '\\.[a-z0-9]+$', ''), '[^a-z0-9]+', ' ', 'g')) AS t, p_partkey % 2 = 0 AS found FROM part),
+        s AS (SELECT *, len(list_filter(tok, lambda x: contains(t, x))) AS h, len(tok) AS n FROM p), r AS (SELECT p_partkey, CASE WHEN h = 0 AND NOT found THEN CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE 0.35::DOUBLE END ELSE least(1.0::DOUBLE, 0.55::DOUBLE + CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE h / n END * 0.35::DOUBLE + CASE WHEN found THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) END AS score FROM s)
+        SELECT p_partkey, round(score, 6) AS score, CASE WHEN score >= 0.75::DOUBLE THEN 'positive' WHEN score >= 0.5::DOUBLE THEN 'neutral' WHEN score >= 0.25::DOUBLE THEN 'warning' ELSE 'negative' END AS state FROM r""",
+    "ladders": """WITH o AS (SELECT o_custkey, count(*) AS n, abs(CAST(floor(sum(o_totalprice)) AS BIGINT) - 2000000) AS d FROM orders GROUP BY 1)
+        SELECT o_custkey, CASE WHEN d <= 60000 OR d / 4000000 <= 0.02::DOUBLE THEN 1.0::DOUBLE WHEN d <= 300000 OR d / 4000000 <= 0.1::DOUBLE THEN 0.72::DOUBLE WHEN d <= 900000 OR d / 4000000 <= 0.25::DOUBLE THEN 0.42::DOUBLE ELSE 0.12::DOUBLE END AS duration,
+               CASE WHEN n >= 20 THEN 1.0::DOUBLE WHEN n >= 8 THEN 0.72::DOUBLE WHEN n >= 3 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS density FROM o""",
+    "search_ranking": """WITH c AS (SELECT c_custkey, lower(c_name) AS n, c_custkey % 5 AS s, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 11 END AS e, c_nationkey % 2 = 0 AS ep, c_acctbal > 0 AS d FROM customer)
+        SELECT c_custkey, CAST(CASE WHEN n = 'customer#0000' THEN 80 WHEN contains(n, 'customer#0000') THEN 40 WHEN contains('customer#0000', n) THEN 20 ELSE 0 END + CASE WHEN s = 3 THEN 30 ELSE -10 END + CASE WHEN e IS NULL THEN 0 WHEN e = 4 THEN 45 ELSE -10 END + CASE WHEN ep THEN 10 ELSE 0 END + CASE WHEN d THEN 2 ELSE 0 END AS BIGINT) AS score FROM c""",
+    "redacted_texts": "SELECT s_suppkey, 'at [hidden]' || s_name || '.mkv or [hidden]x [hidden sha-256]' AS t FROM supplier",
+    "unique_file_names": "WITH p AS (SELECT p_partkey, trim(regexp_replace(p_brand || '_' || p_type, '\\s+', ' ', 'g')) AS name, row_number() OVER (PARTITION BY lower(p_brand || '_' || p_type) ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, name, CASE WHEN n = 1 THEN name ELSE name || ' (' || n || ')' END AS unique_name FROM p",
+    "string_hashes": "SELECT c_custkey, list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: CAST(ascii(c_name[i]) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS h FROM customer",
+    "boundary_candidates": f"""WITH {_GOLD} SELECT g.case_id, g.kind, g.item_id AS gold_id, p.item_id AS predicted_id, greatest(abs(g.a - p.a), abs(g.z - p.z)) AS error_ms FROM sp g JOIN sp p ON g.case_id = p.case_id AND g.kind = p.kind
+        WHERE g.asset_id IN ('click', 'view') AND p.asset_id IN ('purchase', 'error') AND greatest(abs(g.a - p.a), abs(g.z - p.z)) <= 3600000""",
+    "occupancy_conflicts": f"""WITH {_SHORT}, o AS (SELECT user_id AS medium, event_id % 20 AS owner, event_id % 20 % 4 AS reuse, s, e FROM short)
+        SELECT a.medium, a.owner AS first_owner, b.owner AS second_owner, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap_ms FROM o a JOIN o b ON a.medium = b.medium AND a.owner < b.owner AND a.reuse <> b.reuse AND a.s < b.e AND b.s < a.e GROUP BY 1, 2, 3 HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) > 250""",
+    "anchor_interpolation": f"""WITH {_ITEMS}, k AS (SELECT user_id, t_ms, min(item_id) AS v FROM items WHERE asset_id = 'view' GROUP BY 1, 2),
+        b AS (SELECT c.item_id, c.t_ms, (SELECT max(t_ms) FROM k WHERE k.user_id = c.user_id AND k.t_ms <= c.t_ms) AS x1, (SELECT min(t_ms) FROM k WHERE k.user_id = c.user_id AND k.t_ms > c.t_ms) AS x2, c.user_id FROM items c WHERE asset_id = 'click')
+        SELECT item_id, round(coalesce(CASE WHEN x1 = b.t_ms THEN k1.v::DOUBLE ELSE k1.v + (b.t_ms - x1) / (x2 - x1) * (k2.v - k1.v) END, -1.0::DOUBLE), 4) AS y FROM b LEFT JOIN k k1 ON k1.user_id = b.user_id AND k1.t_ms = x1 LEFT JOIN k k2 ON k2.user_id = b.user_id AND k2.t_ms = x2""",
+    "calibrated_scores": f"""WITH {_ITEMS}, v AS (SELECT item_id, value / 400 AS p FROM items) SELECT item_id, round(CASE WHEN p > 1 THEN -1.0::DOUBLE WHEN p <= 0.25::DOUBLE THEN 0.1::DOUBLE + p / 0.25::DOUBLE * 0.3::DOUBLE WHEN p <= 0.6::DOUBLE THEN 0.4::DOUBLE + (p - 0.25::DOUBLE) / 0.35::DOUBLE * 0.15::DOUBLE ELSE 0.55::DOUBLE + (p - 0.6::DOUBLE) / 0.4::DOUBLE * 0.4::DOUBLE END, 6) AS p FROM v""",
+    "collapse_mixed": f"""WITH {_STEPS}, f AS (SELECT *, CASE WHEN gap AND lag(gap) OVER w THEN 0 ELSE 1 END AS fresh FROM steps0 WINDOW w AS (PARTITION BY user_id ORDER BY item_id)),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS run FROM f), m AS (SELECT *, bool_or(kind = 'sourceOnly') OVER (PARTITION BY user_id, run) AND bool_or(kind = 'targetOnly') OVER (PARTITION BY user_id, run) AS mixed FROM r)
+        SELECT user_id, min(item_id) AS item_id, CASE WHEN bool_and(mixed) THEN 'ambiguous' ELSE min(kind) END AS kind, min(source_start_ms) AS source_start_ms, max(source_end_ms) AS source_end_ms, min(target_start_ms) AS target_start_ms, max(target_end_ms) AS target_end_ms, CAST(sum(cost) AS BIGINT) AS cost FROM m GROUP BY user_id, run, CASE WHEN mixed THEN -1 ELSE item_id END""",
+    "merge_steps": f"""WITH {_STEPS}, f AS (SELECT *, CASE WHEN lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM steps0 WINDOW w AS (PARTITION BY user_id ORDER BY item_id)), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS span FROM f)
+        SELECT user_id, span, min(kind) AS kind, min(source_start_ms) AS source_start_ms, max(source_end_ms) AS source_end_ms, min(target_start_ms) AS target_start_ms, max(target_end_ms) AS target_end_ms FROM r GROUP BY 1, 2""",
+    "local_consensus": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms // 3600000 AS a, item_id % 7 * 100 // 250 AS o, item_id % 40 AS s, user_id % 30 AS t FROM items), c AS (SELECT DISTINCT asset_id, a AS cell, o AS offset_cell FROM m)
+        SELECT c.asset_id, cell, offset_cell, count(DISTINCT s) AS n_sources, count(DISTINCT t) AS n_targets FROM c JOIN m ON m.asset_id = c.asset_id AND m.a BETWEEN cell - 2 AND cell + 2 AND m.o BETWEEN offset_cell - 1 AND offset_cell + 1 GROUP BY 1, 2, 3 HAVING count(DISTINCT s) >= 3 AND count(DISTINCT t) >= 3""",
+    "best_two_margin": "WITH r AS (SELECT l_suppkey, l_extendedprice, row_number() OVER w AS r, lead(l_extendedprice) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey)) SELECT l_suppkey, l_extendedprice, coalesce(s, 0.0::DOUBLE) AS second, round(l_extendedprice - coalesce(s, 0.0::DOUBLE), 2) AS margin FROM r WHERE r = 1",
+    "region_means": f"WITH {_ITEMS}, p AS (SELECT asset_id, user_id % 32 AS x, item_id % 18 AS y, value FROM items) SELECT asset_id, (y - 2) * 2 // 12 * 4 + x * 4 // 32 AS region, round(avg(value), 6) AS mean FROM p WHERE y BETWEEN 2 AND 13 GROUP BY 1, 2",
+    "correlations": f"WITH {_FRAMES}, c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS c FROM frames) SELECT a.vec_id, round(list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)), 6) AS r FROM c a, c b WHERE b.vec_id = 0",
+    "candidate_decisions": """WITH c AS (SELECT o_orderkey AS candidate_id, ['pending', 'accepted', 'rejected', 'blocked'][o_orderkey % 4 + 1] AS state FROM orders), l AS (SELECT l_orderkey AS candidate_id, l_linenumber * 1000000 + l_partkey AS seq, min(CASE WHEN l_quantity > 25 THEN 'accepted' ELSE 'pending' END) AS t FROM lineitem GROUP BY 1, 2),
+        b AS (SELECT candidate_id, arg_max(t, seq) AS t FROM l GROUP BY 1), j AS (SELECT c.*, t, coalesce((state = 'pending' AND t IN ('accepted', 'rejected', 'blocked')) OR (state <> 'pending' AND t = 'pending'), FALSE) AS ok FROM c LEFT JOIN b USING (candidate_id))
+        SELECT candidate_id, t IS NOT NULL AND NOT ok AS refused, CASE WHEN ok THEN t ELSE state END AS state FROM j""",
+    "superseded_maps": "WITH m AS (SELECT o_orderkey AS map_id, o_custkey % 50 AS s, o_custkey % 7 AS t, o_orderkey % 100 AS revision, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'candidate' END AS state FROM orders) SELECT map_id, CASE WHEN state = 'confirmed' AND row_number() OVER (PARTITION BY s, t, state ORDER BY revision DESC, map_id) > 1 THEN 'superseded' ELSE state END AS state FROM m",
+    "shifted_spans": f"WITH {L.SPANS.cte()} SELECT map_id, span_index, kind, source_start_ms + 1000 AS source_start_ms, source_end_ms + 1000 AS source_end_ms, target_start_ms - 500 AS target_start_ms, target_end_ms - 500 AS target_end_ms FROM spans",
+    "split_span": f"""WITH {L.SPANS.cte()}, h AS (SELECT *, map_id = 'click' AND span_index = 3 AS hit, {9 * DAY + 1} AS cut_at, {8 * DAY} + (2 * CAST({9 * DAY + 1 - 7 * DAY} AS HUGEINT) * {3 * DAY} + {5 * DAY}) // {10 * DAY} AS im FROM spans),
+        p AS (SELECT map_id, kind, span_index AS i, 0 AS part, source_start_ms, CASE WHEN hit THEN cut_at ELSE source_end_ms END AS source_end_ms, target_start_ms, CASE WHEN hit THEN CAST(im AS BIGINT) ELSE target_end_ms END AS target_end_ms FROM h UNION ALL SELECT map_id, kind, span_index, 1, cut_at, source_end_ms, CAST(im AS BIGINT), target_end_ms FROM h WHERE hit)
+        SELECT map_id, kind, source_start_ms, source_end_ms, target_start_ms, target_end_ms, row_number() OVER (PARTITION BY map_id ORDER BY i, part) - 1 AS span_index FROM p""",
+    "clipped_proposal": f"WITH {_ITEMS} SELECT item_id, t_ms, least({11 * DAY}, greatest({10 * DAY}, t_ms - 3600000)) AS range_start_ms, least({11 * DAY}, greatest({10 * DAY}, t_ms + 3600000)) AS range_end_ms FROM items WHERE t_ms BETWEEN {10 * DAY} AND {11 * DAY}",
+}

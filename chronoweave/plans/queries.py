@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import episodes
 from ..functions import exprs as X
-from ..operators import fingerprint, hints, intervals, projection, quality, sequence, solve, stats, timeline, timemap
+from ..functions import text as T
+from ..operators import align, evaluate, features, fingerprint, hints, intervals, lifecycle, projection, quality, sequence, solve, stats, timeline, timemap
 from ..sources import comments, lists
+from ..sources import project as documents
 from ..streaming import stream
 from . import fixtures as L
 
@@ -359,7 +361,7 @@ def landmark_join(spark, d):
 
 @query
 def landmark_hash(spark, d):
-    m = items(spark, d).select("item_id", F.col("user_id").cast("long").alias("a"), (F.col("item_id") % 300).alias("b"), (F.col("t_ms") % 9000).alias("dt"))
+    m = items(spark, d).select("item_id", F.col("user_id").cast("long").alias("a"), (F.col("item_id") % 300).alias("b"), (F.col("t_ms") % 19000).alias("dt"))
     return m.select("item_id", fingerprint.landmark_hash("a", "b", "dt").cast("long").alias("h"))
 
 
@@ -504,3 +506,205 @@ def edit_dp(spark, d):
 def bipartite_match(spark, d):
     e = items(spark, d).select(F.col("user_id").alias("case_id"), F.lit("event").alias("kind"), F.col("item_id").alias("event_id"), "t_ms", "asset_id")
     return solve.match_events(e.filter("asset_id = 'click'"), e.filter("asset_id = 'view'"), within=3_600_000 * 8)
+
+
+@query
+def title_scores(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", (F.col("p_partkey") % 40).alias("e"))
+    tokens = F.filter(F.split(F.lower("p_name"), " "), lambda x: F.length(x) >= 2)
+    score = T.title_score(tokens, F.concat_ws(" ", "p_name", F.lit("E"), F.col("e") + F.col("p_partkey") % 2), F.col("e"))
+    return p.select("p_partkey", F.round(score, 6).alias("score"), T.state(score).alias("state"))
+
+
+@query
+def ladders(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    diff = F.floor(F.col("s")) - 2_000_000
+    return o.select("o_custkey", T.duration_score(diff, F.abs(diff) / 4_000_000).alias("duration"), T.density_score(F.col("n") * 10, F.col("n")).alias("density"))
+
+
+@query
+def search_ranking(spark, d):
+    q = F.struct(F.lit("customer#0000").alias("k"))["k"]
+    c = table(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 5).alias("season"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 11).alias("episode"), F.when(F.col("c_nationkey") % 2 == 0, "Episode").otherwise("Series").alias("kind"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("duration"))
+    score = T.search_score(q, F.lit(3), F.lit(4), F.col("c_name"), F.col("season"), F.col("episode"), F.col("kind"), F.col("duration"))
+    return c.select("c_custkey", score.cast("long").alias("score"))
+
+
+@query
+def search_parse(spark, d):
+    return L.SEARCHES.df(spark).select("q", T.search_terms(F.col("q")).alias("r")).select("q", "r.*")
+
+
+@query
+def redacted_texts(spark, d):
+    s = table(spark, d, "supplier")
+    text = F.concat(F.lit("at C:/Media/"), F.col("s_name"), F.lit(".mkv or c:\\media\\x "), F.sha2("s_name", 256))
+    return s.select("s_suppkey", T.redacted(text, ["C:/Media/"]).alias("t"))
+
+
+@query
+def unique_file_names(spark, d):
+    p = table(spark, d, "part").select("p_partkey", T.safe_file_name(F.concat_ws("/", "p_brand", "p_type")).alias("name"))
+    return T.unique_names(p, "name", ["p_partkey"])
+
+
+@query
+def string_hashes(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.string_hash(F.col("c_name")).alias("h"))
+
+
+def _predictions(spark, d):
+    e = items(spark, d).select(F.col("user_id").alias("case_id"), F.when(F.col("item_id") % 3 == 0, "sourceOnly").otherwise("targetOnly").alias("kind"), F.col("item_id").alias("span_id"), F.col("t_ms").alias("source_start_ms"), (F.col("t_ms") + 5000 + F.col("item_id") % 100 * 10).alias("source_end_ms"), F.col("t_ms").alias("target_start_ms"), (F.col("t_ms") + 9000).alias("target_end_ms"), "asset_id")
+    return e.filter("asset_id in ('click', 'view')").drop("asset_id"), e.filter("asset_id in ('purchase', 'error')").drop("asset_id")
+
+
+@query
+def boundary_candidates(spark, d):
+    gold, predicted = _predictions(spark, d)
+    return evaluate.boundary_candidates(gold, predicted, "case_id", 3_600_000)
+
+
+@query
+def occupancy_conflicts(spark, d):
+    e = _short_spans(spark, d).select(F.col("user_id").alias("medium"), (F.col("event_id") % 20).alias("owner"), "s", "e", (F.col("event_id") % 20 % 4).alias("reuse"))
+    return evaluate.occupancy_conflicts(e, "medium", "owner", "s", "e", 7_200_000, reuse="reuse")
+
+
+@query
+def anchor_interpolation(spark, d):
+    it = items(spark, d).select("item_id", F.col("user_id").alias("k"), "t_ms", "asset_id")
+    knots = it.filter("asset_id = 'view'").groupBy("k", "t_ms").agg(F.min("item_id").alias("v"))
+    pts = it.filter("asset_id = 'click'").select("item_id", "k", "t_ms")
+    out = evaluate.interpolate_between(pts, knots, ["k"], "t_ms", "t_ms", "v", 43_200_000)
+    return out.select("item_id", F.round(F.coalesce("y", F.lit(-1.0)), 4).alias("y"))
+
+
+@query
+def calibrated_scores(spark, d):
+    knots = [(0.0, 0.1), (0.25, 0.4), (0.6, 0.55), (1.0, 0.95)]
+    return items(spark, d).select("item_id", F.round(F.coalesce(evaluate.calibrated(F.col("value") / 400, knots), F.lit(-1.0)), 6).alias("p"))
+
+
+def _steps(spark, d):
+    e = items(spark, d).select("user_id", "item_id", F.element_at(F.array(*[F.lit(k) for k in ("matched", "matched", "sourceOnly", "targetOnly", "ambiguous")]), (F.col("item_id") * 7 % 5 + 1).cast("int")).alias("kind"), (F.col("item_id") % 90).alias("cost"))
+    w = Window.partitionBy("user_id").orderBy("item_id")
+    n = F.row_number().over(w).cast("long")
+    return e.withColumns({"source_start_ms": n * 10, "source_end_ms": n * 10 + 10, "target_start_ms": n * 20, "target_end_ms": n * 20 + 20})
+
+
+@query
+def collapse_mixed(spark, d):
+    return evaluate.collapse_mixed(_steps(spark, d), ["user_id"], "item_id")
+
+
+@query
+def merge_steps(spark, d):
+    return evaluate.merge_steps(_steps(spark, d), ["user_id"], "item_id").withColumn("span", F.col("span").cast("long"))
+
+
+@query
+def local_consensus(spark, d):
+    m = items(spark, d).select("asset_id", "t_ms", (F.col("item_id") % 7 * 100).alias("off"), (F.col("item_id") % 40).alias("s"), (F.col("user_id") % 30).alias("t"))
+    return evaluate.local_consensus(m, ["asset_id"], "t_ms", "off", "s", "t", cell_ms=3_600_000)
+
+
+@query
+def best_two_margin(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    return evaluate.best_two(li, ["l_suppkey"], "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "l_extendedprice", F.coalesce("second", F.lit(0.0)).alias("second"), F.round("margin", 2).alias("margin"))
+
+
+@query
+def region_means(spark, d):
+    px = items(spark, d).select("asset_id", (F.col("user_id") % 32).alias("x"), (F.col("item_id") % 18).alias("y"), "value")
+    return features.region_means(px, ["asset_id"], "x", "y", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query
+def bounded_family_sample(spark, d):
+    m = _landmarks(spark, d).select("asset_id", "time_ms", F.col("hash"), "item_id")
+    return features.bounded_sample(m, ["asset_id"], 8).select("item_id", "asset_id", "family", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query
+def correlations(spark, d):
+    f = _frames(spark, d)
+    ref = f.filter("vec_id = 0").select(F.col("v").alias("ref"))
+    return f.crossJoin(F.broadcast(ref)).select("vec_id", F.round(features.correlation("v", "ref"), 6).alias("r"))  # one row
+
+
+@query
+def fine_features(spark, d):
+    """Embeddings as 64 samples: loudness, crossings and bands of each."""
+    f = _frames(spark, d).select("vec_id", F.transform("v", lambda x: F.floor(x * 30_000).cast("int")).alias("samples"))
+    return features.frame_features(f, rate=4_000).select("vec_id", F.posexplode("features").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query
+def dense_match(spark, d):
+    f = _frames(spark, d).select(F.col("label").cast("long").alias("pair"), "t", "v")
+    return align.match_sequences(f, f.filter("t % 1500 != 0"), "pair", "t", "v").withColumn("distance", F.round("distance", 6))
+
+
+@query
+def dense_match_cuts(spark, d):
+    f = _frames(spark, d).select(F.col("label").cast("long").alias("pair"), "t", "v")
+    src = f.withColumn("t", F.when(F.col("t") > 100_000, F.col("t") - 20_000).otherwise(F.col("t")))
+    return align.cuts(align.match_sequences(f, src, "pair", "t", "v"))
+
+
+@query
+def sparse_match(spark, d):
+    f = _frames(spark, d)
+    pairs = fingerprint.hash_join(f.filter("vec_id % 2 = 0"), f.filter("vec_id % 2 = 1"), "v", "t", "vec_id", dims=2, steps=4, threshold=0.2)
+    c = pairs.select((F.col("source_id") % 4).alias("pair"), F.col("source_id").alias("source_index"), F.col("target_id").alias("complete_index"), (F.col("target_t") - F.col("source_t")).alias("offset_ms"), "distance")
+    return align.sparse_matches(c, "pair", 0.2, 10_000)
+
+
+@query
+def affine_hypotheses(spark, d):
+    e = items(spark, d).select("user_id", "item_id")
+    m = e.select((F.col("user_id") % 10).alias("pair"), (F.col("item_id") * 700).alias("source_ms"), F.when(F.col("item_id") % 3 != 0, F.floor(F.col("item_id") * 700 * 1.01 + 5000 + F.col("item_id") % 50)).otherwise(F.col("item_id") * 31 % 9973 * 500).alias("target_ms"))
+    return align.affine_hypotheses(m.filter("source_ms < 2000000"), "pair")
+
+
+@query
+def project_documents(spark, d):
+    p = documents.parse(L.PROJECTS.df(spark))
+    return documents.clips(p).select("project_id", "clip_id", "source_in_ms", "source_out_ms", "local_offset_ms", "enabled")
+
+
+@query
+def project_spans(spark, d):
+    return documents.spans(documents.parse(L.PROJECTS.df(spark)))
+
+
+@query
+def candidate_decisions(spark, d):
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.element_at(F.array(*[F.lit(x) for x in ("pending", "accepted", "rejected", "blocked")]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("state"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_quantity") > 25, "accepted").otherwise("pending").alias("to_state"))
+    first = li.groupBy("candidate_id", "seq").agg(F.min("to_state").alias("to_state"))
+    return lifecycle.decide(c, first)
+
+
+@query
+def superseded_maps(spark, d):
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("map_id"), (F.col("o_custkey") % 50).alias("source_id"), (F.col("o_custkey") % 7).alias("target_id"), (F.col("o_orderkey") % 100).alias("revision"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("candidate").alias("state"))
+    return lifecycle.supersede(m).select("map_id", "state")
+
+
+@query
+def shifted_spans(spark, d):
+    return lifecycle.shift(L.SPANS.df(spark), F.lit(1000), F.lit(-500))
+
+
+@query
+def split_span(spark, d):
+    return lifecycle.split_span(L.SPANS.df(spark), "click", 3, 9 * L.DAY + 1).withColumn("span_index", F.col("span_index").cast("long"))
+
+
+@query
+def clipped_proposal(spark, d):
+    e = items(spark, d).select("item_id", "t_ms", (F.col("t_ms") - 3_600_000).alias("range_start_ms"), (F.col("t_ms") + 3_600_000).alias("range_end_ms"))
+    return lifecycle.clip_proposal(e, "t_ms", 10 * L.DAY, 11 * L.DAY)
