@@ -6,11 +6,12 @@ A pair's overlap is counted in each fragment apart, and the partial counts are s
 Which pairs are counted at all follows from prefixes, without loss:
 
 1. Sets that are equal form one class; only classes are joined.
-2. In the order of hashes, two linked sets of sizes m and n have at least k = min(m, n) / 16 shingles in common
-   among the first n - ceil(3n/4) + n/16 of each (the prefix). Only prefixes are shuffled.
-3. Each prefix shingle's number of classes is counted. Within a prefix, rarest first, linked sets also share
-   one of the first (prefix length - k + 1). A shingle that one class alone has links nothing, so a text with
-   enough of its own is done here.
+2. In the order of hashes, two linked sets of sizes m and n have at least k = min(m, n) / 8 shingles in common
+   among the first n - ceil(3n/4) + n/8 of each (the prefix). Only prefixes are shuffled. Each prefix shingle's
+   number of classes is counted. Rarest first, linked sets also share one of the first (prefix length - k + 1). A
+   shingle that one class alone has links nothing, so a text with enough of its own is done here.
+3. The whole sets of what is left are counted in the same way, where k is 1: rarest first, linked sets share one
+   of their first n - ceil(3n/4) + 1 shingles. Few texts but real candidates have one there that is not their own.
 4. Classes that share such a shingle are first compared with one of them (the pivot) only; linked ones fall
    into components. Just those pairs that share a shingle and still lie in different components are counted
    too. So a group of thousands of near copies costs about one comparison each, and no link is lost.
@@ -55,12 +56,12 @@ def needed(n: int) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - needed(n) + max(1, n // 16)
+    return n - needed(n) + max(1, n // 8)
 
 
 def rare_length(n: int) -> int:
     """Rarest shingles of a prefix among which linked sets share one."""
-    return prefix_length(n) - max(1, needed(n) // 16) + 1
+    return prefix_length(n) - max(1, needed(n) // 8) + 1
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -87,9 +88,39 @@ def _routes(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], _ROUTE_NAMES)
 
 
+def _dealt(owners: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, holders: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A batch's shingles. Rows for shingles go to the part that counts those (key >= 0); frequent ones leave a
+    note there, and their holders' rows go to the holders' own part. holders: which owner each token is of."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, holders = tokens[order], holders[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    times = np.diff(np.append(first, len(tokens)))
+    often = times >= max(64, len(owners) // 100)
+    common = np.repeat(often, times)
+    key = (tokens >> np.uint64(24)).astype(np.int64) % parts
+    out = []
+
+    def rows(mask: np.ndarray, by: np.ndarray, name, frequent: bool) -> None:  # noqa: ANN001
+        k = np.flatnonzero(mask)
+        k = k[np.argsort(by[k], kind="stable")]
+        cut = np.searchsorted(by[k], np.arange(parts + 1))
+        for p in range(parts):
+            at = k[cut[p] : cut[p + 1]]
+            if len(at):
+                who, local = np.unique(holders[at], return_inverse=True)
+                out.append(_route(name(p), frequent, owners[who], sizes[who], tokens[at], local))
+
+    rows(~common, key, lambda p: p, False)
+    notes, where = tokens[first[often]], key[first[often]]
+    for p in np.unique(where):
+        out.append(_route(int(p), True, owners[:0], sizes[:0], notes[where == p], holders[:0]))
+    if common.any():
+        rows(common, owners[holders] % parts, lambda p: -1 - p, True)
+    return _routes(out)
+
+
 def _prefixes(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """Prefixes of each batch's classes. Rows for shingles go to the part that counts those (key >= 0); frequent
-    ones leave a note there, and their holders' rows go to the holders' own part."""
+    """Prefixes of each batch's classes, dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -99,43 +130,26 @@ def _prefixes(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 s = shingle_set(t.as_py(), hashes, size)
                 if len(s):
                     sets.setdefault(class_print(s), s)
-            if not sets:
-                continue
-            owners = np.array(list(sets), np.int64)
-            sizes = np.array([len(s) for s in sets.values()])
-            pieces = [s[: prefix_length(len(s))] >> np.uint64(16) for s in sets.values()]
-            tokens = np.concatenate(pieces)
-            holders = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-            order = np.argsort(tokens, kind="stable")
-            tokens, holders = tokens[order], holders[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            times = np.diff(np.append(first, len(tokens)))
-            often = times >= max(32, len(owners) // 100)
-            out = []
-            common = np.repeat(often, times)
-            key = (tokens >> np.uint64(24)).astype(np.int64) % parts
-            for mask in (~common,):
-                k = np.argsort(key[mask], kind="stable")
-                cut = np.searchsorted(key[mask][k], np.arange(parts + 1))
-                for p in range(parts):
-                    at = k[cut[p] : cut[p + 1]]
-                    if len(at):
-                        who, local = np.unique(holders[mask][at], return_inverse=True)
-                        out.append(_route(p, False, owners[who], sizes[who], tokens[mask][at], local))
-            notes = tokens[first[often]]
-            for p in np.unique(key[first[often]]):
-                out.append(_route(int(p), True, owners[:0], sizes[:0], notes[key[first[often]] == p], holders[:0]))
-            if common.any():
-                own = owners[holders[common]] % parts
-                for p in np.unique(own):
-                    at = np.flatnonzero(common)[own == p]
-                    who, local = np.unique(holders[at], return_inverse=True)
-                    out.append(_route(-1 - int(p), True, owners[who], sizes[who], tokens[at], local))
-            yield _routes(out)
+            if sets:
+                pieces = [s[: prefix_length(len(s))] >> np.uint64(16) for s in sets.values()]
+                yield _dealt(np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()]), np.concatenate(pieces), np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]), parts)
 
     return docs.mapInArrow(run, _ROUTE)
 
 
+def _whole(sets: DataFrame, parts: int) -> DataFrame:
+    """All shingles of the sets' rows, dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pieces = [_unpack(x.as_py()) for x in b.column(2)]
+            owners, first, local = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)
+            if sum(map(len, pieces)):
+                yield _dealt(owners, b.column(1).to_numpy()[first], np.concatenate(pieces), np.repeat(local, [len(p) for p in pieces]), parts)
+
+    return sets.select("owner", "n", "tokens").mapInArrow(run, _ROUTE)
+
+
 def _count(parts: int):  # noqa: ANN202
     """For a part of the shingles: how many classes hold each; rows for the holders of shared ones, by holder."""
 
@@ -180,8 +194,9 @@ def _count(parts: int):  # noqa: ANN202
     return run
 
 
-def _choose(table: pa.Table) -> pa.Table:
-    """For a part of the classes: each one's rarest prefix shingles that another class has too, as far as needed."""
+def _rarest(table: pa.Table, extra) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """For a part of the classes: (class, shingle, size) of each one's rarest shingles that another class has too, as
+    far as needed. extra(n): how many of a set's dealt shingles need not be looked at, rarest first."""
     tokens, owners, sizes, counts = [], [], [], []
     for r in table.to_pylist():
         local = np.frombuffer(r["holders"], np.uint16)
@@ -197,10 +212,20 @@ def _choose(table: pa.Table) -> pa.Table:
     t, o, n = t[keep], o[keep], n[keep]
     first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
     shared = np.diff(np.append(first, len(t)))
-    most = np.array([rare_length(int(x)) - prefix_length(int(x)) for x in n[first]]) + shared  # rare_length less the unique ones
-    rank = np.arange(len(t)) - np.repeat(first, shared)
-    take = rank < np.repeat(most, shared)
-    return pa.Table.from_arrays([pa.array(o[take]), pa.array(t[take].astype(np.int64)), pa.array(n[take])], names=["owner", "token", "n"])
+    # Those that no other class has come before all of these.
+    most = shared - np.array([extra(int(x)) for x in n[first]])
+    take = np.arange(len(t)) - np.repeat(first, shared) < np.repeat(most, shared)
+    return o[take], t[take], n[take]
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    o, _, _ = _rarest(table, lambda n: prefix_length(n) - rare_length(n))
+    return pa.Table.from_arrays([pa.array(np.unique(o))], names=["owner"])
+
+
+def _choose(table: pa.Table) -> pa.Table:
+    o, t, n = _rarest(table, lambda n: needed(n) - 1)
+    return pa.Table.from_arrays([pa.array(o), pa.array(t.astype(np.int64)), pa.array(n)], names=["owner", "token", "n"])
 
 
 def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
@@ -258,11 +283,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    routed = _prefixes(source.select("text"), parts, shingle).groupBy("key").applyInArrow(_count(parts), "part int, owners binary, sizes binary, tokens binary, holders binary, df binary")
+    counted = "part int, owners binary, sizes binary, tokens binary, holders binary, df binary"
+    routed = _prefixes(source.select("text"), parts, shingle).groupBy("key").applyInArrow(_count(parts), counted)
+    maybe = scratch.save(routed.groupBy("part").applyInArrow(_candidates, "owner long"), "maybe")
+    rows = scratch.save(_meta_and_sets(source, bitfilter.build(maybe, "owner", parts), shingle), "rows")
+    sets = scratch.save(rows.filter("fragment is not null").join(maybe, "owner", "left_semi").groupBy("owner", "fragment").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    routed = _whole(sets, parts).groupBy("key").applyInArrow(_count(parts), counted)
     held = scratch.save(routed.groupBy("part").applyInArrow(_choose, "owner long, token long, n long"), "held")
-    rows = scratch.save(_meta_and_sets(source, bitfilter.build(held.select("owner").distinct(), "owner", parts), shingle), "rows")
     wanted = held.select("owner").distinct()
-    sets = scratch.save(rows.filter("fragment is not null").join(wanted, "owner", "left_semi").groupBy("owner", "fragment").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
     fits = "4 * least(m, n) >= 3 * greatest(m, n)"
 
     # One pivot for each shingle and size class; linked sets lie in the same or adjacent size classes.
@@ -297,16 +325,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 pairs = x.join(y, "token").filter("la < lb and " + fits).select("a", "b").distinct()
             if done is not None:
                 pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        counted = scratch.save(count_overlaps(scratch.save(pairs, f"pairs{turn}"), sets), f"counted{turn}")
+        pairs = scratch.save(pairs, f"pairs{turn}")
+        if turn and not pairs.head(1):
+            continue
+        counted = scratch.save(count_overlaps(pairs, sets), f"counted{turn}")
         seen = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         done = seen if turn == 0 else done.union(seen)
         size = sets.filter("fragment = 0").select(F.col("owner"), "n")
-        new = (
+        new = scratch.save(
             counted.join(size.withColumnRenamed("n", "m").withColumnRenamed("owner", "a"), "a")
             .join(size.withColumnRenamed("owner", "b"), "b")
             .filter("100 * common >= 75 * (m + n - common)")
-            .select("a", "b")
+            .select("a", "b"),
+            f"links{turn}",
         )
+        if turn and not new.head(1):
+            continue
         links = new if links is None else links.union(new)
         labels = components(links, scratch, f"labels{turn}")
     meta = rows.filter("fragment is null").select("doc_id", "n", "owner")
