@@ -12,9 +12,11 @@ Which pairs are counted at all follows from prefixes, without loss:
    shingle that one class alone has links nothing, so a text with enough of its own is done here.
 3. The whole sets of what is left are counted in the same way, where k is 1: rarest first, linked sets share one
    of their first n - ceil(3n/4) + 1 shingles. Few texts but real candidates have one there that is not their own.
-4. Classes that share such a shingle are first compared with one of them (the pivot) only; linked ones fall
-   into components. Just those pairs that share a shingle and still lie in different components are counted
-   too. So a group of thousands of near copies costs about one comparison each, and no link is lost.
+4. Classes that share such a shingle are first compared with one of them (the pivot: the one with the fewest shingles
+   of its own) only; linked ones fall into components. Of the pairs that still lie in different components, those
+   are counted that can be linked at all: two sets have in common at most what both have in common with the pivot and
+   what both have besides it and their own. So a group of thousands of near copies costs about one comparison each,
+   and no link is lost.
 
 A shingle that a hundredth of a batch of documents holds is named frequent where it is met, so its holders
 never gather in one task. Fingerprints of sets have 64 bits, shingles 48 within a comparison.
@@ -194,8 +196,8 @@ def _count(parts: int):  # noqa: ANN202
     return run
 
 
-def _rarest(table: pa.Table, extra) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """For a part of the classes: (class, shingle, size) of each one's rarest shingles that another class has too, as
+def _rarest(table: pa.Table, extra) -> tuple[np.ndarray, ...]:  # noqa: ANN001
+    """For a part of the classes: (class, shingle, size, shared shingles) of each one's rarest shingles that another class has too, as
     far as needed. extra(n): how many of a set's dealt shingles need not be looked at, rarest first."""
     tokens, owners, sizes, counts = [], [], [], []
     for r in table.to_pylist():
@@ -215,17 +217,17 @@ def _rarest(table: pa.Table, extra) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     # Those that no other class has come before all of these.
     most = shared - np.array([extra(int(x)) for x in n[first]])
     take = np.arange(len(t)) - np.repeat(first, shared) < np.repeat(most, shared)
-    return o[take], t[take], n[take]
+    return o[take], t[take], n[take], np.repeat(shared, shared)[take]
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    o, _, _ = _rarest(table, lambda n: prefix_length(n) - rare_length(n))
+    o, *_ = _rarest(table, lambda n: prefix_length(n) - rare_length(n))
     return pa.Table.from_arrays([pa.array(np.unique(o))], names=["owner"])
 
 
 def _choose(table: pa.Table) -> pa.Table:
-    o, t, n = _rarest(table, lambda n: needed(n) - 1)
-    return pa.Table.from_arrays([pa.array(o), pa.array(t.astype(np.int64)), pa.array(n)], names=["owner", "token", "n"])
+    o, t, n, shared = _rarest(table, lambda n: needed(n) - 1)
+    return pa.Table.from_arrays([pa.array(o), pa.array(t.astype(np.int64)), pa.array(n), pa.array(n - shared)], names=["owner", "token", "n", "u"])
 
 
 def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
@@ -289,14 +291,16 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = scratch.save(_meta_and_sets(source, bitfilter.build(maybe, "owner", parts), shingle), "rows")
     sets = scratch.save(rows.filter("fragment is not null").join(maybe, "owner", "left_semi").groupBy("owner", "fragment").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
     routed = _whole(sets, parts).groupBy("key").applyInArrow(_count(parts), counted)
-    held = scratch.save(routed.groupBy("part").applyInArrow(_choose, "owner long, token long, n long"), "held")
+    held = scratch.save(routed.groupBy("part").applyInArrow(_choose, "owner long, token long, n long, u long"), "held")
     wanted = held.select("owner").distinct()
-    fits = "4 * least(m, n) >= 3 * greatest(m, n)"
+    # Linked sets differ in (m + n) / 7 shingles at most, and in all of those that no other class has.
+    fits = "4 * least(m, n) >= 3 * greatest(m, n) and 7 * (u + v) <= m + n"
 
-    # One pivot for each shingle and size class; linked sets lie in the same or adjacent size classes.
+    # One pivot for each shingle and size class, the one with the fewest shingles of its own: near copies of a text
+    # are nearer to it than to each other; linked sets lie in the same or adjacent size classes.
     step = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     sized = held.withColumn("step", step)
-    pivots = scratch.save(sized.groupBy("token", "step").agg(F.min(F.struct("owner", "n")).alias("p")).select("token", "step", F.col("p.owner").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    pivots = scratch.save(sized.groupBy("token", "step").agg(F.min(F.struct("u", "owner", "n")).alias("p")).select("token", "step", F.col("p.owner").alias("pivot"), F.col("p.n").alias("m"), F.col("p.u").alias("v")), "pivots")
     stars = scratch.save(
         sized.join(pivots, ["token", "step"])
         .filter("owner != pivot and " + fits)
@@ -304,45 +308,38 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .agg(F.count("*").alias("times")),
         "stars",
     )
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = done = None
-    labels = None
-    for turn in range(3):
-        if turn == 0:
-            pairs = best
-        else:
-            named = scratch.save(wanted.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("owner", F.coalesce("label", "owner").alias("label")), f"named{turn}")
-            one, two = named.select(F.col("owner").alias("a"), F.col("label").alias("la")), named.select(F.col("owner").alias("b"), F.col("label").alias("lb"))
-            if turn == 1:
-                pairs = stars.join(one, "a").join(two, "b").filter("la != lb").select("a", "b")
-            else:
-                # Shingles whose holders are all in one component by now have nothing left to say.
-                mine = sized.join(named, "owner")
-                open_ = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("token")
-                left = scratch.save(mine.join(open_, "token", "left_semi").select("token", "owner", "n", "label"), "open")
-                x = left.select("token", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-                y = left.select("token", F.col("owner").alias("b"), "n", F.col("label").alias("lb"))
-                pairs = x.join(y, "token").filter("la < lb and " + fits).select("a", "b").distinct()
-            if done is not None:
-                pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        if turn and not pairs.head(1):
-            continue
-        counted = scratch.save(count_overlaps(pairs, sets), f"counted{turn}")
-        seen = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        done = seen if turn == 0 else done.union(seen)
-        size = sets.filter("fragment = 0").select(F.col("owner"), "n")
-        new = scratch.save(
-            counted.join(size.withColumnRenamed("n", "m").withColumnRenamed("owner", "a"), "a")
-            .join(size.withColumnRenamed("owner", "b"), "b")
-            .filter("100 * common >= 75 * (m + n - common)")
-            .select("a", "b"),
-            f"links{turn}",
-        )
-        if turn and not new.head(1):
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links, scratch, f"labels{turn}")
+    size = sets.filter("fragment = 0").select("owner", "n")
+
+    def counted_links(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        counted = scratch.save(count_overlaps(pairs, sets), f"counted-{name}")
+        sized_pairs = counted.join(size.select(F.col("owner").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("owner").alias("b"), "n"), "b")
+        return counted, scratch.save(sized_pairs.filter("100 * common >= 75 * (m + n - common)").select("a", "b"), f"links-{name}")
+
+    counted, links = counted_links(stars.select("a", "b"), "stars")
+    labels = components(links, scratch, "labels")
+    named = scratch.save(wanted.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("owner", F.coalesce("label", "owner").alias("label")), "named")
+    mine = sized.join(named, "owner")
+    # Shingles whose holders are all in one component by now have nothing left to say.
+    several = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("token")
+    to_pivot = counted.select(F.col("a").alias("owner"), F.col("b").alias("pivot"), F.col("common").alias("c"))
+    held_by = mine.join(several, "token", "left_semi").join(pivots.select("token", "step", "pivot"), ["token", "step"]).join(to_pivot, ["owner", "pivot"], "left")
+    # c: overlap with the pivot. Out of both: what neither the pivot nor the class alone has. Without c (sizes or own
+    # shingles already forbid a link with the pivot) nothing is known.
+    c = F.when(F.col("owner") == F.col("pivot"), F.col("n")).otherwise(F.col("c"))
+    open_ = scratch.save(held_by.withColumn("c", F.coalesce(c, "n")).withColumn("o", F.when(c.isNull(), F.col("n")).otherwise(F.col("n") - F.col("c") - F.col("u"))).select("token", "step", "owner", "n", "u", "label", "c", "o"), "open")
+    # Two sets of one pivot have in common what both have of the pivot at most, and of the rest what both could share.
+    least_needed = "ceil(3 * (n + ceil(3 * n / 4)) / 7)"
+    alive = open_.filter(f"c + o >= {least_needed}")
+    x = alive.select("token", "step", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"))
+    y = alive.select("token", "step", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"))
+    same = x.join(y, ["token", "step"]).filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").select("a", "b")
+    next_ = x.join(y.withColumn("step", F.col("step") + 1), ["token", "step"]).filter("la != lb and " + fits).select("a", "b")
+    order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = scratch.save(order(same.union(next_)).join(order(counted), ["a", "b"], "left_anti"), "pairs")
+    if pairs.head(1):
+        _, more = counted_links(pairs, "rest")
+        if more.head(1):
+            labels = components(links.union(more), scratch, "labels-all")
     meta = rows.filter("fragment is null").select("doc_id", "n", "owner")
     # Without a label of its own, a class is its own component.
     full = scratch.save(meta.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("doc_id", "n", F.coalesce("label", "owner").alias("label")), "full")
