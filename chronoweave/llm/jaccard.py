@@ -38,6 +38,8 @@ from .words import Hashes, grams, lower_ascii, mix, words
 
 SHINGLE = 5
 FRAGMENTS = 4
+#: Documents that a task holds the sets of at a time.
+BATCH = 4000
 FREQUENT = 2**31 - 1
 
 
@@ -126,7 +128,7 @@ def _prefixes(docs: DataFrame, parts: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for b in batches:
+        for b in (w.slice(i, BATCH) for w in batches for i in range(0, w.num_rows, BATCH)):
             sets = {}
             for t in b.column(0):
                 s = shingle_set(t.as_py(), hashes, size)
@@ -237,7 +239,7 @@ def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = Hashes(), shared.value
-        for b in batches:
+        for b in (w.slice(i, BATCH) for w in batches for i in range(0, w.num_rows, BATCH)):
             n, owner, out, done = [], [], [], set()
             for t in b.column(1):
                 s = shingle_set(t.as_py(), hashes, size)
@@ -301,13 +303,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     step = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     sized = held.withColumn("step", step)
     pivots = scratch.save(sized.groupBy("token", "step").agg(F.min(F.struct("u", "owner", "n")).alias("p")).select("token", "step", F.col("p.owner").alias("pivot"), F.col("p.n").alias("m"), F.col("p.u").alias("v")), "pivots")
-    stars = scratch.save(
-        sized.join(pivots, ["token", "step"])
-        .filter("owner != pivot and " + fits)
-        .groupBy(F.col("owner").alias("a"), F.col("pivot").alias("b"))
-        .agg(F.count("*").alias("times")),
-        "stars",
-    )
+    members = scratch.save(sized.join(pivots, ["token", "step"]).select("owner", "n", "u", "pivot", "m", "v").distinct(), "members")
+    stars = members.filter("owner != pivot and " + fits).select(F.col("owner").alias("a"), F.col("pivot").alias("b"))
     size = sets.filter("fragment = 0").select("owner", "n")
 
     def counted_links(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -315,25 +312,26 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sized_pairs = counted.join(size.select(F.col("owner").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("owner").alias("b"), "n"), "b")
         return counted, scratch.save(sized_pairs.filter("100 * common >= 75 * (m + n - common)").select("a", "b"), f"links-{name}")
 
-    counted, links = counted_links(stars.select("a", "b"), "stars")
+    counted, links = counted_links(stars, "stars")
     labels = components(links, scratch, "labels")
-    named = scratch.save(wanted.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("owner", F.coalesce("label", "owner").alias("label")), "named")
-    mine = sized.join(named, "owner")
-    # Shingles whose holders are all in one component by now have nothing left to say.
-    several = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("token")
-    to_pivot = counted.select(F.col("a").alias("owner"), F.col("b").alias("pivot"), F.col("common").alias("c"))
-    held_by = mine.join(several, "token", "left_semi").join(pivots.select("token", "step", "pivot"), ["token", "step"]).join(to_pivot, ["owner", "pivot"], "left")
-    # c: overlap with the pivot. Out of both: what neither the pivot nor the class alone has. Without c (sizes or own
-    # shingles already forbid a link with the pivot) nothing is known.
+    named = labels.withColumnRenamed("node", "owner")
+    # c: overlap with the pivot; o: what a class shares with others besides. Where sizes or own shingles already forbid
+    # a link with the pivot, neither is known.
+    known = counted.select(F.col("a").alias("owner"), F.col("b").alias("pivot"), F.col("common").alias("c"))
     c = F.when(F.col("owner") == F.col("pivot"), F.col("n")).otherwise(F.col("c"))
-    open_ = scratch.save(held_by.withColumn("c", F.coalesce(c, "n")).withColumn("o", F.when(c.isNull(), F.col("n")).otherwise(F.col("n") - F.col("c") - F.col("u"))).select("token", "step", "owner", "n", "u", "label", "c", "o"), "open")
-    # Two sets of one pivot have in common what both have of the pivot at most, and of the rest what both could share.
-    least_needed = "ceil(3 * (n + ceil(3 * n / 4)) / 7)"
-    alive = open_.filter(f"c + o >= {least_needed}")
-    x = alive.select("token", "step", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"))
-    y = alive.select("token", "step", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"))
-    same = x.join(y, ["token", "step"]).filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").select("a", "b")
-    next_ = x.join(y.withColumn("step", F.col("step") + 1), ["token", "step"]).filter("la != lb and " + fits).select("a", "b")
+    around = members.select("owner", "n", "u", "pivot").join(known, ["owner", "pivot"], "left").join(named, "owner", "left").select("owner", "n", "u", "pivot", F.coalesce("label", "owner").alias("label"), F.coalesce(c, "n").alias("c"), F.when(c.isNull(), F.col("n")).otherwise(F.col("n") - c - F.col("u")).alias("o"))
+    around = scratch.save(around, "around")
+    # Pivots whose classes are all in one component by now have nothing left to say among themselves.
+    several = around.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("pivot")
+    x = around.select("pivot", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"))
+    y = around.select("pivot", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"))
+    # Classes that share a shingle and a size class share its pivot. Two sets have in common what both have of the
+    # pivot at most, and of the rest what both could share.
+    same = x.join(several, "pivot", "left_semi").join(y, "pivot").filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").select("a", "b")
+    # Those of adjacent size classes belong to two pivots of one shingle.
+    above = pivots.select("token", (F.col("step") + 1).alias("step"), F.col("pivot").alias("below"))
+    steps = pivots.select("token", "step", "pivot").join(above, ["token", "step"]).select("below", "pivot").distinct()
+    next_ = x.withColumnRenamed("pivot", "below").join(steps, "below").join(y, "pivot").filter("la != lb and " + fits).select("a", "b")
     order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.save(order(same.union(next_)).join(order(counted), ["a", "b"], "left_anti"), "pairs")
     if pairs.head(1):
@@ -344,10 +342,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Without a label of its own, a class is its own component.
     full = scratch.save(meta.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("doc_id", "n", F.coalesce("label", "owner").alias("label")), "full")
     low = scratch.save(full.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("low")), "low")
+    scratch.keep_only("full", "low")
     return full.join(low, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one with its smallest id. Rows with a null id stay."""
     found = similar_groups(docs, doc_id, text).filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    return docs.join(found.hint("merge"), F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")

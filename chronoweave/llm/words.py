@@ -30,7 +30,7 @@ def lower_ascii(text: str) -> str:
 class Hashes(dict):
     """word -> 64-bit hash, remembered for the words met so far; forgotten beyond a bound."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
