@@ -262,18 +262,26 @@ def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, owner long, fragment int, tokens binary")
 
 
+#: Cells of a fragment in which an overlap with a pivot is counted apart.
+CELLS = 16
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        common = [len(np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True)) for x, y in zip(b.column(2), b.column(3))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int64())], ["a", "b", "common"])
+        common = [np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True) for x, y in zip(b.column(3), b.column(4))]
+        # A fragment is two leading bits of 48; its cells are the four bits after those.
+        cells = [np.bincount((t >> np.uint64(42)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.int32) for t in common]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in common], pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["a", "b", "fragment", "common", "cells"])
 
 
 def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, m, n) of each pair: overlap counted in each fragment, then summed. sets: owner, n, fragment, tokens."""
-    left = sets.select(F.col("owner").alias("a"), F.col("n").alias("m"), "fragment", F.col("tokens").alias("x"))
-    right = sets.select(F.col("owner").alias("b"), "n", "fragment", F.col("tokens").alias("y"))
-    parts = pairs.select("a", "b").join(left.drop("m"), "a").join(right.drop("n"), ["b", "fragment"]).select("a", "b", "x", "y").mapInArrow(_overlap, "a long, b long, common long")
-    return parts.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    """(a, b, common, cells) of each pair: overlap counted in each fragment, then summed; cells: the overlap in each
+    cell of the whole order. sets: owner, n, fragment, tokens."""
+    left = sets.select(F.col("owner").alias("a"), "fragment", F.col("tokens").alias("x"))
+    right = sets.select(F.col("owner").alias("b"), "fragment", F.col("tokens").alias("y"))
+    parts = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "x", "y").mapInArrow(_overlap, "a long, b long, fragment int, common long, cells array<int>")
+    cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "cells"))), lambda p: p["cells"]))
+    return parts.groupBy("a", "b").agg(F.sum("common").alias("common"), cells.alias("cells"))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -317,17 +325,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = labels.withColumnRenamed("node", "owner")
     # c: overlap with the pivot; o: what a class shares with others besides. Where sizes or own shingles already forbid
     # a link with the pivot, neither is known.
-    known = counted.select(F.col("a").alias("owner"), F.col("b").alias("pivot"), F.col("common").alias("c"))
+    known = counted.select(F.col("a").alias("owner"), F.col("b").alias("pivot"), F.col("common").alias("c"), "cells")
     c = F.when(F.col("owner") == F.col("pivot"), F.col("n")).otherwise(F.col("c"))
-    around = members.select("owner", "n", "u", "pivot").join(known, ["owner", "pivot"], "left").join(named, "owner", "left").select("owner", "n", "u", "pivot", F.coalesce("label", "owner").alias("label"), F.coalesce(c, "n").alias("c"), F.when(c.isNull(), F.col("n")).otherwise(F.col("n") - c - F.col("u")).alias("o"))
+    around = members.select("owner", "n", "u", "pivot").join(known, ["owner", "pivot"], "left").join(named, "owner", "left").select("owner", "n", "u", "pivot", F.coalesce("label", "owner").alias("label"), F.coalesce(c, "n").alias("c"), F.when(c.isNull(), F.col("n")).otherwise(F.col("n") - c - F.col("u")).alias("o"), "cells")
     around = scratch.save(around, "around")
     # Pivots whose classes are all in one component by now have nothing left to say among themselves.
     several = around.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("pivot")
-    x = around.select("pivot", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"))
-    y = around.select("pivot", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"))
+    x = around.select("pivot", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"), F.col("cells").alias("xa"))
+    y = around.select("pivot", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"), F.col("cells").alias("xb"))
     # Classes that share a shingle and a size class share its pivot. Two sets have in common what both have of the
-    # pivot at most, and of the rest what both could share.
-    same = x.join(several, "pivot", "left_semi").join(y, "pivot").filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").select("a", "b")
+    # pivot at most, cell by cell, and of the rest what both could share.
+    by_cell = F.coalesce(F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p), F.least("ca", "cb"))
+    same = x.join(several, "pivot", "left_semi").join(y, "pivot").filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").filter(7 * (by_cell + F.least("oa", "ob")) >= 3 * (F.col("m") + F.col("n"))).select("a", "b")
     # Those of adjacent size classes belong to two pivots of one shingle.
     above = pivots.select("token", (F.col("step") + 1).alias("step"), F.col("pivot").alias("below"))
     steps = pivots.select("token", "step", "pivot").join(above, ["token", "step"]).select("below", "pivot").distinct()
