@@ -41,7 +41,7 @@ def name_texts(docs: DataFrame, scratch: Scratch, text: str = "text", keep: list
     Returns the columns of ``keep`` and row_id (unique), text_sha256, level and name. Null texts count as
     empty; repeated rows stay apart by row_id; columns that are not in ``keep`` are not read.
     """
-    keep = keep or []
+    keep, before = keep or [], len(scratch.saved)
     # One struct holds the kept columns, so that their names cannot clash with ours.
     kept = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_"))
     seed = 1
@@ -86,7 +86,10 @@ def name_texts(docs: DataFrame, scratch: Scratch, text: str = "text", keep: list
         at = pairs.join(names, ["l", "r"]).select("row_id", "n", "pos", "name")
         found = found.unionByName(at.filter("n = 1").select("row_id", F.lit(level).alias("level"), "name"))
     out = rows.select("row_id", "kept", "text_sha256").join(found, "row_id")
-    return scratch.save(out.select("row_id", *[F.col(f"kept.`{c}`") for c in keep], "text_sha256", "level", "name"), "named")
+    given = list(scratch.saved[:before])
+    named = scratch.save(out.select("row_id", *[F.col(f"kept.`{c}`") for c in keep], "text_sha256", "level", "name"), "named")
+    scratch.keep_only(*given, "named")
+    return named
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,4 +116,6 @@ def keep_largest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named = name_texts(source, scratch, keep=["doc_id", "_row"])
     order = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id"), F.col("row_id"))
     stays = scratch.save(named.groupBy("level", "name").agg(F.max_by("_row", order).alias("_row")), "stays")
-    return rows.join(stays.select("_row"), "_row", "left_semi").select("_kept.*")
+    scratch.keep_only("rows", "stays")
+    # One strategy at every size: the kept rows grow with the input.
+    return rows.join(stays.select("_row").hint("merge"), "_row", "left_semi").select("_kept.*")

@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,34 @@ def shared_folder(spark: SparkSession) -> str:
 _own: str | None = None
 
 
+_collectors: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """The Scratches made inside, so that they can be cleared once what reads them has been written."""
+    made: list[Scratch] = []
+    _collectors.append(made)
+    try:
+        yield made
+    finally:
+        _collectors.remove(made)
+
+
 class Scratch:
     """One operator run's tables. ``drop`` removes what no later step reads; the rest goes when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        self.saved: list[str] = []
+        atexit.register(self.clear)
+        for made in _collectors:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.saved.append(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +64,15 @@ class Scratch:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def keep_only(self, *names: str) -> None:
+        """Remove all tables but those that a result still reads."""
+        gone = [n for n in self.saved if n not in names]
+        self.drop(*gone)
+        self.saved = [n for n in self.saved if n in names]
+
+    def clear(self) -> None:
+        self._remove(self.root)
+
     def _remove(self, path: str) -> None:
         with contextlib.suppress(Exception):  # at exit the JVM may be gone already
             sc = self.spark.sparkContext

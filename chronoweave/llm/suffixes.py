@@ -203,7 +203,9 @@ def _found(source: DataFrame, scratch: Scratch) -> DataFrame:
     leads = scratch.save(_leads(source.select("text"), parts).groupBy("part").applyInArrow(_equal_leads, "key long"), "leads")
     runs = _extended(source, bitfilter.build(leads, "key", parts), parts).groupBy("key").applyInArrow(_compare(parts), "part int, rows binary, ids binary, starts binary, flags binary")
     found = runs.groupBy("part").applyInArrow(_passages, "row long, doc_id long, start_word long, n_words long, later boolean")
-    return scratch.save(found.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id"))), "passages")
+    out = scratch.save(found.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id"))), "passages")
+    scratch.drop("leads")
+    return out
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,7 +250,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
         return pd.Series([cut_words(x or "", [(int(r["start_word"]), int(r["n_words"])) for r in y]) for x, y in zip(t, s)])
 
-    joined = kept.join(later, "_row", "left")
+    joined = kept.join(later.hint("merge"), "_row", "left")  # one strategy at every size
     same = joined.filter("_spans is null").select("_kept.*")
     shortened = joined.filter("_spans is not null").withColumn("_text", cut(F.col(f"_kept.`{text}`"), F.col("_spans"))).filter("trim(_text) != ''")
     return same.unionByName(shortened.select(*[F.col("_text").alias(text) if c == text else F.col(f"_kept.`{c}`") for c in docs.columns]))

@@ -6,11 +6,14 @@ as the next one's docs. All stages but the last return the columns of ``document
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import jaccard, naming, packing, quality, queries, suffixes
-from chronoweave.llm.scratch import Scratch
+from chronoweave.llm.scratch import Scratch, collected
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,25 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")).drop("ids")
 
 
-STAGES = [("quality", good_quality), ("exact_dedup", exact_dedup), ("ngram_jaccard", near_dedup), ("suffix_dedup", passage_dedup), ("packing", packed)]
+_left: list[Scratch] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``f``, which first clears the tables that the stage before needed for its result: that is written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            _left.pop().clear()
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, _stage(f)) for name, f in (("quality", good_quality), ("exact_dedup", exact_dedup), ("ngram_jaccard", near_dedup), ("suffix_dedup", passage_dedup), ("packing", packed))]
 
 #: Trained scores, shingle components and BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
