@@ -60,6 +60,9 @@ class _Blocks(HTMLParser):
         self.parts: list[str] = []
         self.links = self.linked = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # as browsers take "<![": up to the next ">"
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text and not self.stack[-1][1] & UNSEEN:
@@ -272,7 +275,12 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES, step
             data, n = np.unique(np.column_stack([x.round(1), y]), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in data], pa.binary()), pa.array(n, pa.int64())], ["x", "n"])
 
-    picked = pages.select(F.col(f"`{html}`").alias("html")).filter(F.col("html").isNotNull()).orderBy(F.xxhash64("html"), "html").limit(sample)
+    known = pages.select(F.col(f"`{html}`").alias("html")).filter(F.col("html").isNotNull()).withColumn("h", F.xxhash64("html"))
+    # Only hashes meet in one place; the pages themselves are then taken where they lie, each text once.
+    last = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return PRIOR
+    picked = known.filter(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).select("html")
     rows = picked.mapInArrow(run, "x binary, n long").groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").collect()
     if not rows:
         return PRIOR
