@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from chronoweave.functions import text as T
 from chronoweave.operators import align, evaluate, features, lifecycle
 from chronoweave.plans import fixtures as L
+from chronoweave.plans import queries
 from chronoweave.sources import project
-from conftest import rows
+from conftest import DATA, rows
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -103,3 +104,11 @@ def test_decisions(spark):
 def test_split_keeps_the_line(spark):
     got = lifecycle.split_span(L.SPANS.df(spark), "click", 0, L.DAY).filter("map_id = 'click'").orderBy("span_index").collect()
     assert [(r["source_end_ms"], r["target_end_ms"]) for r in got[:2]] == [(L.DAY, 2 * L.DAY), (5 * L.DAY, 6 * L.DAY)] and len(got) == 8
+
+
+def test_affine_hypotheses_read_every_event(spark):
+    """Two of three events lie near one line, so each pair's best hypothesis has them all; at sf0.01 ids go past 2,857."""
+    got = {r["pair"]: r["inliers"] for r in queries.affine_hypotheses(spark, f"{DATA}/sf0.01").filter("rank = 0").collect()}
+    events = spark.read.parquet(f"{DATA}/sf0.01/events.parquet")
+    want = {r["user_id"]: r["n"] for r in events.groupBy("user_id").agg(F.count(F.when(F.col("event_id") % 3 != 0, 1)).alias("n")).collect()}
+    assert set(got) == set(want) and all(got[k] >= n for k, n in want.items())
