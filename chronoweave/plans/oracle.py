@@ -159,6 +159,9 @@ ORACLE = {
     "landmark_join": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms, (user_id % 40 * 256 + item_id % 256) // 256 AS family, item_id % 256 AS b FROM items),
         s AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'click'), t AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'view')
         SELECT s.family, s.t_ms AS source_ms, t.t_ms AS target_ms, t.t_ms - s.t_ms AS offset_ms FROM s JOIN t ON s.family = t.family AND abs(s.b - t.b) <= 1 WHERE s.n <= 400 AND t.n <= 400""",
+    "landmark_join_users": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms, CAST(user_id AS BIGINT) AS family, item_id % 256 AS b FROM items),
+        s AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'click'), t AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'view')
+        SELECT s.family, s.t_ms AS source_ms, t.t_ms AS target_ms, t.t_ms - s.t_ms AS offset_ms FROM s JOIN t ON s.family = t.family AND abs(s.b - t.b) <= 1 WHERE s.n <= 64 AND t.n <= 64""",
     "landmark_hash": f"WITH {_ITEMS} SELECT item_id, user_id % 256 * 65536 + item_id % 300 % 256 * 256 + least(255, (t_ms % 19000 + 25) // 50) AS h FROM items",
     "spectral_peaks": f"""WITH {_FRAMES}, c AS (SELECT label, vec_id AS frame, unnest(range(0, 64)) AS band, abs(unnest(v)) AS x FROM frames),
         g AS (SELECT *, lag(x) OVER a AS a1, lead(x) OVER a AS a2, lag(x) OVER b AS b1, lead(x) OVER b AS b2, avg(x) OVER (PARTITION BY label, frame) AS m FROM c WINDOW a AS (PARTITION BY label, band ORDER BY frame), b AS (PARTITION BY label, frame ORDER BY band)),

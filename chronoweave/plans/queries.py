@@ -359,6 +359,13 @@ def landmark_join(spark, d):
     return fingerprint.landmark_join(m.filter("asset_id = 'click'"), m.filter("asset_id = 'view'"), most=400)
 
 
+@query
+def landmark_join_users(spark, d):
+    """One family a user: their number grows with the table, not their size, so the limit skips common families only."""
+    m = items(spark, d).select(F.col("t_ms").alias("time_ms"), (F.col("user_id").cast("long") * 256 + F.col("item_id") % 256).alias("hash"), "asset_id")
+    return fingerprint.landmark_join(m.filter("asset_id = 'click'"), m.filter("asset_id = 'view'"))
+
+
 @query
 def landmark_hash(spark, d):
     m = items(spark, d).select("item_id", F.col("user_id").cast("long").alias("a"), (F.col("item_id") % 300).alias("b"), (F.col("t_ms") % 19000).alias("dt"))

@@ -112,3 +112,11 @@ def test_affine_hypotheses_read_every_event(spark):
     events = spark.read.parquet(f"{DATA}/sf0.01/events.parquet")
     want = {r["user_id"]: r["n"] for r in events.groupBy("user_id").agg(F.count(F.when(F.col("event_id") % 3 != 0, 1)).alias("n")).collect()}
     assert set(got) == set(want) and all(got[k] >= n for k, n in want.items())
+
+
+def test_landmark_families_do_not_grow_with_the_table(spark):
+    """No family of sf0.1 is over the limit, so every close click and view of a user meet."""
+    e = queries.items(spark, f"{DATA}/sf0.1").select("user_id", "asset_id", (F.col("item_id") % 256).alias("b"))
+    s, t = (e.filter(F.col("asset_id") == k).select("user_id", F.col("b").alias(k)) for k in ("click", "view"))
+    want = s.join(t, "user_id").filter(F.abs(F.col("click") - F.col("view")) <= 1).count()
+    assert queries.landmark_join_users(spark, f"{DATA}/sf0.1").count() == want > 0
