@@ -1,7 +1,7 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) P(word | class). The class factor is a softmax over hashed n-gram and
-skip features of the two words before; the word factor is the softmax that has the word's own weight only,
+skip features of the three words before; the word factor is the softmax that has the word's own weight only,
 whose maximum-entropy fit is the smoothed share of its class. The most frequent words are classes of their own;
 all others share classes by their spelling's end, so every possible word has a class and a probability.
 
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import count_words, head_of, lower_ascii, mix, words
 
-#: Words whose counts are broadcast, words that features tell apart, and words that are classes of their own.
-HEAD_WORDS, FEATURE_WORDS, SINGLES = 200_000, 4096, 31
+#: Words whose counts are broadcast, and words that are classes of their own.
+HEAD_WORDS, SINGLES = 200_000, 31
 #: Classes by spelling; with SINGLES and the end token there are 64.
 SHAPES = 32
 CLASSES = SINGLES + 1 + SHAPES
-BUCKETS = 1 << 14
-MINIBATCH = 4096
+#: Buckets at least; beyond that one for so many distinct words, so that the model grows with the vocabulary.
+BUCKETS, WORDS_A_BUCKET = 1 << 14, 64
+MINIBATCH = 2048
 RATE = 0.5
 
 
@@ -64,11 +65,15 @@ class Vocabulary:
     index: _Index
     logc: np.ndarray  # log10(count + 1); 0 for shapes, whose words' counts come by the join
     kind: np.ndarray  # class
-    context: np.ndarray  # what features see
+    context: np.ndarray  # what features see; for shapes, where the word itself is not given
     log_share: np.ndarray  # by class: log10 of the sum of count + 1 over its words and an unknown one; 0 for singles
     total: int
     distinct: int
 
+    @property
+    def buckets(self) -> int:
+        return max(BUCKETS, self.distinct // WORDS_A_BUCKET)
+
     @property
     def rare(self) -> int:
         return self.index.rare
@@ -79,7 +84,7 @@ class Vocabulary:
         index = _Index({w: i for i, (w, _) in enumerate(head)})
         index.rare = n
         kind = np.array([i if i < SINGLES else SINGLES + 1 + _shape(w) for i, (w, _) in enumerate(head)] + [SINGLES + 1 + s for s in range(SHAPES)] + [SINGLES, SINGLES], dtype=np.int64)
-        context = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) if i < FEATURE_WORDS else 0 for i, (w, _) in enumerate(head)] + [0] * SHAPES + [1, 2], dtype=np.uint64)
+        context = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w, _ in head] + [0] * SHAPES + [1, 2], dtype=np.uint64)
         context[context == 0] = np.uint64(1 << 33) + kind[context == 0].astype(np.uint64)
         logc = np.log10(np.array([c for _, c in head] + [0] * SHAPES + [texts, 0], dtype=np.float64) + 1)
         log_share = np.array([0.0] * (SINGLES + 1) + [math.log10(shape_sums.get(s, 0) + 1) for s in range(SHAPES)])
@@ -99,27 +104,38 @@ class Vocabulary:
             at += 1
         return out, n
 
-    def features(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Buckets of each token: word before, word before that (skip), and both as an ordered pair of classes.
-        A text's beginning fills what is missing."""
+    def contexts(self, rows: np.ndarray, texts: list[list[str]]) -> np.ndarray:
+        """What features see of each token: every word by its own hash, in the head or not."""
+        out = self.context[rows]
+        tail = np.flatnonzero((rows >= self.rare) & (rows < self.rare + SHAPES)).tolist()
+        if tail:
+            flat = [w for t in texts for w in (*t, "")]
+            out[tail] = np.fromiter((zlib.crc32(flat[i].encode("utf-8", "surrogatepass")) for i in tail), np.uint64, len(tail))
+        return out
+
+    def features(self, rows: np.ndarray, n: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
+        """Buckets of each token: word before, word before that (skip), both as an ordered pair of classes, and
+        the class three before (skip). A text's beginning fills what is missing. ``context`` is of ``contexts``."""
         begin = self.rare + SHAPES + 1
         starts = np.cumsum(n) - n
-        back = []
-        for k in (1, 2):
-            p = np.full(len(rows), begin, dtype=np.int64)
-            p[k:] = rows[:-k]
+        context = self.context[rows] if context is None else context
+        back, seen = [], []
+        for k in (1, 2, 3):
+            p, c = np.full(len(rows), begin, dtype=np.int64), np.full(len(rows), self.context[begin])
+            p[k:], c[k:] = rows[:-k], context[:-k]
             for j in range(k):
                 first = starts[n > j] + j
-                p[first] = begin
+                p[first], c[first] = begin, self.context[begin]
             back.append(p)
-        c1, c2 = (self.kind[p].astype(np.uint64) + np.uint64(64) * (p == begin).astype(np.uint64) for p in back)
-        keys = [self.context[back[0]] * np.uint64(8), self.context[back[1]] * np.uint64(8) + np.uint64(1), (c1 * np.uint64(128) + c2) * np.uint64(8) + np.uint64(2)]
-        return np.stack([mix(k + np.uint64(0x2545F491)) & np.uint64(BUCKETS - 1) for k in keys], axis=1).astype(np.int64)
+            seen.append(c)
+        c1, c2, c3 = (self.kind[p].astype(np.uint64) + np.uint64(64) * (p == begin).astype(np.uint64) for p in back)
+        keys = [seen[0] * np.uint64(8), seen[1] * np.uint64(8) + np.uint64(1), (c1 * np.uint64(128) + c2) * np.uint64(8) + np.uint64(2), c3 * np.uint64(8) + np.uint64(3)]
+        return np.stack([mix(k + np.uint64(0x2545F491)) % np.uint64(self.buckets) for k in keys], axis=1).astype(np.int64)
 
 
 def class_logs(weights: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Natural logs of every class's probability for each token."""
-    z = weights[buckets[:, 0]] + weights[BUCKETS]
+    z = weights[buckets[:, 0]] + weights[-1]
     for k in range(1, buckets.shape[1]):
         z += weights[buckets[:, k]]
     z -= z.max(axis=1, keepdims=True)
@@ -129,23 +145,20 @@ def class_logs(weights: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 def descend(weights: np.ndarray, squares: np.ndarray, buckets: np.ndarray, kinds: np.ndarray) -> None:
     """Gradient steps over minibatches, in place; each bucket has its own step size (by its summed squares)."""
-    place, every = np.zeros(BUCKETS, np.int64), np.arange(CLASSES)
+    every = np.arange(CLASSES)
     for i in range(0, len(kinds), MINIBATCH):
         b, y = buckets[i : i + MINIBATCH], kinds[i : i + MINIBATCH]
         g = np.exp(class_logs(weights, b))
         g[np.arange(len(y)), y] -= 1
-        seen = np.bincount(b.ravel(), minlength=BUCKETS)
-        rows = np.flatnonzero(seen)
-        place[rows] = np.arange(len(rows))
-        at = place[b.T]
+        rows, at, seen = np.unique(b.T, return_inverse=True, return_counts=True)
         grad = np.zeros(len(rows) * CLASSES)
-        for k in at:
+        for k in at.reshape(b.T.shape):
             grad += np.bincount((k[:, None] * CLASSES + every).ravel(), g.ravel(), minlength=len(grad))
-        grad = (grad.reshape(-1, CLASSES) / np.sqrt(seen[rows])[:, None]).astype(np.float32)
+        grad = (grad.reshape(-1, CLASSES) / np.sqrt(seen)[:, None]).astype(np.float32)
         squares[rows] += (grad * grad).mean(axis=1)
         weights[rows] -= RATE * grad / np.sqrt(squares[rows] + 1.0)[:, None] * np.float32(0.5)
         bias = g.mean(axis=0)
-        weights[BUCKETS] -= np.float32(0.2) * bias
+        weights[-1] -= np.float32(0.2) * bias
 
 
 def _texts(b: pa.RecordBatch, column: int, size: int = 500) -> Iterator[tuple[int, list[list[str]]]]:
@@ -163,27 +176,38 @@ def _round(docs: DataFrame, text: str, vocabulary, weights: np.ndarray) -> np.nd
         for b in batches:
             for _, texts in _texts(b, 0):
                 rows, n = v.rows(texts)
-                found = v.features(rows, n)
+                found = v.features(rows, n, v.contexts(rows, texts))
                 descend(w, squares, found, v.kind[rows])
                 seen += np.bincount(found.ravel(), minlength=len(w))
-                seen[BUCKETS] += len(rows)
+                seen[-1] += len(rows)
         at = np.flatnonzero(seen)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array([x.tobytes() for x in w[at].astype(np.float16)], pa.binary())], ["bucket", "seen", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        # Row i of ``sums`` is of the i-th bucket met.
+        where: dict[int, int] = {}
+        sums, times = np.zeros((0, CLASSES)), np.zeros(0, np.int64)
         for b in batches:
-            for k, n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = sums.setdefault(k, [0, np.zeros(CLASSES)])
-                s[0] += n
-                s[1] += n * np.frombuffer(w, np.float16).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())], ["bucket", "w"])
+            if not b.num_rows:
+                continue
+            keys, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            w = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float16).reshape(-1, CLASSES)
+            order = np.argsort(keys, kind="stable")
+            met, first = np.unique(keys[order], return_index=True)
+            at = np.array([where.setdefault(k, len(where)) for k in met.tolist()])
+            if len(where) > len(times):
+                more = max(len(where), 2 * len(times)) - len(times)
+                sums, times = np.concatenate([sums, np.zeros((more, CLASSES))]), np.concatenate([times, np.zeros(more, np.int64)])
+            sums[at] += np.add.reduceat(n[order, None] * w[order].astype(np.float64), first)
+            times[at] += np.add.reduceat(n[order], first)
+        out = (sums[: len(where)] / times[: len(where), None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["bucket", "w"])
 
     local = docs.select(F.col(text)).mapInArrow(run, "bucket long, seen long, w binary")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = weights.copy()
-    # BUCKETS rows at most, whatever the corpus.
+    # As many rows as buckets at most: one for WORDS_A_BUCKET distinct words.
     for r in local.repartition(parts, "bucket").mapInArrow(average, "bucket long, w binary").collect():
         out[r["bucket"]] = np.frombuffer(r["w"], np.float32)
     return out
@@ -204,8 +228,9 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     top = [w for w, _ in head[:SINGLES]]
     sums = counts.groupBy(_shape_column(F.col("word")).alias("s"), F.col("word").isin(top).alias("single")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
     total, distinct = sum(r["n"] for r in sums) + texts, sum(r["k"] for r in sums) + (texts > 0)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.build(head, {r["s"]: r["n"] + r["k"] for r in sums if not r["single"]}, texts, total, distinct))
-    weights = np.zeros((BUCKETS + 1, CLASSES), np.float32)
+    built = Vocabulary.build(head, {r["s"]: r["n"] + r["k"] for r in sums if not r["single"]}, texts, total, distinct)
+    vocabulary = spark.sparkContext.broadcast(built)
+    weights = np.zeros((built.buckets + 1, CLASSES), np.float32)
     slices = F.xxhash64("text") % 8
     weights = _round(learnt.filter(slices == 0), "text", vocabulary, weights)
     weights = _round(learnt.filter(F.coalesce(slices, F.lit(1)) != 0), "text", vocabulary, weights)
@@ -220,7 +245,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 rows, n = v.rows(lists)
                 begin = np.cumsum(n) - n
                 kinds = v.kind[rows]
-                found = v.features(rows, n)
+                found = v.features(rows, n, v.contexts(rows, lists))
                 p = np.concatenate([class_logs(w, found[i : i + MINIBATCH])[np.arange(len(kinds[i : i + MINIBATCH])), kinds[i : i + MINIBATCH]] for i in range(0, len(rows), MINIBATCH)]).astype(np.float64) / math.log(10)
                 logc = v.logc[rows]
                 model = p - v.log_share[kinds] + np.where(kinds > SINGLES, logc, 0)

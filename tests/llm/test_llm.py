@@ -529,6 +529,28 @@ def test_lm_edges(docs, empty, nulls):
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm.score(nulls, F.lit(True)).collect()} == {(1, 1, 3)}
 
 
+def test_every_context_word_is_told_apart():
+    """Words outside the head too, and the class three words back is seen."""
+    head = [(f"w{i}", 10_000 - i) for i in range(5000)]
+    v = lm.Vocabulary.build(head, {}, 5, 1000, 5002)
+    back = lambda t: v.features(*v.rows([t]), v.contexts(v.rows([t])[0], [t]))
+    a, b = "xxing", "yying"
+    assert lm._shape(a) == lm._shape(b) and a not in v.index
+    for x, y in ((a, b), ("w4998", "w998"), ("w4999", "w999")):
+        assert lm._shape(x) == lm._shape(y) and (back([x, "w1"])[1:, :2].diagonal() != back([y, "w1"])[1:, :2].diagonal()).all()
+    assert (back(["w1", "w2", "w3"])[3] != back(["w4", "w2", "w3"])[3]).sum() == 1 and back(["w1"]).shape == (2, 4)
+
+
+def test_buckets_grow_with_the_vocabulary():
+    size = lambda distinct: lm.Vocabulary.build([("a", 1)], {}, 1, 1, distinct).buckets
+    assert size(93) == lm.BUCKETS and 1.9 < size(8_000_000) / size(4_000_000) < 2.1
+    v = lm.Vocabulary.build([("a", 1)], {}, 1, 1, 8_000_000)
+    texts = [[f"t{i}" for i in range(20_000)]]
+    rows, n = v.rows(texts)
+    assert v.features(rows, n, v.contexts(rows, texts)).max() > lm.BUCKETS
+
+
+
 # 7: HTML
 
 
