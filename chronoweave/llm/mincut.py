@@ -265,7 +265,7 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES, step
         for b in batches:
             xs, ys = [], []
             for t in b.column(0):
-                found = blocks(t.as_py() or "")[:500]
+                found = blocks(t.as_py() or "")
                 flags = np.array([x.flags for x in found], dtype=int)
                 said = flags & (IN_FRAME | IN_NOISE | IN_TALK | IN_BODY) > 0
                 xs.append(block_features(found)[said])

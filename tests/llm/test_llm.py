@@ -590,6 +590,15 @@ def test_pages_of_the_driver(spark):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_training_reads_whole_pages(spark):
+    """What stands after 500 blocks counts."""
+    body = "<main>" + "".join(f"<p>Paragraph number {i} of the article is here.</p>" for i in range(600)) + "</main>"
+    end = "".join(f"<footer><p>Link {i}</p></footer>" for i in range(300))
+    train = lambda html: mincut.train(spark.createDataFrame([(html,)], "html string"))
+    assert not np.allclose(train(body), train(body + end))
+
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>"), (4, "w", "plain text, no tags at all."), (4, "w", "<nav>a</nav>"), (5, "x", "<p>" * 3000 + "deep text."), (6, "y", "</div></p>&bogus; &#0; <![x ok text.")]
     df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars int, text string")
