@@ -36,7 +36,7 @@ _BODY = frozenset("article content post entry story main text body".split())
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-IN_FRAME, IN_NOISE, IN_TALK, IN_BODY, UNSEEN = 1, 2, 4, 8, 16
+IN_FRAME, IN_NOISE, IN_TALK, IN_BODY, UNSEEN, LIFTED = 1, 2, 4, 8, 16, 32
 
 
 @dataclass(slots=True)
@@ -59,6 +59,7 @@ class _Blocks(HTMLParser):
         self.made = 0
         self.parts: list[str] = []
         self.links = self.linked = 0
+        self.plain = False  # an article or main element stands outside all noise
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)  # as browsers take "<![": up to the next ">"
@@ -87,6 +88,8 @@ class _Blocks(HTMLParser):
             flags |= UNSEEN
         if tag in _FRAME or tag == "header" and not flags & IN_BODY:
             flags |= IN_FRAME
+        if tag == "article" and flags & IN_NOISE and not flags & IN_BODY:
+            flags = flags & ~IN_NOISE | LIFTED  # the wrapper's, unless another article stands outside: see blocks()
         if tag in _MAIN:
             flags |= IN_BODY
         if tag == "main":
@@ -102,6 +105,7 @@ class _Blocks(HTMLParser):
                     flags |= IN_BODY
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
                 flags |= UNSEEN
+        self.plain |= tag in _MAIN and not flags & (IN_FRAME | IN_NOISE | IN_TALK | UNSEEN | LIFTED)
         self.made += 1
         self.stack.append((tag, flags, self.made))
         self.links += tag == "a"
@@ -142,6 +146,10 @@ def blocks(html: str) -> list[Block]:
     p.feed(html)
     p.close()
     p.flush()
+    if p.plain:  # then articles within noise are teasers of others
+        for b in p.out:
+            if b.flags & LIFTED:
+                b.flags |= IN_NOISE
     return p.out
 
 

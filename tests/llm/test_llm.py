@@ -599,6 +599,21 @@ def test_training_reads_whole_pages(spark):
 
 
 
+WRAPPED = '<body><div class="layout with-sidebar"><article><h1>Title here</h1><p>The first paragraph of the article.</p><div class="share">Share this</div><p>The last paragraph of it.</p></article><div class="sidebar"><p>Other things to read.</p></div></div></body>'
+
+
+def test_article_in_a_wrapper_named_like_noise():
+    assert mincut.main_text(WRAPPED).split("\n") == ["Title here", "The first paragraph of the article.", "The last paragraph of it."]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_teasers_stay_noise(first):
+    """Where an article stands outside, articles of a noisy container are teasers."""
+    own, other = "<article><p>The first paragraph of the article.</p></article>", '<div class="related"><article><p>Another article you may like to read today.</p></article></div>'
+    assert mincut.main_text(own + other if first else other + own) == "The first paragraph of the article."
+
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>"), (4, "w", "plain text, no tags at all."), (4, "w", "<nav>a</nav>"), (5, "x", "<p>" * 3000 + "deep text."), (6, "y", "</div></p>&bogus; &#0; <![x ok text.")]
     df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars int, text string")
