@@ -16,10 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests on one machine), a folder of our own."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own in local
+    mode (tests on one machine) and an error on a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     global _own
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
