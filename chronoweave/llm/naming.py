@@ -26,7 +26,7 @@ BLOCK_BYTES = 4096
 
 def _blocks(text: str, block_bytes: int) -> Column:
     """The text's UTF-8 bytes in blocks; one empty block for an empty or null text."""
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     last = F.greatest(F.lit(0), F.expr(f"(octet_length(coalesce(`{text}`, '')) - 1) div {block_bytes}"))
     return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
 
@@ -50,7 +50,7 @@ def name_texts(docs: DataFrame, scratch: Scratch, text: str = "text", keep: list
             docs.select(
                 F.monotonically_increasing_id().alias("row_id"),
                 kept.alias("kept"),
-                F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("text_sha256"),
+                F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256).alias("text_sha256"),
                 F.transform(_blocks(text, block_bytes), lambda b: _prints(b, seed)).alias("prints"),
             ),
             f"rows{seed}",

@@ -190,14 +190,15 @@ def fit(f: np.ndarray, size: np.ndarray, per_text: np.ndarray, good: np.ndarray,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> LineField:
     """Fit on a bounded sample: the ``sample`` labelled rows whose id has the smallest hash (that many rows are
-    broadcast to pick their texts), without documents of over SAMPLE_LINES lines. Rows with a null id or label
-    are left out. Without labelled rows every weight stays 0 and every score is 0.5."""
+    broadcast to pick their texts), without documents of over ``lines`` lines. Ids of any type meet as text. Rows with
+    a null id or label are left out. Without labelled rows every weight stays 0 and every score is 0.5."""
     picked = (
-        labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-        .groupBy(F.col(doc_id).alias("_id"))
-        .agg(F.max(label).cast("int").alias("_label"))
+        labels.select(F.col(f"`{doc_id}`").cast("string").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label"))
+        .dropna()
+        .groupBy("_id")
+        .agg(F.max("_label").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
@@ -208,12 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             out = []
             for t in texts:
                 f, size, n = line_features([t])
-                out.append((f.astype(np.float32).tobytes(), size.tobytes()) if n[0] <= SAMPLE_LINES else (b"", b""))
+                out.append((f.astype(np.float32).tobytes(), size.tobytes()) if n[0] <= lines else (b"", b""))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["id", "label", "f", "size"])
 
     # The sample's size is bounded by ``sample``.
-    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
-    rows = joined.select("_id", "_text", "_label").mapInArrow(run, "id long, label int, f binary, size binary").orderBy("id").limit(sample).collect()
+    joined = docs.select(F.col(f"`{doc_id}`").cast("string").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(picked), "_id")
+    rows = joined.select("_id", "_text", "_label").mapInArrow(run, "id string, label int, f binary, size binary").orderBy("id").limit(sample).collect()
     rows = [r for r in rows if r["f"]]
     f = [np.frombuffer(r["f"], np.float32).reshape(-1, FEATURES) for r in rows]
     if not f:
