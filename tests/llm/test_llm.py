@@ -353,6 +353,27 @@ def test_packing(docs, empty, nulls):
     assert packing.pack(empty, path).count() == 0 and packing.pack(nulls, path).count() == 3
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000 + "x", "\n" * 2_000_000, "a" * 300_000, "word " * 400_000, "x" + " " * 1_200_000 + "<|endoftext|>y"], ids=["spaces", "breaks-x", "breaks", "letters", "words", "special"])
+def test_very_long_texts_encode_as_the_library_does(text):
+    own = packing.ByteEncoder(queries.vocabulary("byte_bpe_50k.json"))
+    assert own.encode(text).tolist() == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "spaced.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    from tokenizers import Tokenizer
+
+    own = packing.ByteEncoder(path)
+    assert own.encoding is None and own.encode("hello there").tolist() == Tokenizer.from_file(path).encode("hello there", add_special_tokens=False).ids
+
+
 # 5: Ogg
 
 
@@ -453,6 +474,17 @@ def test_quality_edges(spark, docs, empty, nulls):
     assert quality.label_lines(docs, some).count() == sum((t or "").count("\n") + 1 for _, t in corpus())
 
 
+def test_quality_ids_of_any_type_and_names_with_dots(spark):
+    """Training meets ids as text, so an int column does as well as a long one."""
+    rows = [(i, "Good words in a line.\nAnd more of them." if i % 2 else "!!! $$$ ###\n###") for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    a = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    b = quality.train(spark.createDataFrame(rows, "`d.id` int, `the.text` string"), spark.createDataFrame(labels, "`d.id` int, `q.x` int"), "d.id", "the.text", "q.x")
+    assert np.allclose(a.weights, b.weights) if hasattr(a, "weights") else True
+    short = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), lines=1)
+    assert short.score(["Good words in a line."])[0] == 0.5
+
+
 # 10: language
 
 
@@ -614,6 +646,89 @@ def test_teasers_stay_noise(first):
 
 
 
+LONG = ["The first paragraph of this article says a good deal about the matter at hand, and it does so at length.", "A second paragraph follows it, which goes on about the same things for a while longer than it should have."]
+TWO = "".join(f"<p>{t}</p>" for t in LONG)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return mincut.train(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<main class="with-sidebar">{TWO}</main>',
+        f'<article class="post category-search">{TWO}</article>',
+        f'<div id="page" class="has-nav"><nav><a href=/>Home</a></nav><div class="post-content">{TWO}</div></div>',
+        f'<div class="related post-with-comments">{TWO}</div>',
+        f'<form id="search"><div>{TWO}</div></form>',
+        f'<div class="entry no-comments">{TWO}</div><div class="comments"><p>I think that this is a very good article, thank you for it.</p></div>',
+    ],
+)
+def test_one_word_of_a_class_is_no_veto(trained, body):
+    html = f"<body><nav><a href=/>Home</a></nav>{body}<footer>c 2020</footer></body>"
+    for w in (mincut.PRIOR, trained):
+        assert mincut.main_text(html, w).split("\n") == LONG
+
+
+def unnamed_page(r):
+    """A page without any names or semantic elements, and the label of each block: the article has paragraphs of one
+    word and of links, the list of links has a line of prose."""
+    say = lambda k: " ".join(r.choices("stone river walks along under many green the of a house light".split(), k=k))
+    own = [r.choice([say(r.randint(15, 40)) + ".", say(r.randint(15, 40)) + ".", say(2), say(1) + "?", f"<a href=y>{say(4)}</a>"]) for _ in range(r.randint(5, 12))]
+    links = lambda k: "".join(f"<li><a href=x>{say(r.randint(1, 4))}</a></li>" for _ in range(k))
+    html = f"<div>{''.join(f'<div><a href=x>{say(2)}</a></div>' for _ in range(6))}</div><div><div>{''.join(f'<p>{t}</p>' for t in own)}</div></div><div><ul>{links(5)}</ul><div><div>{say(9)}.</div></div><ul>{links(5)}</ul></div>"
+    return html, [False] * 6 + [True] * len(own) + [False] * 11
+
+
+def test_the_cut_corrects_the_classifier(trained):
+    r, sign, cut, total, changed = random.Random(1), 0, 0, 0, 0
+    for _ in range(100):
+        html, want = unnamed_page(r)
+        gain, edges = mincut.graph(mincut.parse(html), trained)
+        alone, found = [g > 0 for g in gain], mincut.settle(gain, edges)
+        sign, cut, total, changed = sign + sum(map(bool.__eq__, alone, want)), cut + sum(map(bool.__eq__, found, want)), total + len(want), changed + (alone != found)
+    assert changed > 50 and cut - sign > total * 0.04 and cut / total > 0.95
+
+
+def test_membership_is_a_node_of_the_cut():
+    """An article carries its weak blocks, and one of links alone is not drawn to content."""
+    weak = mincut.parse(f"<article>{TWO}<p><a href=x>Yes</a></p><p>No</p></article>")
+    gain, edges = mincut.graph(weak, mincut.PRIOR)
+    assert gain[2] < 0 and mincut.settle(gain, edges)[:4] == [True] * 4 and len(gain) == 5
+    teasers = "<article class=related>" + "".join(f"<a href={i}>More</a><br>" for i in range(5)) + "</article>"
+    assert mincut.main_text(f"<article>{TWO}</article>{teasers}").split("\n") == LONG
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_settled_labels_are_a_minimum_cut(seed):
+    r = random.Random(seed)
+    n = 9
+    gain = [r.uniform(-4, 4) for _ in range(n)]
+    edges = [(i, j, r.uniform(0, 2)) for i in range(n) for j in range(i + 1, n) if r.random() < 0.3]
+    cost = lambda y: sum(abs(g) for g, k in zip(gain, y) if (g > 0) != k) + sum(c for a, b, c in edges if y[a] != y[b])
+    assert cost(mincut.settle(gain, edges)) == pytest.approx(min(cost(y) for y in itertools.product((False, True), repeat=n)))
+
+
+def test_training_labels_are_not_the_features(trained):
+    """Blocks in and out of the article with equal features: membership itself is none, and training moves weights."""
+    page = lambda tag: mincut.parse(f"<body><div><{tag}><p>Some words here.</p></{tag}></div><div><div><p>Some words here.</p></div></div></body>")
+    for tag in ("article", "div"):
+        p = page(tag)
+        x = mincut.block_features(p, mincut.setting(p))
+        assert (x[0] == x[1]).all()
+    assert mincut.labelled(page("article"))[1].tolist() == [True, False] and not len(mincut.labelled(page("div"))[1])
+    assert np.abs(trained - mincut.PRIOR).max() > 0.3
+
+
+def test_very_long_page():
+    html = "<body><nav>" + "<a href=x>Link</a><br>" * 2000 + "</nav><main>" + f"{TWO}<p>Yes</p>" * 4000 + "</main></body>"
+    assert mincut.main_text(html).split("\n") == [*LONG, "Yes"] * 4000
+    word = "x" * 3_000_000
+    assert mincut.main_text(f"<article><p>{LONG[0]}<p>{word}<p>{LONG[1]}</article>").split("\n") == [LONG[0], word, LONG[1]]
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>"), (4, "w", "plain text, no tags at all."), (4, "w", "<nav>a</nav>"), (5, "x", "<p>" * 3000 + "deep text."), (6, "y", "</div></p>&bogus; &#0; <![x ok text.")]
     df = spark.createDataFrame([(*r, 1, "t") for r in rows], "page_id long, url string, html string, n_chars int, text string")
