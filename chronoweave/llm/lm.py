@@ -1,14 +1,18 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The class factor is a softmax over hashed n-gram and
-skip features of the three words before; the word factor is the softmax that has the word's own weight only,
-whose maximum-entropy fit is the smoothed share of its class. The most frequent words are classes of their own;
-all others share classes by their spelling's end, so every possible word has a class and a probability.
-
-Training: each task takes stochastic gradient steps through its own documents and the tasks' weights are
-averaged by how often each bucket was seen; a second round starts from the average of the first. All counts
-cover all training documents. Scoring runs in numpy batches. Counts of frequent words are broadcast (a fixed
-bound); rarer words meet their counts in a join by word, so no count is dropped.
+P(word | history) = P(class | history) P(word | class, history). Both factors are softmaxes over hashed n-gram and
+skip features of the three words before. The most frequent words are classes of their own; all others share classes
+by their spelling's end, so every possible word has a class. Within such a class the most frequent words have weights
+of their own and one more entry stands for all others, among which a word has its smoothed share: so the word factor
+sums to one over an open vocabulary. With all weights 0 the model is the smoothed unigram one.
+
+Training: one pass counts how often each feature stands before each outcome (the gradient's data term, over all
+training rows). Then come synchronous updates: every task sums the model's expectation of the same counts over its
+rows at one common set of weights, the sums are added over all tasks, and one update is made with the whole. The rows
+of each update are a fixed share of all by hash of their text. So nothing depends on how the input is partitioned.
+
+Scoring runs in numpy batches. Counts of frequent words are broadcast (a fixed bound); rarer words meet their counts
+in a join by word, so no count is dropped. The weights are broadcast too: 256 bytes for each of MOST_BUCKETS at most.
 """
 
 from __future__ import annotations
@@ -33,10 +37,18 @@ HEAD_WORDS, SINGLES = 200_000, 31
 #: Classes by spelling; with SINGLES and the end token there are 64.
 SHAPES = 32
 CLASSES = SINGLES + 1 + SHAPES
-#: Buckets at least; beyond that one for so many distinct words, so that the model grows with the vocabulary.
-BUCKETS, WORDS_A_BUCKET = 1 << 14, 64
-MINIBATCH = 2048
-RATE = 0.5
+#: Words of a class by spelling that have weights of their own in the word factor; one entry more is for all others.
+OWN = CLASSES - 1
+#: Rows of the weights at least and at most; between, one for so many distinct words, so that the model grows with the
+#: vocabulary as far as its memory has a bound.
+BUCKETS, MOST_BUCKETS, WORDS_A_BUCKET = 1 << 14, 1 << 18, 256
+#: Features of the class factor, and of the word factor.
+CLASS_FEATURES, WORD_FEATURES = 4, 2
+#: Tokens whose probabilities are held at a time, and characters of texts.
+WINDOW, CHARS = 8192, 1_000_000
+#: Updates: shares of the training rows in sixteenths, and step sizes. Counts added to a weight's and to a bucket's own.
+STEPS, RATES, SMOOTH, RARE = (4, 5, 7), (0.7, 0.4, 0.3), 4.0, 5.0
+_NEVER = np.float32(-1e9)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -65,14 +77,17 @@ class Vocabulary:
     index: _Index
     logc: np.ndarray  # log10(count + 1); 0 for shapes, whose words' counts come by the join
     kind: np.ndarray  # class
+    entry: np.ndarray  # within a class by spelling: own entry, or OWN for all others
     context: np.ndarray  # what features see; for shapes, where the word itself is not given
-    log_share: np.ndarray  # by class: log10 of the sum of count + 1 over its words and an unknown one; 0 for singles
+    class_base: np.ndarray  # natural log of each class's share
+    word_base: np.ndarray  # natural log of each entry's share of its class; classes of one word have only entry OWN
+    log_share: np.ndarray  # by class: log10 of the sum of count + 1 over the other words and an unknown one
     total: int
     distinct: int
 
     @property
     def buckets(self) -> int:
-        return max(BUCKETS, self.distinct // WORDS_A_BUCKET)
+        return min(MOST_BUCKETS, max(BUCKETS, self.distinct // WORDS_A_BUCKET))
 
     @property
     def rare(self) -> int:
@@ -80,20 +95,36 @@ class Vocabulary:
 
     @classmethod
     def build(cls, head: list[tuple[str, int]], shape_sums: dict[int, int], texts: int, total: int, distinct: int) -> Vocabulary:
+        """head: words by falling count. shape_sums: sum of count + 1 over all words of a shape that are no classes."""
         n = len(head)
         index = _Index({w: i for i, (w, _) in enumerate(head)})
         index.rare = n
         kind = np.array([i if i < SINGLES else SINGLES + 1 + _shape(w) for i, (w, _) in enumerate(head)] + [SINGLES + 1 + s for s in range(SHAPES)] + [SINGLES, SINGLES], dtype=np.int64)
         context = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w, _ in head] + [0] * SHAPES + [1, 2], dtype=np.uint64)
         context[context == 0] = np.uint64(1 << 33) + kind[context == 0].astype(np.uint64)
-        logc = np.log10(np.array([c for _, c in head] + [0] * SHAPES + [texts, 0], dtype=np.float64) + 1)
-        log_share = np.array([0.0] * (SINGLES + 1) + [math.log10(shape_sums.get(s, 0) + 1) for s in range(SHAPES)])
-        return cls(index, logc, kind, context, log_share, total, distinct)
+        counts = np.array([c for _, c in head] + [0] * SHAPES + [texts, 0], dtype=np.float64) + 1
+        entry, mass, used = np.full(n + SHAPES + 2, OWN, dtype=np.int64), np.zeros((CLASSES, CLASSES)), [0] * CLASSES
+        for i in range(SINGLES, n):
+            k = kind[i]
+            if used[k] < OWN:
+                entry[i] = used[k]
+                mass[k, used[k]] = counts[i]
+                used[k] += 1
+        share = np.array([1.0] * (SINGLES + 1) + [shape_sums.get(s, 0) + 1.0 for s in range(SHAPES)])
+        mass[:, OWN] = np.maximum(1.0, share - mass[:, :OWN].sum(axis=1))
+        weight = share.copy()
+        weight[: min(n, SINGLES)] = counts[: min(n, SINGLES)]
+        weight[SINGLES] = texts + 1
+        weight[min(n, SINGLES) : SINGLES] = 0
+        with np.errstate(divide="ignore"):
+            class_base = np.maximum(np.log(weight / weight.sum()), _NEVER).astype(np.float32)
+            word_base = np.maximum(np.log(mass / mass.sum(axis=1, keepdims=True)), _NEVER).astype(np.float32)
+        return cls(index, np.log10(counts), kind, entry, context, class_base, word_base, np.log10(mass[:, OWN]), total, distinct)
 
     def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(rows of all tokens with an end after each text, tokens of each text)."""
         end = self.rare + SHAPES
-        n = np.array([len(t) + 1 for t in texts])
+        n = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         out = np.empty(int(n.sum()), dtype=np.int64)
         at = 0
         get = self.index.__getitem__
@@ -113,29 +144,48 @@ class Vocabulary:
             out[tail] = np.fromiter((zlib.crc32(flat[i].encode("utf-8", "surrogatepass")) for i in tail), np.uint64, len(tail))
         return out
 
-    def features(self, rows: np.ndarray, n: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
-        """Buckets of each token: word before, word before that (skip), both as an ordered pair of classes, and
-        the class three before (skip). A text's beginning fills what is missing. ``context`` is of ``contexts``."""
-        begin = self.rare + SHAPES + 1
-        starts = np.cumsum(n) - n
-        context = self.context[rows] if context is None else context
-        back, seen = [], []
+    def stream(self, texts: list[list[str]]) -> Stream:
+        rows, n = self.rows(texts)
+        return Stream(self, rows, n, self.contexts(rows, texts))
+
+
+@dataclass
+class Stream:
+    """The tokens of some texts, one text after the other."""
+
+    vocabulary: Vocabulary
+    rows: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+
+    def __post_init__(self) -> None:
+        begin = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(self.rows)) - np.repeat(begin, self.n)
+
+    def windows(self) -> Iterator[slice]:
+        return (slice(i, i + WINDOW) for i in range(0, len(self.rows), WINDOW))
+
+    def features(self, window: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a window's tokens for the class factor: the word before, the word before that (skip), both as
+        an ordered pair of classes, and the class three before (skip). And for the word factor, each with the
+        token's own class: the word before, and the word before that. A text's beginning fills what is missing."""
+        v, at = self.vocabulary, np.arange(*window.indices(len(self.rows)))
+        begin = v.rare + SHAPES + 1
+        seen, classes = [], []
         for k in (1, 2, 3):
-            p, c = np.full(len(rows), begin, dtype=np.int64), np.full(len(rows), self.context[begin])
-            p[k:], c[k:] = rows[:-k], context[:-k]
-            for j in range(k):
-                first = starts[n > j] + j
-                p[first], c[first] = begin, self.context[begin]
-            back.append(p)
-            seen.append(c)
-        c1, c2, c3 = (self.kind[p].astype(np.uint64) + np.uint64(64) * (p == begin).astype(np.uint64) for p in back)
-        keys = [seen[0] * np.uint64(8), seen[1] * np.uint64(8) + np.uint64(1), (c1 * np.uint64(128) + c2) * np.uint64(8) + np.uint64(2), c3 * np.uint64(8) + np.uint64(3)]
-        return np.stack([mix(k + np.uint64(0x2545F491)) % np.uint64(self.buckets) for k in keys], axis=1).astype(np.int64)
-
-
-def class_logs(weights: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Natural logs of every class's probability for each token."""
-    z = weights[buckets[:, 0]] + weights[-1]
+            there = self.place[at] >= k
+            back = np.where(there, at - k, 0)
+            seen.append(np.where(there, self.context[back], v.context[begin]))
+            classes.append(np.where(there, v.kind[self.rows[back]], CLASSES).astype(np.uint64))
+        own = v.kind[self.rows[at]].astype(np.uint64) << np.uint64(40)
+        keys = [seen[0], seen[1], classes[0] * np.uint64(128) + classes[1], classes[2], seen[0] + own, seen[1] + own]
+        found = np.stack([mix(k * np.uint64(8) + np.uint64(i + 0x2545F490)) % np.uint64(v.buckets) for i, k in enumerate(keys)], axis=1).astype(np.int64)
+        return found[:, :CLASS_FEATURES], found[:, CLASS_FEATURES:]
+
+
+def log_softmax(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Natural logs of every outcome's probability for each token; base: of each outcome, or of each token and outcome."""
+    z = weights[buckets[:, 0]] + base
     for k in range(1, buckets.shape[1]):
         z += weights[buckets[:, k]]
     z -= z.max(axis=1, keepdims=True)
@@ -143,82 +193,140 @@ def class_logs(weights: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return z
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, buckets: np.ndarray, kinds: np.ndarray) -> None:
-    """Gradient steps over minibatches, in place; each bucket has its own step size (by its summed squares)."""
-    every = np.arange(CLASSES)
-    for i in range(0, len(kinds), MINIBATCH):
-        b, y = buckets[i : i + MINIBATCH], kinds[i : i + MINIBATCH]
-        g = np.exp(class_logs(weights, b))
-        g[np.arange(len(y)), y] -= 1
-        rows, at, seen = np.unique(b.T, return_inverse=True, return_counts=True)
-        grad = np.zeros(len(rows) * CLASSES)
-        for k in at.reshape(b.T.shape):
-            grad += np.bincount((k[:, None] * CLASSES + every).ravel(), g.ravel(), minlength=len(grad))
-        grad = (grad.reshape(-1, CLASSES) / np.sqrt(seen)[:, None]).astype(np.float32)
-        squares[rows] += (grad * grad).mean(axis=1)
-        weights[rows] -= RATE * grad / np.sqrt(squares[rows] + 1.0)[:, None] * np.float32(0.5)
-        bias = g.mean(axis=0)
-        weights[-1] -= np.float32(0.2) * bias
-
-
-def _texts(b: pa.RecordBatch, column: int, size: int = 500) -> Iterator[tuple[int, list[list[str]]]]:
-    for start in range(0, b.num_rows, size):
-        yield start, [tokens(t.as_py()) for t in b.column(column).slice(start, size)]
-
-
-def _round(docs: DataFrame, text: str, vocabulary, weights: np.ndarray) -> np.ndarray:  # noqa: ANN001
-    """One round: every task descends through its rows from ``weights``; averages by bucket, by times seen."""
-    given = docs.sparkSession.sparkContext.broadcast(weights)
+def factors(v: Vocabulary, weights: np.ndarray, stream: Stream, window: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The class factor and then the word factor of a window: (places in it, buckets, outcomes, logs of all outcomes'
+    probabilities). Words that are classes of their own have no word factor."""
+    rows = stream.rows[window]
+    by_class, by_word = stream.features(window)
+    kinds = v.kind[rows]
+    yield np.arange(len(rows)), by_class, kinds, log_softmax(weights, by_class, v.class_base)
+    at = np.flatnonzero(kinds > SINGLES)
+    if len(at):
+        yield at, by_word[at], v.entry[rows[at]], log_softmax(weights, by_word[at], v.word_base[kinds[at]])
+
+
+def _texts(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[str]]]]:
+    """(first row, tokens of each text) for slices of some CHARS characters; a longer text stands alone."""
+    start, held, size = 0, [], 0
+    for i, t in enumerate(b.column(column)):
+        t = t.as_py() or ""
+        if held and size + len(t) > CHARS:
+            yield start, held
+            start, held, size = i, [], 0
+        held.append(tokens(t))
+        size += len(t)
+    if held:
+        yield start, held
+
+
+def observed(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
+    """Add to ``sums`` (by bucket and outcome) how often each feature stands with each outcome."""
+    stream, flat = v.stream(texts), sums.ravel()
+    for window in stream.windows():
+        rows = stream.rows[window]
+        by_class, by_word = stream.features(window)
+        at = np.flatnonzero(v.kind[rows] > SINGLES)
+        for buckets, y in ((by_class, v.kind[rows]), (by_word[at], v.entry[rows[at]])):
+            keys, n = np.unique((buckets * CLASSES + y[:, None]).ravel(), return_counts=True)
+            flat[keys] += n
+
+
+def add_rows(sums: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
+    """sums[key] += row for all rows: those of one key are added in pairs until each key has one."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        place = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+        odd = np.flatnonzero(place & 1)
+        if not len(odd):
+            break
+        rows[odd - 1] += rows[odd]
+        even = np.flatnonzero(place & 1 == 0)
+        keys, rows = keys[even], rows[even]
+    sums[keys] += rows
+
+
+def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]]) -> None:
+    """Add to ``sums`` what the model expects ``observed`` to be."""
+    stream = v.stream(texts)
+    for window in stream.windows():
+        for _, buckets, _, logs in factors(v, weights, stream, window):
+            p = np.exp(logs)
+            for k in range(buckets.shape[1]):
+                add_rows(sums, buckets[:, k], p)
+
+
+def update(weights: np.ndarray, data: np.ndarray, model: np.ndarray, rate: float) -> np.ndarray:
+    """One synchronous step along the gradient data - model, each weight's scaled by its curvature (at most the counts
+    themselves) and held back where a bucket is seldom met. model may be of a share of the rows: each bucket's sum says
+    of how many."""
+    n, seen = data.sum(axis=1, keepdims=True), model.sum(axis=1, keepdims=True)
+    model = model * np.divide(n, seen, out=np.zeros_like(seen), where=seen > 0)
+    step = (data - model) / (np.maximum(data, model) + SMOOTH) * (n / (n + RARE))
+    return (weights + rate * np.where(seen > 0, step, 0)).astype(np.float32)
+
+
+def _sum_over_tasks(docs: DataFrame, text: str, buckets: int, add, kind: type) -> np.ndarray:  # noqa: ANN001
+    """The sums (by bucket and outcome) that ``add`` makes of every batch of texts, added over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = vocabulary.value, given.value.copy()
-        squares, seen = np.zeros(len(w), np.float32), np.zeros(len(w), np.int64)
+        sums = np.zeros((buckets, CLASSES), kind)
         for b in batches:
             for _, texts in _texts(b, 0):
-                rows, n = v.rows(texts)
-                found = v.features(rows, n, v.contexts(rows, texts))
-                descend(w, squares, found, v.kind[rows])
-                seen += np.bincount(found.ravel(), minlength=len(w))
-                seen[-1] += len(rows)
-        at = np.flatnonzero(seen)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array([x.tobytes() for x in w[at].astype(np.float16)], pa.binary())], ["bucket", "seen", "w"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                add(sums, texts)
+        at = np.flatnonzero(sums.any(axis=1))
+        for i in range(0, len(at), 10_000):
+            some = at[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in sums[some].astype(np.float32)], pa.binary())], ["bucket", "v"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Row i of ``sums`` is of the i-th bucket met.
         where: dict[int, int] = {}
-        sums, times = np.zeros((0, CLASSES)), np.zeros(0, np.int64)
+        sums = np.zeros((0, CLASSES))
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            w = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float16).reshape(-1, CLASSES)
+            keys, v = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, CLASSES)
             order = np.argsort(keys, kind="stable")
             met, first = np.unique(keys[order], return_index=True)
             at = np.array([where.setdefault(k, len(where)) for k in met.tolist()])
-            if len(where) > len(times):
-                more = max(len(where), 2 * len(times)) - len(times)
-                sums, times = np.concatenate([sums, np.zeros((more, CLASSES))]), np.concatenate([times, np.zeros(more, np.int64)])
-            sums[at] += np.add.reduceat(n[order, None] * w[order].astype(np.float64), first)
-            times[at] += np.add.reduceat(n[order], first)
-        out = (sums[: len(where)] / times[: len(where), None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["bucket", "w"])
-
-    local = docs.select(F.col(text)).mapInArrow(run, "bucket long, seen long, w binary")
+            if len(where) > len(sums):
+                sums = np.concatenate([sums, np.zeros((max(len(where), 2 * len(sums)) - len(sums), CLASSES))])
+            sums[at] += np.add.reduceat(v[order].astype(np.float64), first)
+        yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int64()), pa.array([x.tobytes() for x in sums[: len(where)]], pa.binary())], ["bucket", "v"])
+
+    local = docs.select(F.col(f"`{text}`")).mapInArrow(run, "bucket long, v binary")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = weights.copy()
-    # As many rows as buckets at most: one for WORDS_A_BUCKET distinct words.
-    for r in local.repartition(parts, "bucket").mapInArrow(average, "bucket long, w binary").collect():
-        out[r["bucket"]] = np.frombuffer(r["w"], np.float32)
+    out = np.zeros((buckets, CLASSES))
+    # As many rows as buckets, so MOST_BUCKETS at most.
+    for r in local.repartition(parts, "bucket").mapInArrow(added, "bucket long, v binary").collect():
+        out[r["bucket"]] = np.frombuffer(r["v"], np.float64)
     return out
 
 
+def train(docs: DataFrame, vocabulary, text: str = "text") -> np.ndarray:  # noqa: ANN001
+    """Weights from all rows: the observed counts of all, then one update for each of STEPS with its share of them."""
+    spark, buckets = docs.sparkSession, vocabulary.value.buckets
+    data = _sum_over_tasks(docs, text, buckets, lambda sums, texts: observed(vocabulary.value, sums, texts), np.int64)
+    weights = np.zeros((buckets, CLASSES), np.float32)
+    share, low = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(sum(STEPS))), 0
+    for k, rate in zip(STEPS, RATES):
+        given = spark.sparkContext.broadcast(weights)
+        some = docs.filter((share >= low) & (share < low + k))
+        weights = update(weights, data, _sum_over_tasks(some, text, buckets, lambda sums, texts, w=given: expected(vocabulary.value, w.value, sums, texts), np.float64), rate)
+        given.unpersist()
+        low += k
+    return weights
+
+
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every row's whole text with a model learnt from the rows where ``learn`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10. A null
     or empty text is the end token alone. Without training rows every count is 0. Repeated rows and null ids
-    stay; other columns are read only as far as ``learn`` needs them.
+    stay; other columns are read only as far as ``learn`` needs them. ids are read as long. A very long text is held
+    whole in one task, its probabilities a window at a time.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     learnt = docs.filter(learn).select(F.col(f"`{text}`").alias("text"))
@@ -230,10 +338,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     total, distinct = sum(r["n"] for r in sums) + texts, sum(r["k"] for r in sums) + (texts > 0)
     built = Vocabulary.build(head, {r["s"]: r["n"] + r["k"] for r in sums if not r["single"]}, texts, total, distinct)
     vocabulary = spark.sparkContext.broadcast(built)
-    weights = np.zeros((built.buckets + 1, CLASSES), np.float32)
-    slices = F.xxhash64("text") % 8
-    weights = _round(learnt.filter(slices == 0), "text", vocabulary, weights)
-    weights = _round(learnt.filter(F.coalesce(slices, F.lit(1)) != 0), "text", vocabulary, weights)
+    weights = train(learnt, vocabulary)
     given = spark.sparkContext.broadcast(weights)
     floor = math.log10(total + distinct + 1)
 
@@ -242,13 +347,14 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         known_end = texts > 0
         for b in batches:
             for start, lists in _texts(b, 1):
-                rows, n = v.rows(lists)
+                stream = v.stream(lists)
+                rows, n = stream.rows, stream.n
                 begin = np.cumsum(n) - n
-                kinds = v.kind[rows]
-                found = v.features(rows, n, v.contexts(rows, lists))
-                p = np.concatenate([class_logs(w, found[i : i + MINIBATCH])[np.arange(len(kinds[i : i + MINIBATCH])), kinds[i : i + MINIBATCH]] for i in range(0, len(rows), MINIBATCH)]).astype(np.float64) / math.log(10)
                 logc = v.logc[rows]
-                model = p - v.log_share[kinds] + np.where(kinds > SINGLES, logc, 0)
+                model = np.where((v.kind[rows] > SINGLES) & (v.entry[rows] == OWN), logc - v.log_share[v.kind[rows]], 0.0)
+                for window in stream.windows():
+                    for places, _, y, logs in factors(v, w, stream, window):
+                        model[window.start + places] += logs[np.arange(len(y)), y] / math.log(10)
                 in_head = rows < v.rare
                 known = np.add.reduceat(in_head, begin, dtype=np.int64) + known_end
                 ids = at + np.arange(len(lists))

@@ -531,22 +531,96 @@ def test_scores_against_counts(docs):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_probabilities_sum_to_one():
-    """Over all known words, one unknown word of each shape and the end, after any history."""
-    head = [(f"w{i}", 100 - i) for i in range(90)]
+def small_model(seed=0):
+    """A vocabulary with words that are classes, words with entries of their own, other known words and a tail."""
+    head = [(f"w{i}", 4000 - i) for i in range(3000)]
     tail = {"rare": 1, "odd": 2}
     sums = defaultdict(int)
     for w, k in [*head[lm.SINGLES :], *tail.items()]:
         sums[lm._shape(w)] += k + 1
-    v = lm.Vocabulary.build(head, sums, 5, 1000, 93)
-    weights = np.random.default_rng(0).normal(size=(lm.BUCKETS + 1, lm.CLASSES)).astype(np.float32)
-    rows, n = v.rows([["w3", "rare", "w70", "zzz"]])
-    p = np.exp(lm.class_logs(weights, v.features(rows, n)).astype(float))
-    assert p.sum(axis=1) == pytest.approx(1, abs=1e-4)
-    for shape in range(lm.SHAPES):
-        words = [w for w, _ in head[lm.SINGLES :] if lm._shape(w) == shape] + [w for w in tail if lm._shape(w) == shape]
-        counts = {**dict(head), **tail}
-        assert sum((counts[w] + 1) for w in words) + 1 == pytest.approx(10 ** v.log_share[lm.SINGLES + 1 + shape])
+    v = lm.Vocabulary.build(head, sums, 5, 1000, 3003)
+    weights = np.random.default_rng(seed).normal(size=(v.buckets, lm.CLASSES)).astype(np.float32)
+    return v, weights, dict(head) | tail
+
+
+def model_logs(v, weights, texts):
+    """log10 of each token's model probability without the counts of words outside the head."""
+    s = v.stream(texts)
+    out = np.where((v.kind[s.rows] > lm.SINGLES) & (v.entry[s.rows] == lm.OWN), v.logc[s.rows] - v.log_share[v.kind[s.rows]], 0.0)
+    for window in s.windows():
+        for at, _, y, logs in lm.factors(v, weights, s, window):
+            out[window.start + at] += logs[np.arange(len(y)), y] / np.log(10)
+    return out
+
+
+def test_probabilities_sum_to_one():
+    """Over all known words, an unknown word of each shape and the end, after any history."""
+    v, weights, counts = small_model()
+    unknown = {}
+    for i in itertools.count():
+        unknown.setdefault(lm._shape(f"?{i}"), f"?{i}")
+        if len(unknown) == lm.SHAPES:
+            break
+    for history in ([], ["w3"], ["w2999", "rare", "w70", "zzz"]):
+        total = 0.0
+        for w in [*counts, *unknown.values(), None]:
+            text = [*history, w] if w else history
+            p = model_logs(v, weights, [text])[len(history)]
+            total += 10**p * (counts[w] + 1 if w in counts and w not in v.index else 1)
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_softmax_against_brute_force():
+    """Both factors of every token from the weights, one outcome at a time."""
+    v, weights, counts = small_model(1)
+    texts = [["w3", "rare", "w70", "zzz", "w2999", "w1"], [], ["odd"]]
+    want = []
+    for t in texts:
+        kinds = [int(v.kind[v.index[w]]) for w in t] + [lm.SINGLES]
+        seen = [zlib.crc32(w.encode()) for w in t]
+        for i, w in enumerate([*t, None]):
+            back = lambda k, what, none: what[i - k] if i >= k else none  # noqa: B023, E731
+            c, ctx = [back(k, kinds, lm.CLASSES) for k in (1, 2, 3)], [back(k, seen, 2) for k in (1, 2)]
+            own = kinds[i] << 40
+            keys = [ctx[0], ctx[1], c[0] * 128 + c[1], c[2], ctx[0] + own, ctx[1] + own]
+            rows = [int(W.mix(np.array([k * 8 + j + 0x2545F490], np.uint64))[0]) % v.buckets for j, k in enumerate(keys)]
+
+            def log_p(rows, base, y):
+                z = [sum(float(weights[r, o]) for r in rows) + float(base[o]) for o in range(lm.CLASSES)]
+                return z[y] - max(z) - np.log(sum(np.exp(x - max(z)) for x in z))
+
+            p = log_p(rows[:4], v.class_base, kinds[i])
+            if kinds[i] > lm.SINGLES:
+                entry = int(v.entry[v.index[w]])
+                p += log_p(rows[4:], v.word_base[kinds[i]], entry)
+                if entry == lm.OWN:
+                    p += np.log((counts[w] + 1 if w in v.index else 1) / 10 ** v.log_share[kinds[i]])
+            want.append(p / np.log(10))
+    assert model_logs(v, weights, texts) == pytest.approx(want, abs=1e-4)
+
+
+def test_expected_counts_against_brute_force():
+    v, weights, _ = small_model(2)
+    texts = [["w3", "w3", "w70", "w3", "w3"] * 30, ["rare", "w5"]]
+    got, want = np.zeros((v.buckets, lm.CLASSES)), np.zeros((v.buckets, lm.CLASSES))
+    lm.expected(v, weights, got, texts)
+    s = v.stream(texts)
+    for window in s.windows():
+        for _, buckets, _, logs in lm.factors(v, weights, s, window):
+            for row, p in zip(buckets, np.exp(logs)):
+                for b in row:
+                    want[b] += p
+    assert np.allclose(got, want, atol=1e-4)
+    data = np.zeros((v.buckets, lm.CLASSES), np.int64)
+    lm.observed(v, data, texts)
+    assert data.sum() == lm.CLASS_FEATURES * len(s.rows) + lm.WORD_FEATURES * (v.kind[s.rows] > lm.SINGLES).sum() and np.allclose(data.sum(axis=1), got.sum(axis=1), atol=1e-3)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = [dict(map(tuple, lm.score(docs.repartition(k), queries.fold(7) != 2).select("doc_id", "score").collect())) for k in (1, 4, 32)]
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(abs(other[i] - got[0][i]) <= 1e-6 * abs(got[0][i]) for i in other)
 
 
 def test_model_beats_unigrams_held_out(spark):
@@ -562,24 +636,34 @@ def test_lm_edges(docs, empty, nulls):
 
 
 def test_every_context_word_is_told_apart():
-    """Words outside the head too, and the class three words back is seen."""
+    """Words outside the head too, and the class three words back is seen, by both factors."""
     head = [(f"w{i}", 10_000 - i) for i in range(5000)]
     v = lm.Vocabulary.build(head, {}, 5, 1000, 5002)
-    back = lambda t: v.features(*v.rows([t]), v.contexts(v.rows([t])[0], [t]))
+    back = lambda t: np.hstack(v.stream([t]).features(slice(0, 10)))
     a, b = "xxing", "yying"
     assert lm._shape(a) == lm._shape(b) and a not in v.index
     for x, y in ((a, b), ("w4998", "w998"), ("w4999", "w999")):
-        assert lm._shape(x) == lm._shape(y) and (back([x, "w1"])[1:, :2].diagonal() != back([y, "w1"])[1:, :2].diagonal()).all()
-    assert (back(["w1", "w2", "w3"])[3] != back(["w4", "w2", "w3"])[3]).sum() == 1 and back(["w1"]).shape == (2, 4)
+        assert lm._shape(x) == lm._shape(y)
+        for k in (0, 1, 4, 5):  # the word before and the one before that
+            at = 1 + k % 2
+            assert back([x, "w1"])[at, k] != back([y, "w1"])[at, k]
+    assert (back(["w1", "w2", "w3"])[3] != back(["w4", "w2", "w3"])[3]).sum() == 1 and back(["w1"]).shape == (2, 6)
 
 
 def test_buckets_grow_with_the_vocabulary():
     size = lambda distinct: lm.Vocabulary.build([("a", 1)], {}, 1, 1, distinct).buckets
-    assert size(93) == lm.BUCKETS and 1.9 < size(8_000_000) / size(4_000_000) < 2.1
+    assert size(93) == lm.BUCKETS and 1.9 < size(16_000_000) / size(8_000_000) < 2.1 and size(10**12) == lm.MOST_BUCKETS
     v = lm.Vocabulary.build([("a", 1)], {}, 1, 1, 8_000_000)
-    texts = [[f"t{i}" for i in range(20_000)]]
-    rows, n = v.rows(texts)
-    assert v.features(rows, n, v.contexts(rows, texts)).max() > lm.BUCKETS
+    s = v.stream([[f"t{i}" for i in range(20_000)]])
+    assert max(max(x.max() for x in s.features(w)) for w in s.windows()) > lm.BUCKETS
+
+
+def test_very_long_text_scores_as_its_windows_do():
+    """A text over many windows has the sum of its tokens' scores, whatever the window."""
+    v, weights, _ = small_model(3)
+    text = [f"w{i * 7 % 3100}" for i in range(3 * lm.WINDOW + 5)]
+    whole = model_logs(v, weights, [text])
+    assert len(whole) == len(text) + 1 and whole[lm.WINDOW - 4 : lm.WINDOW + 4] == pytest.approx(model_logs(v, weights, [text[: lm.WINDOW + 50]])[lm.WINDOW - 4 : lm.WINDOW + 4], abs=1e-5)
 
 
 
