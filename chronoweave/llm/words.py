@@ -61,6 +61,12 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parts_for(docs: DataFrame, text: str, size: int) -> int:
+    """Parts of about ``size`` bytes of text each: from the input's size, and no fewer than the session's partitions."""
+    found = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // size))
+
+
 def count_words(docs: DataFrame, text: str, split: Callable[[str], list[str]], flush: int = 300_000) -> DataFrame:
     """(word, n) over all rows: counted in each task first, then summed by word. A task holds ``flush`` words at most."""
 

@@ -293,17 +293,45 @@ def test_encode_decode(docs, empty, nulls):
     for i, t in corpus():
         e = tok.encode(t or "", add_special_tokens=False).ids
         want[i, len(e), hashlib.sha256(struct.pack(f"<{len(e)}I", *e)).hexdigest(), hashlib.sha256(tok.decode(e, skip_special_tokens=False).encode()).hexdigest()] += 1
-    for most in (0, 50, bpe.TABLE_WORDS):
-        assert Counter(map(tuple, bpe.encode_decode(docs, path, most=most).collect())) == want
+    for parts in (1, 5):
+        assert Counter(map(tuple, bpe.encode_decode(docs.repartition(parts), path).collect())) == want
     assert bpe.encode_decode(empty, path).count() == 0
     assert {r["n_tokens"] for r in bpe.encode_decode(nulls, path).collect()} == {0}
 
 
 def test_encode_then_decode_columns(spark):
     path = queries.vocabulary("word_bpe_49k.json")
-    df = bpe.decode(bpe.encode(spark.createDataFrame([("Hello, World",), (None,)], "text string"), path), path)
+    df = bpe.decode(bpe.encode(spark.createDataFrame([(1, "Hello, World"), (2, None)], "doc_id long, text string"), path), path)
     tok = library("word_bpe_49k.json")
-    assert {r["decoded"] for r in df.collect()} == {tok.decode(tok.encode("Hello, World", add_special_tokens=False).ids), ""}
+    ids = tok.encode("Hello, World", add_special_tokens=False).ids
+    assert sorted(map(tuple, df.collect())) == [(1, ids, tok.decode(ids)), (2, [], "")]
+    assert [r["decoded"] for r in bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), path).collect()] == [""]
+
+
+def test_each_distinct_word_is_encoded_once(spark):
+    """In one part of all, however many batches hold it."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, f"the same words and word{i % 50} again") for i in range(400)], "doc_id long, text string").repartition(7)
+    split = bpe.split_texts(docs, 5).cache()
+    import zstandard
+
+    where = defaultdict(set)
+    for r in split.filter("part is not null").collect():
+        for w in zstandard.decompress(r["words"]).decode().split(" "):
+            where[w].add(r["part"])
+    assert len(where) == 55 and all(len(p) == 1 for p in where.values())
+    assert bpe.encode_parts(split, path).count() == split.filter("part is not null").count()
+    split.unpersist()
+
+
+def test_very_long_texts_of_words(spark):
+    path, tok = queries.vocabulary("word_bpe_49k.json"), library("word_bpe_49k.json")
+    texts = ["a " * 700_000, " " * 2_000_000, "z" * 200_000, " ".join(f"w{i}" for i in range(150_000))]
+    got = {r["doc_id"]: r for r in bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        e = tok.encode(t, add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256(tok.decode(e, skip_special_tokens=False).encode()).hexdigest()
 
 
 AWKWARD = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "a", "B", "'s", "'LL", "É", "é", "İ", "ß", "1", "²", "!", "...", "<|endoftext|>", "<|startoftext|>", "日本", "😀", "‍", "don't", "ﬁ", "가"]
@@ -313,13 +341,15 @@ def test_awkward_texts_encode_as_the_library_does():
     r = random.Random(5)
     texts = ["".join(r.choices(AWKWARD, k=r.randint(0, 12))) for _ in range(4000)]
     word, byte = library("word_bpe_49k.json"), library("byte_bpe_50k.json")
-    at = bpe.Positions(queries.vocabulary("word_bpe_49k.json"), {})
     lists = [W.words(t) for t in texts]
-    at.prepare(lists)
+    flat, n = bpe.encode_words(queries.vocabulary("word_bpe_49k.json"), [w for ws in lists for w in ws])
+    of = np.split(flat, np.cumsum(n))
     own = packing.ByteEncoder(queries.vocabulary("byte_bpe_50k.json"))
+    at = 0
     for t, ws in zip(texts, lists):
         ids = word.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(b"".join(map(at.get, ws)), "<u4").tolist() == ids
+        assert [i for x in of[at : at + len(ws)] for i in x.tolist()] == ids
+        at += len(ws)
         assert own.encode(t).tolist() == byte.encode(t, add_special_tokens=False).ids
 
 
