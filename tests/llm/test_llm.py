@@ -274,6 +274,51 @@ def test_remove_repeats(spark, docs, empty, nulls):
         assert suffixes.repeated_passages(df).count() == 0 and suffixes.remove_repeats(df).count() == df.count()
 
 
+def test_rows_that_lose_all_words_go(spark):
+    say = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, say), (2, "\n" + say + " \t\r\n"), (3, "\n"), (4, "\n" + say + " more")]
+    left = {r["doc_id"]: r["text"] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: say, 3: "\n", 4: "\nmore"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_runs_against_brute_force(seed):
+    """Suffixes that agree far to one side with one neighbour and to the other side with another."""
+    r = np.random.default_rng(seed)
+    n, width = 40, suffixes.BEFORE + suffixes.PASSAGE
+    base = r.integers(1, 3, size=(4, width)).astype(np.uint64)
+    around = base[r.integers(0, 4, n)]
+    around[:, suffixes.BEFORE : suffixes.BEFORE + suffixes.LEAD] = 7
+    for i in range(n):
+        around[i, : r.integers(0, suffixes.BEFORE)] = r.integers(3, 5)
+        around[i, width - r.integers(0, 25) :] = r.integers(3, 5)
+    least = r.integers(0, 10, n).astype(np.uint8)
+    most = (least + r.integers(0, 16, n)).astype(np.uint8)
+    found, later = suffixes.repeated_runs(around, least, most)
+    for a in range(suffixes.BEFORE + 1):
+        runs = [tuple(w[suffixes.BEFORE - a : suffixes.BEFORE - a + 50]) if lo <= a <= hi else None for w, lo, hi in zip(around.tolist(), least, most)]
+        for i, x in enumerate(runs):
+            assert bool(found[i] >> a & 1) == (x is not None and runs.count(x) > 1)
+            assert bool(later[i] >> a & 1) == (x is not None and x in runs[:i])
+
+
+def test_a_passage_in_many_rows(spark):
+    """Beyond two in a task the later ones are known at once, in whatever order ids come."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(1000 - i * 7 % 997, f"a{i} b{i} {passage} c{i}") for i in range(300)]
+    got = Counter(tuple(x) for x in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect())
+    assert got == brute_passages(rows) and sum(1 for *_, later in got if not later) == 1
+
+
+def test_very_long_texts_repeat(spark):
+    long = " ".join(f"w{i * i % 99991}x{i}" for i in range(120_000))
+    rows = [(1, long), (2, "start " + long[len(long) // 2 :]), (3, "same " * 100_000), (4, " " * 2_000_000), (5, "y" * 2_000_000)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    half = len(long[len(long) // 2 :].split()) - 1  # its first word is cut
+    assert set(got) == {1, 2, 3} and got[3] == (0, 100_000, 99_999)
+    assert got[1] == (120_000 - half, half, 0) and got[2][1:] == (half, half)
+
+
 def test_cut_words():
     assert suffixes.cut_words("a  b\nc d", [(1, 2)]) == "a  d" and suffixes.cut_words("a b", [(0, 2)]) == "" and suffixes.cut_words(" a b c", [(0, 1), (2, 1)]) == " b "
 
@@ -528,12 +573,64 @@ def test_filters_hold_their_grams():
     r = np.random.default_rng(2)
     langs = [f"l{i}" for i in range(70)]  # more than one plane
     grams = {k: r.integers(0, 2**32, 500, dtype=np.uint32) for k in langs}
-    f = langid.Filters.build(langs, grams)
+    f = langid.Filters.build(langs, grams, 1 << 19)
     for k in ("l0", "l63", "l64", "l69"):
         hits = f.hits(grams[k])
         assert hits[langs.index(k)] == 500 and np.delete(hits, langs.index(k)).max() < 50
 
 
+def test_language_against_sets(spark):
+    """Filters and popcounts against sets of n-grams: counts, telling n-grams, hits and decision recounted plainly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learn = docs.filter((queries.fold(4) != 2) & F.col("lang").isNotNull())
+    f = langid.train(learn)
+    counts = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            data = re.sub(rb"[^a-zA-Z\x80-\xff]", b" ", (" " + (t or "").lower() + " ").encode())
+            counts[lang].update(data[k : k + 4] for k in range(len(data) - 3))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    assert f.langs == sorted(total, key=lambda k: (-total[k], k))
+    rate = lambda k, g: counts[k][g] / total[k]
+    telling = {k: {g for g in c if rate(k, g) >= langid.SHARE * max(rate(j, g) for j in counts)} for k, c in counts.items()}
+    agree, every = 0, set()
+    for i, t, _ in rows:
+        data = re.sub(rb"[^a-zA-Z\x80-\xff]", b" ", (" " + (t or "").lower() + " ").encode())
+        grams = [data[k : k + 4] for k in range(len(data) - 3)]
+        want = {k: sum(g in telling[k] for g in grams) for k in f.langs}
+        lang, score = f.predict(t)
+        if lang == "und":
+            assert not any(map(str.isalpha, t or ""))
+            continue
+        every.update(grams)
+        hits, n = f.hits(langid.gram_codes(t)), len(grams)
+        assert all(hits[j] >= want[k] for j, k in enumerate(f.langs))  # a filter never loses an n-gram
+        agree += lang == max(f.langs, key=lambda k: want[k])
+        true = [max(0.0, (h - n * r) / (1 - r)) for h, r in zip(hits, f.false_rate)]
+        assert lang == f.langs[true.index(max(true))] and score == pytest.approx(max(true) / sum(true) if sum(true) else 0)
+    assert agree >= 0.99 * sum(any(map(str.isalpha, t or "")) for _, t, _ in rows)
+    codes = np.array([int.from_bytes(g, "big") for g in every], np.uint32)
+    for j, (k, h) in enumerate(zip(f.langs, f.hits(codes))):
+        other = len(every - telling[k])
+        assert h - len(every & telling[k]) <= 20 + 3 * other * f.false_rate[j]
+
+
+def test_no_ngram_is_left_out(spark):
+    """Filters grow with the n-grams, and all of a language's are in."""
+    r = random.Random(4)
+    text = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000))
+    f = langid.train(spark.createDataFrame([(text, "a"), ("zz zz", "b")], "text string, lang string"))
+    codes = np.unique(langid.gram_codes(text))
+    assert len(codes) > 150_000 and len(f.planes[0]) >= 8 * len(codes) and f.hits(codes)[f.langs.index("a")] > 0.999 * len(codes)
+
+
+def test_very_long_and_very_short_texts_have_a_language(spark):
+    f = langid.train(spark.createDataFrame([("the house of the river " * 50, "en"), ("das haus an dem fluss " * 40, "de")], "text string, lang string"))
+    assert f.predict("das haus " * 300_000)[0] == "de" and f.predict(" " * 2_000_000) == ("und", 0.0)
+    assert f.predict("a") == ("en", 0.0)
+
+
 def test_language_edges(spark, docs, empty, nulls):
     f = langid.train(docs.filter("lang is not null"))
     got = {r["doc_id"]: r for r in langid.identify(docs, f).filter("doc_id is not null").collect()}
