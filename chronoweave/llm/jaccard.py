@@ -19,7 +19,9 @@ Which pairs are counted at all follows from prefixes, without loss:
    and no link is lost.
 
 A shingle that a hundredth of a batch of documents holds is named frequent where it is met, so its holders
-never gather in one task. Fingerprints of sets have 64 bits, shingles 48 within a comparison.
+never gather in one task. Fingerprints of sets have 64 bits, and so have the shingles that confirm a link. Shingles
+have 48 bits where candidates are counted; where a set is so large that two of its own may agree in those, the bounds
+give way by as much. The number of parts follows from the input's size, so a task's share has a bound.
 """
 
 from __future__ import annotations
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 from . import bitfilter
 from .components import components
 from .scratch import Scratch
-from .words import Hashes, grams, lower_ascii, mix, words
+from .words import Hashes, grams, lower_ascii, mix, parts_for, words
 
 SHINGLE = 5
 FRAGMENTS = 4
 #: Documents that a task holds the sets of at a time.
 BATCH = 4000
+#: Bytes of text whose shingles a part counts.
+PART_BYTES = 16_000_000
 FREQUENT = 2**31 - 1
 
 
@@ -68,6 +72,11 @@ def rare_length(n: int) -> int:
     return prefix_length(n) - max(1, needed(n) // 8) + 1
 
 
+def slack(n: int) -> int:
+    """How many of a set's 48-bit numbers may fall together, generously: none below a million."""
+    return 2 * n // 1_000_000
+
+
 def _pack(tokens: np.ndarray) -> bytes:
     """48-bit numbers as six bytes each."""
     return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -146,7 +155,7 @@ def _whole(sets: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = [_unpack(x.as_py()) for x in b.column(2)]
+            pieces = [np.frombuffer(x.as_py(), np.uint64) >> np.uint64(16) for x in b.column(2)]
             owners, first, local = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)
             if sum(map(len, pieces)):
                 yield _dealt(owners, b.column(1).to_numpy()[first], np.concatenate(pieces), np.repeat(local, [len(p) for p in pieces]), parts)
@@ -217,7 +226,7 @@ def _rarest(table: pa.Table, extra) -> tuple[np.ndarray, ...]:  # noqa: ANN001
     first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
     shared = np.diff(np.append(first, len(t)))
     # Those that no other class has come before all of these.
-    most = shared - np.array([extra(int(x)) for x in n[first]])
+    most = shared - np.array([extra(int(x)) - slack(int(x)) for x in n[first]])
     take = np.arange(len(t)) - np.repeat(first, shared) < np.repeat(most, shared)
     return o[take], t[take], n[take], np.repeat(shared, shared)[take]
 
@@ -250,9 +259,8 @@ def _meta_and_sets(docs: DataFrame, asked: np.ndarray, size: int) -> DataFrame:
                     continue
                 done.add(c)
                 if bitfilter.passes(bits, np.array([c]))[0]:
-                    t48 = s >> np.uint64(16)
-                    cut = np.searchsorted(t48, np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64((1 << 48) // FRAGMENTS))
-                    out += [(c, len(s), f, _pack(t48[cut[f] : cut[f + 1]])) for f in range(FRAGMENTS)]
+                    cut = [0, *np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)), len(s)]
+                    out += [(c, len(s), f, s[cut[f] : cut[f + 1]].tobytes()) for f in range(FRAGMENTS)]
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(owner, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "owner", "fragment", "tokens"])
             if out:
@@ -268,9 +276,9 @@ CELLS = 16
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        common = [np.intersect1d(_unpack(x.as_py()), _unpack(y.as_py()), assume_unique=True) for x, y in zip(b.column(3), b.column(4))]
-        # A fragment is two leading bits of 48; its cells are the four bits after those.
-        cells = [np.bincount((t >> np.uint64(42)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.int32) for t in common]
+        common = [np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True) for x, y in zip(b.column(3), b.column(4))]
+        # A fragment is two leading bits of 64; its cells are the four bits after those.
+        cells = [np.bincount((t >> np.uint64(58)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.int32) for t in common]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in common], pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["a", "b", "fragment", "common", "cells"])
 
 
@@ -290,11 +298,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two texts are linked when 100 * intersection >= 75 * union of their sets of ``shingle``-word shingles.
     component_id is the smallest doc_id that links lead to. Null texts and texts without words have no shingles,
     are linked with nothing, and keep their own id. Repeated rows fall into one component; null ids never name
-    one. An empty table gives no rows; other columns are not read.
+    one. ids are read as long. An empty table gives no rows; other columns are not read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    parts = parts_for(source, "text", PART_BYTES)
     counted = "part int, owners binary, sizes binary, tokens binary, holders binary, df binary"
     routed = _prefixes(source.select("text"), parts, shingle).groupBy("key").applyInArrow(_count(parts), counted)
     maybe = scratch.save(routed.groupBy("part").applyInArrow(_candidates, "owner long"), "maybe")
@@ -304,14 +312,16 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = scratch.save(routed.groupBy("part").applyInArrow(_choose, "owner long, token long, n long, u long"), "held")
     wanted = held.select("owner").distinct()
     # Linked sets differ in (m + n) / 7 shingles at most, and in all of those that no other class has.
-    fits = "4 * least(m, n) >= 3 * greatest(m, n) and 7 * (u + v) <= m + n"
+    fits = "4 * least(m, n) >= 3 * greatest(m, n) and 7 * (u + v) <= m + n + (m + n) div 50000"
 
     # One pivot for each shingle and size class, the one with the fewest shingles of its own: near copies of a text
-    # are nearer to it than to each other; linked sets lie in the same or adjacent size classes.
+    # are nearer to it than to each other. Linked sets lie in the same or adjacent size classes, so a set is a member of
+    # its own class's pivot and of the next one's: any two that can be linked are members of one pivot.
     step = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     sized = held.withColumn("step", step)
     pivots = scratch.save(sized.groupBy("token", "step").agg(F.min(F.struct("u", "owner", "n")).alias("p")).select("token", "step", F.col("p.owner").alias("pivot"), F.col("p.n").alias("m"), F.col("p.u").alias("v")), "pivots")
-    members = scratch.save(sized.join(pivots, ["token", "step"]).select("owner", "n", "u", "pivot", "m", "v").distinct(), "members")
+    both = sized.select("owner", "n", "u", "token", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    members = scratch.save(both.join(pivots, ["token", "step"]).select("owner", "n", "u", "pivot", "m", "v").distinct(), "members")
     stars = members.filter("owner != pivot and " + fits).select(F.col("owner").alias("a"), F.col("pivot").alias("b"))
     size = sets.filter("fragment = 0").select("owner", "n")
 
@@ -333,16 +343,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     several = around.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("pivot")
     x = around.select("pivot", F.col("owner").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("label").alias("la"), F.col("c").alias("ca"), F.col("o").alias("oa"), F.col("cells").alias("xa"))
     y = around.select("pivot", F.col("owner").alias("b"), "n", "u", F.col("label").alias("lb"), F.col("c").alias("cb"), F.col("o").alias("ob"), F.col("cells").alias("xb"))
-    # Classes that share a shingle and a size class share its pivot. Two sets have in common what both have of the
+    # Two sets have in common what both have of the
     # pivot at most, cell by cell, and of the rest what both could share.
     by_cell = F.coalesce(F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p), F.least("ca", "cb"))
-    same = x.join(several, "pivot", "left_semi").join(y, "pivot").filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob)) >= 3 * (m + n)").filter(7 * (by_cell + F.least("oa", "ob")) >= 3 * (F.col("m") + F.col("n"))).select("a", "b")
-    # Those of adjacent size classes belong to two pivots of one shingle.
-    above = pivots.select("token", (F.col("step") + 1).alias("step"), F.col("pivot").alias("below"))
-    steps = pivots.select("token", "step", "pivot").join(above, ["token", "step"]).select("below", "pivot").distinct()
-    next_ = x.withColumnRenamed("pivot", "below").join(steps, "below").join(y, "pivot").filter("la != lb and " + fits).select("a", "b")
+    same = x.join(several, "pivot", "left_semi").join(y, "pivot").filter("la < lb and " + fits + " and 7 * (least(ca, cb) + least(oa, ob) + (m + n) div 350000) >= 3 * (m + n)").filter(7 * (by_cell + F.least("oa", "ob") + F.expr("(m + n) div 350000")) >= 3 * (F.col("m") + F.col("n"))).select("a", "b")
     order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.save(order(same.union(next_)).join(order(counted), ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.save(order(same).join(order(counted), ["a", "b"], "left_anti"), "pairs")
     if pairs.head(1):
         _, more = counted_links(pairs, "rest")
         if more.head(1):

@@ -211,8 +211,39 @@ def test_components(spark):
 def test_bit_filter(spark):
     values = [0, 1, 2**62, 2**63 - 1, 12345678901234567]
     bits = bitfilter.build(spark.createDataFrame([(v,) for v in values], "v long"), "v", 3)
-    assert bitfilter.passes(bits, np.array(values)).all() and len(bits) == 1 << (bitfilter.BITS - 3)
+    assert bitfilter.passes(bits, np.array(values)).all() and len(bits) == 1 << (bitfilter.bits_for(5) - 3)
     assert not bitfilter.passes(bits, np.array([2**61])).any()
+    assert [bitfilter.bits_for(n) for n in (0, 1 << 16, 1 << 20, 1 << 40)] == [20, 20, 24, 30]
+    many = np.random.default_rng(0).integers(0, 2**63 - 1, 100_000)
+    bits = bitfilter.build(spark.createDataFrame([(int(v),) for v in many], "v long"), "v", 3)
+    assert bitfilter.passes(bits, many).all() and bitfilter.passes(bits, many ^ 0x5A5A5A5A5A5A5A5A >> 1).mean() < 0.1
+
+
+def test_very_long_texts_link(spark):
+    r = random.Random(8)
+    w = [f"w{r.randrange(10**6)}" for _ in range(120_000)]
+    near, far = list(w), list(w)
+    for i in range(0, 120_000, 50):
+        near[i] = "changed"
+    for i in range(0, 120_000, 20):
+        far[i] = "changed"
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far)), (4, " " * 2_000_000), (5, "a " * 600_000), (6, "z" * 2_000_000)]
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows) and got[1][2] == "1"
+
+
+def test_sizes_of_linked_sets_meet_at_a_pivot(spark):
+    """Sets of 3/4 the size and just above and below a border of size classes."""
+    r = random.Random(9)
+    rows, k = [], 0
+    for size in (24, 31, 32, 42, 43, 56, 57, 100):
+        w = [f"x{size}-{i}" for i in range(size + 4)]
+        for part in (1.0, 0.9, 0.8, 0.76, 0.75, 0.74):
+            rows.append((k, " ".join(w[: round(size * part) + 4])))
+            k += 1
+    r.shuffle(rows)
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
 
 
 # 3: suffix array
