@@ -12,7 +12,8 @@ joins characters across it, so a text's ids are its words' ids in order of posit
    the id-to-piece table, which has as many rows as the vocabulary and is broadcast.
 
 A word is sent once a batch, so one that makes up a third of all positions is no heavier than others. Texts are not
-shuffled; positions are, at about one and a half bytes each, as the frequent words have small numbers.
+shuffled; positions are, at about one and a half bytes each, as the frequent words have small numbers. Texts are read
+twice, once for positions and once for words, which spares a written copy of both.
 """
 
 from __future__ import annotations
@@ -88,9 +89,10 @@ _NAMES = ["batch", "part", "doc_ids", "sizes", "numbers", "words"]
 _KINDS = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
 
 
-def split_texts(docs: DataFrame, parts: int) -> DataFrame:
+def split_texts(docs: DataFrame, parts: int, positions: bool) -> DataFrame:
     """Of each batch of docs (doc_id, text): a row of positions (doc_ids; sizes: words of each text; numbers: of each
-    word in the batch) and, for each part, a row of distinct words and their numbers."""
+    word in the batch) or, for each part, a row of distinct words and their numbers. Both come from the same batches
+    if ``docs`` gives the same rows in the same order each time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, ids, texts, size = TaskContext.get().partitionId() << 33, [], [], 0
@@ -98,17 +100,19 @@ def split_texts(docs: DataFrame, parts: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             # Frequent words come first, so that most numbers are small.
             found = [w for w, _ in Counter(w for t in texts for w in t).most_common()]
-            number = {w: i for i, w in enumerate(found)}
-            sizes = np.array([len(t) for t in texts])
-            numbers = np.fromiter((number[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-            rows = [(batch, None, ids, _squeeze(sizes), _squeeze(numbers), None)]
-            dealt: list[tuple[list[int], list[str]]] = [([], []) for _ in range(parts)]
-            for i, w in enumerate(found):
-                at, held = dealt[zlib.crc32(w.encode()) % parts]
-                at.append(i)
-                held.append(w)
-            rows += [(batch, p, None, None, _squeeze(np.array(at)), zstandard.compress(" ".join(held).encode())) for p, (at, held) in enumerate(dealt) if at]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
+            if positions:
+                number = {w: i for i, w in enumerate(found)}
+                sizes = np.array([len(t) for t in texts])
+                numbers = np.fromiter((number[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+                rows = [(batch, None, ids, _squeeze(sizes), _squeeze(numbers), None)]
+            else:
+                dealt: list[tuple[list[int], list[str]]] = [([], []) for _ in range(parts)]
+                for i, w in enumerate(found):
+                    at, held = dealt[zlib.crc32(w.encode()) % parts]
+                    at.append(i)
+                    held.append(w)
+                rows = [(batch, p, None, None, _squeeze(np.array(at)), zstandard.compress(" ".join(held).encode())) for p, (at, held) in enumerate(dealt) if at]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, _KINDS)], _NAMES)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -136,15 +140,17 @@ def encode_parts(split: DataFrame, path: str) -> DataFrame:
         rows = [gather(flat, n, w) for w in which]
         return pa.table({"batch": table["batch"], "numbers": table["numbers"], "n": pa.array([_squeeze(r[1]) for r in rows], pa.binary()), "ids": pa.array([_squeeze(r[0]) for r in rows], pa.binary())})
 
-    return split.filter("part is not null").select("batch", "part", "numbers", "words").groupBy("part").applyInArrow(run, "batch long, numbers binary, n binary, ids binary")
+    return split.select("batch", "part", "numbers", "words").groupBy("part").applyInArrow(run, "batch long, numbers binary, n binary, ids binary")
 
 
 def encode_positions(docs: DataFrame, path: str, result, schema: str, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: ANN001
     """``result`` (doc_ids, ids of all texts one after the other, ids of each text) -> table, of every batch."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    split = scratch.save(split_texts(source, parts_for(source, "text", PART_BYTES)), "split")
-    positions = split.filter("part is null").select("batch", "doc_ids", "sizes", "numbers", F.lit(None).cast("binary").alias("ids"))
-    encoded = encode_parts(split, path).select("batch", F.lit(None).cast("array<bigint>").alias("doc_ids"), F.col("n").alias("sizes"), "numbers", "ids")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        source = scratch.save(source, "source")  # after a shuffle, rows may come in another order the second time
+    parts = parts_for(source, "text", PART_BYTES)
+    positions = split_texts(source, parts, True).select("batch", "doc_ids", "sizes", "numbers", F.lit(None).cast("binary").alias("ids"))
+    encoded = encode_parts(split_texts(source, parts, False), path).select("batch", F.lit(None).cast("array<bigint>").alias("doc_ids"), F.col("n").alias("sizes"), "numbers", "ids")
 
     def run(table: pa.Table) -> pa.Table:
         own, places, lengths, ids = None, [], [], []
@@ -155,12 +161,14 @@ def encode_positions(docs: DataFrame, path: str, result, schema: str, scratch: S
                 places.append(_spread(r["numbers"]))
                 lengths.append(_spread(r["sizes"]))
                 ids.append(_spread(r["ids"]))
-        sizes = _spread(own["sizes"]).astype(np.int64)
+        sizes, numbers = _spread(own["sizes"]).astype(np.int64), _spread(own["numbers"])
+        if sum(map(len, places)) != (int(numbers.max()) + 1 if len(numbers) else 0):
+            raise RuntimeError("the rows came in another order when they were read again")
         if not places:
             return result(own["doc_ids"], np.zeros(0, "<u4"), np.zeros(len(sizes), np.int64))
         # Word k of the batch is run number[k] of what the parts sent.
         number = np.argsort(np.concatenate(places), kind="stable")
-        flat, n = gather(np.concatenate(ids), np.concatenate(lengths).astype(np.int64), number[_spread(own["numbers"])])
+        flat, n = gather(np.concatenate(ids), np.concatenate(lengths).astype(np.int64), number[numbers])
         before = np.concatenate([[0], np.cumsum(n)])
         ends = np.cumsum(sizes)
         return result(own["doc_ids"], flat, before[ends] - before[ends - sizes])
