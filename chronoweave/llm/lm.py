@@ -183,26 +183,37 @@ class Stream:
         return found[:, :CLASS_FEATURES], found[:, CLASS_FEATURES:]
 
 
-def log_softmax(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Natural logs of every outcome's probability for each token; base: of each outcome, or of each token and outcome."""
-    z = weights[buckets[:, 0]] + base
+def logits(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Of every outcome for each token; base: of each outcome, or of each token and outcome. Updates move a weight by at
+    most the sum of RATES, and the bases are logs of shares that sum to one, so exponentials stay far from overflow."""
+    z = weights.take(buckets[:, 0], axis=0)
+    z += base
     for k in range(1, buckets.shape[1]):
-        z += weights[buckets[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += weights.take(buckets[:, k], axis=0)
     return z
 
 
 def factors(v: Vocabulary, weights: np.ndarray, stream: Stream, window: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The class factor and then the word factor of a window: (places in it, buckets, outcomes, logs of all outcomes'
-    probabilities). Words that are classes of their own have no word factor."""
+    """The class factor and then the word factor of a window: (places in it, buckets, outcomes, logits of all
+    outcomes). Words that are classes of their own have no word factor."""
     rows = stream.rows[window]
     by_class, by_word = stream.features(window)
     kinds = v.kind[rows]
-    yield np.arange(len(rows)), by_class, kinds, log_softmax(weights, by_class, v.class_base)
+    yield np.arange(len(rows)), by_class, kinds, logits(weights, by_class, v.class_base)
     at = np.flatnonzero(kinds > SINGLES)
     if len(at):
-        yield at, by_word[at], v.entry[rows[at]], log_softmax(weights, by_word[at], v.word_base[kinds[at]])
+        yield at, by_word[at], v.entry[rows[at]], logits(weights, by_word[at], v.word_base.take(kinds[at], axis=0))
+
+
+def log_probabilities(v: Vocabulary, weights: np.ndarray, stream: Stream) -> np.ndarray:
+    """log10 of each token's probability, but for the counts of words outside the head: those have count 0 here."""
+    kinds = v.kind[stream.rows]
+    out = np.where((kinds > SINGLES) & (v.entry[stream.rows] == OWN), v.logc[stream.rows] - v.log_share[kinds], 0.0)
+    for window in stream.windows():
+        for places, _, y, z in factors(v, weights, stream, window):
+            chosen = z[np.arange(len(y)), y].astype(np.float64)
+            out[window.start + places] += (chosen - np.log(np.exp(z, out=z).sum(axis=1))) / math.log(10)
+    return out
 
 
 def _texts(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[str]]]]:
@@ -227,32 +238,35 @@ def observed(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
         by_class, by_word = stream.features(window)
         at = np.flatnonzero(v.kind[rows] > SINGLES)
         for buckets, y in ((by_class, v.kind[rows]), (by_word[at], v.entry[rows[at]])):
-            keys, n = np.unique((buckets * CLASSES + y[:, None]).ravel(), return_counts=True)
-            flat[keys] += n
+            np.add.at(flat, (buckets * CLASSES + y[:, None]).ravel(), 1)
 
 
 def add_rows(sums: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
     """sums[key] += row for all rows: those of one key are added in pairs until each key has one."""
     order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    while True:
+    keys = keys[order]
+    while len(order):
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        place = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
-        odd = np.flatnonzero(place & 1)
-        if not len(odd):
-            break
-        rows[odd - 1] += rows[odd]
-        even = np.flatnonzero(place & 1 == 0)
-        keys, rows = keys[even], rows[even]
-    sums[keys] += rows
+        n = np.diff(np.append(first, len(keys)))
+        alone = first[n == 1]
+        sums[keys[alone]] += rows.take(order[alone], axis=0)
+        many = np.repeat(n > 1, n)
+        place = (np.arange(len(keys)) - np.repeat(first, n))[many]
+        order, keys = order[many], keys[many]
+        odd, even = np.flatnonzero(place & 1), np.flatnonzero(place & 1 == 0)
+        held = rows.take(order[even], axis=0)
+        # The odd row after the i-th even one; a last one may have none.
+        held[np.searchsorted(even, odd) - 1] += rows.take(order[odd], axis=0)
+        rows, keys, order = held, keys[even], np.arange(len(even))
 
 
 def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]]) -> None:
     """Add to ``sums`` what the model expects ``observed`` to be."""
     stream = v.stream(texts)
     for window in stream.windows():
-        for _, buckets, _, logs in factors(v, weights, stream, window):
-            p = np.exp(logs)
+        for _, buckets, _, z in factors(v, weights, stream, window):
+            p = np.exp(z, out=z)
+            p /= p.sum(axis=1, keepdims=True)
             for k in range(buckets.shape[1]):
                 add_rows(sums, buckets[:, k], p)
 
@@ -351,10 +365,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 rows, n = stream.rows, stream.n
                 begin = np.cumsum(n) - n
                 logc = v.logc[rows]
-                model = np.where((v.kind[rows] > SINGLES) & (v.entry[rows] == OWN), logc - v.log_share[v.kind[rows]], 0.0)
-                for window in stream.windows():
-                    for places, _, y, logs in factors(v, w, stream, window):
-                        model[window.start + places] += logs[np.arange(len(y)), y] / math.log(10)
+                model = log_probabilities(v, w, stream)
                 in_head = rows < v.rare
                 known = np.add.reduceat(in_head, begin, dtype=np.int64) + known_end
                 ids = at + np.arange(len(lists))
