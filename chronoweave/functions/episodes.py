@@ -7,17 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the naming scheme.
-_SEP = "[-~～—–到至]"
-_NUM = "[一二三四五六七八九十百零〇两0-9]+"
+_SEP = "[-~_—至到]"
+_NUM = r"[一二三四五六七八九十百零〇两\d]+"
 _UNIT = "(?:集|话|話)"
-SEASON_RANGE = f"第({_NUM})季第?([0-9]{{1,3}}){_SEP}([0-9]{{1,3}}){_UNIT}?"
-S_RANGE = f"(?i)S([0-9]{{1,2}})E?([0-9]{{1,3}}){_SEP}E?([0-9]{{1,3}})"
-PLAIN_RANGE = f"^第?([0-9]{{1,3}}){_SEP}([0-9]{{1,3}}){_UNIT}$|^([0-9]{{1,3}}){_SEP}([0-9]{{1,3}})$"
-DECIMAL_PART = "^第?([0-9]{1,3})[._]([0-9]{1,3})(?:[^0-9]|$)"
-SEASON_SINGLE = f"第({_NUM})季第?([0-9]{{1,3}}){_UNIT}?"
-S_SINGLE = "(?i)S([0-9]{1,2})E([0-9]{1,3})"
-PLAIN_SINGLE = f"^第?([0-9]{{1,4}}){_UNIT}?$"
-SORT_PREFIX = r"^\s*([0-9]{1,4})\s*[-_.)、]\s*(.+)$"
+SEASON_RANGE = rf"第({_NUM})季第?(\d{{1,3}}){_SEP}(\d{{1,3}}){_UNIT}?"
+S_RANGE = rf"(?i)S(\d{{1,2}})E?(\d{{1,3}}){_SEP}E?(\d{{1,3}})"
+PLAIN_RANGE = rf"^第?(\d{{1,3}}){_SEP}(\d{{1,3}}){_UNIT}$|^(\d{{1,3}}){_SEP}(\d{{1,3}})$"
+DECIMAL_PART = r"^第?(\d{1,3})[._](\d{1,3})(?:\D|$)"
+SEASON_SINGLE = rf"第({_NUM})季第?(\d{{1,3}}){_UNIT}?"
+S_SINGLE = r"(?i)S(\d{1,2})E(\d{1,3})"
+PLAIN_SINGLE = rf"^第?(\d{{1,4}}){_UNIT}?$"
+SORT_PREFIX = r"^\s*(\d{1,4})\s*[-_.)、]\s*(.+)$"
 _DIGITS = "零〇一二两三四五六七八九"
 _VALUES = "001223456789"
 
@@ -28,7 +28,7 @@ def numeral(text: Column) -> Column:
     ten = F.instr(text, "十")
     before = F.when(ten == 1, 1).otherwise(F.coalesce(F.translate(F.substr(text, ten - 1, F.lit(1)), _DIGITS, _VALUES).try_cast("int"), F.lit(0)))
     after = F.when(ten == F.length(text), 0).otherwise(F.coalesce(F.translate(F.substr(text, ten + 1, F.lit(1)), _DIGITS, _VALUES).try_cast("int"), F.lit(0)))
-    return F.when(text.rlike("^[0-9]+$"), text.try_cast("int")).when(ten > 0, before * 10 + after).otherwise(plain.try_cast("int"))
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("int")).when(ten > 0, before * 10 + after).otherwise(plain.try_cast("int"))
 
 
 def parse(files: DataFrame, name: str = "file_name", order: str = "source_order") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the feature definition.
@@ -49,22 +49,19 @@ def frame_features(frames: DataFrame, samples: str = "samples", rate: int = 16_0
     return frames.withColumn(into, run(F.col(samples)))
 
 
-def correlation(a: str, b: str):  # noqa: ANN201
+def correlation(a: str, b: str) -> Column:
     """Normalised cross-correlation of two arrays: -1 for other lengths or none, 0 where one does not vary."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda p, q: p + q)
+    centred = lambda c: F.transform(F.col(c), lambda x: x.cast("double") - total(F.transform(F.col(c), lambda y: y.cast("double"))) / F.size(c))
+    pair = F.struct(centred(a).alias("u"), centred(b).alias("v"))
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(x, y):
-            if u is None or v is None or len(u) != len(v) or not len(u):
-                out.append(-1.0)
-                continue
-            u, v = np.asarray(u, float) - np.mean(u), np.asarray(v, float) - np.mean(v)
-            d = np.sqrt((u @ u) * (v @ v))
-            out.append(0.0 if d <= 2.3e-16 else float(np.clip(u @ v / d, -1, 1)))
-        return pd.Series(out)
-
-    return run(F.col(a), F.col(b))
+    def found(p: Column) -> Column:
+        dot = lambda x, y: total(F.zip_with(x, y, lambda s, t: s * t))
+        d = F.sqrt(dot(p["u"], p["u"]) * dot(p["v"], p["v"]))
+        return F.when(d <= 2.3e-16, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p["u"], p["v"]) / d)))
+
+    usable = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    return F.when(usable, F.get(F.transform(F.array(pair), found), F.lit(0))).otherwise(-1.0)
 
 
 def region_means(pixels: DataFrame, key: list[str], x: str, y: str, value: str, width: int = 32, height: int = 18, skip_top: int = 2, skip_bottom: int = 4) -> DataFrame:

@@ -1 +1,3 @@
 """Queries that bind the operators to the driver's tables, and SQL for each."""
+
+from . import extra  # noqa: F401  (adds its queries and SQL)
