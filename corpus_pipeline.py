@@ -7,6 +7,7 @@ as the next one's docs. All stages but the last return the columns of ``document
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +43,28 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")).drop("ids")
 
 
-_left: list[Scratch] = []
+#: Of each thread, by place of the stage: tables that its result still reads.
+_left = threading.local()
 
 
-def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``f``, which first clears the tables that the stage before needed for its result: that is written by now."""
+def _stage(place: int, f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``f``, which first clears the tables that the thread's stage before needed for its result: that is written by
+    now, as this stage reads it. Runs in other threads, and other stages' results, keep theirs."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            _left.pop().clear()
+        held = _left.__dict__.setdefault("tables", {})
+        for made in held.pop(place - 1, []):
+            made.clear()
         with collected() as made:
             out = f(spark, docs, sf_dir)
-        _left.extend(made)
+        held.setdefault(place, []).extend(made)
         return out
 
     return run_stage
 
 
-STAGES = [(name, _stage(f)) for name, f in (("quality", good_quality), ("exact_dedup", exact_dedup), ("ngram_jaccard", near_dedup), ("suffix_dedup", passage_dedup), ("packing", packed))]
+STAGES = [(name, _stage(i, f)) for i, (name, f) in enumerate((("quality", good_quality), ("exact_dedup", exact_dedup), ("ngram_jaccard", near_dedup), ("suffix_dedup", passage_dedup), ("packing", packed)))]
 
 #: Trained scores, shingle components and BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
