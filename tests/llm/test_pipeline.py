@@ -45,3 +45,34 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(got.columns)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5 and re and zlib
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id long, _row long, _kept string, owner long, n long, score double"
+
+
+def test_stages_on_nulls_and_clashing_names(spark):
+    """Nulls in any column, empty, repeated and very long rows, and columns named as inside; an empty table."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    texts = [None, "", " ", "A plain line of good words, as people write them.", "A plain line of good words, as people write them.", long, long + " end", "x" * 300_000]
+    rows = [(i if i != 2 else None, t, None, None, None, 1, 2, "k", 3, 4, None) for i, t in enumerate(texts)]
+    docs, empty = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert none.count() == 0
+        if name != "packing":
+            assert got.columns == docs.columns
+            kept[name] = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in got.collect())
+    assert len(kept["exact_dedup"]) == 6 and len(kept["ngram_jaccard"]) == 6 and ("4", len(texts[4])) not in kept["ngram_jaccard"]
+    assert ("5", len(long)) in kept["suffix_dedup"] and ("6", len(long) + 4) not in kept["suffix_dedup"]
+    packed = {(r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
+    assert {i for i, _ in packed} == {0, 1, None, 3, 4, 5, 6, 7} and (0, 1) in packed and (1, 1) in packed
+
+
+def test_two_runs_keep_their_tables(spark):
+    """A second run's first stage leaves the first run's result readable."""
+    docs = queries.documents(spark, SF)
+    stage = dict(corpus_pipeline.STAGES)["exact_dedup"]
+    one = stage(spark, docs, SF)
+    two = stage(spark, docs, SF)
+    assert one.count() == two.count() > 0
