@@ -228,20 +228,26 @@ def match_most(cost: dict[tuple[int, int], float], n: int, m: int) -> list[tuple
             right[j], left[i], j = i, j, left[i]
 
 
+def near_in_time(g: DataFrame, p: DataFrame, keys: list[str], within: int) -> DataFrame:
+    """Pairs of rows of equal keys whose times (``g`` and ``p``) differ by ``within`` at most, from a join on time bins.
+    _stretch: number of the pair's stretch of time in its key, in which each time is at most ``within`` after the last."""
+    width = max(1, within)
+    every = g.select(*keys, F.col("g").alias("_t")).unionByName(p.select(*keys, F.col("p").alias("_t"))).distinct()
+    w = Window.partitionBy(*keys).orderBy("_t")
+    breaks = every.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > within).cast("int"), F.lit(0)))
+    stretch = breaks.select(*keys, F.col("_t").alias("g"), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"))
+    gb = g.join(stretch, [*keys, "g"]).withColumn("_bin", F.floor(F.col("g") / width))
+    pb = p.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("p") / width) + k for k in (-1, 0, 1)])))
+    return gb.join(pb, [*keys, "_bin"]).filter(F.abs(F.col("g") - F.col("p")) <= within).drop("_bin")
+
+
 def match_events(gold: DataFrame, predicted: DataFrame, case: str = "case_id", kind: str = "kind", t: str = "t_ms", event_id: str = "event_id", within: int = 2_000) -> DataFrame:
     """Gold and predicted events of one case and kind, matched one to one within a tolerance: most pairs first, then
     least total distance. Candidates come from a join on time bins. Events that no other one within the tolerance joins
     in time are solved apart: a group is a stretch of time in which each event is at most ``within`` after the last."""
-    width = max(1, within)
     g = gold.select(case, kind, F.col(event_id).alias("gold_id"), F.col(t).alias("g"))
     p = predicted.select(case, kind, F.col(event_id).alias("predicted_id"), F.col(t).alias("p"))
-    every = g.select(case, kind, F.col("g").alias("_t")).unionByName(p.select(case, kind, F.col("p").alias("_t"))).distinct()
-    w = Window.partitionBy(case, kind).orderBy("_t")
-    breaks = every.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > within).cast("int"), F.lit(0)))
-    stretch = breaks.select(case, kind, F.col("_t").alias("g"), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"))
-    gb = g.join(stretch, [case, kind, "g"]).withColumn("_bin", F.floor(F.col("g") / width))
-    pb = p.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("p") / width) + k for k in (-1, 0, 1)])))
-    near = gb.join(pb, [case, kind, "_bin"]).filter(F.abs(F.col("g") - F.col("p")) <= within).select(case, kind, "_stretch", "gold_id", "predicted_id", F.abs(F.col("g") - F.col("p")).cast("double").alias("error_ms"))
+    near = near_in_time(g, p, [case, kind], within).select(case, kind, "_stretch", "gold_id", "predicted_id", F.abs(F.col("g") - F.col("p")).cast("double").alias("error_ms"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gi, pi = {v: i for i, v in enumerate(sorted(set(pdf.gold_id)))}, {v: i for i, v in enumerate(sorted(set(pdf.predicted_id)))}
