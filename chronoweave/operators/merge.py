@@ -54,6 +54,8 @@ def range_segments(timed: DataFrame, ranges: DataFrame) -> DataFrame:
     )
     cuts = borders.join(best, ["asset_id", "k"], "left").select("asset_id", "k", F.greatest(F.lit(0), F.floor(F.coalesce("gap_ms", "expected") + 0.5)).alias("at_ms"), F.col("gap_ms").isNotNull().alias("at_gap"))
     edges = cuts.unionByName(held.select("asset_id", F.lit(0).alias("k"), F.col("first").alias("at_ms"), F.lit(True).alias("at_gap"))).unionByName(held.select("asset_id", F.col("episodes").alias("k"), (F.col("last") + 1).alias("at_ms"), F.lit(True).alias("at_gap")))
+    # Some rows a file. Dealt out anew, as windows over a union of equally partitioned sides miss rows in Spark 4.1.
+    edges = edges.repartition("asset_id")
     w = Window.partitionBy("asset_id").orderBy("k")
     return edges.select("asset_id", (F.col("k") + 1).alias("part"), F.col("at_ms").alias("start_ms"), F.lead("at_ms").over(w).alias("end_ms"), "at_gap").filter("end_ms is not null")
 

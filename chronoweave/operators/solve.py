@@ -230,9 +230,12 @@ def match_most(cost: dict[tuple[int, int], float], n: int, m: int) -> list[tuple
 
 def near_in_time(g: DataFrame, p: DataFrame, keys: list[str], within: int) -> DataFrame:
     """Pairs of rows of equal keys whose times (``g`` and ``p``) differ by ``within`` at most, from a join on time bins.
-    _stretch: number of the pair's stretch of time in its key, in which each time is at most ``within`` after the last."""
+    _stretch: number of the pair's stretch of time in its key, in which each time is at most ``within`` after the last.
+
+    The union is dealt out anew: Spark 4.1 takes a union of equally partitioned sides for partitioned itself, and
+    windows over it were seen to miss rows. The distinct and the window then need no shuffle of their own."""
     width = max(1, within)
-    every = g.select(*keys, F.col("g").alias("_t")).unionByName(p.select(*keys, F.col("p").alias("_t"))).distinct()
+    every = g.select(*keys, F.col("g").alias("_t")).unionByName(p.select(*keys, F.col("p").alias("_t"))).repartition(*keys).distinct()
     w = Window.partitionBy(*keys).orderBy("_t")
     breaks = every.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > within).cast("int"), F.lit(0)))
     stretch = breaks.select(*keys, F.col("_t").alias("g"), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch"))

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
-from chronoweave.operators import evidence
+from chronoweave.operators import evidence, solve
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 
 def test_refined_finds_the_shift_and_knows_its_edges():
@@ -74,3 +76,15 @@ def test_holdout_blocks_leave_enough(spark):
     assert strata == list(range(10))
     assert evidence.holdout_blocks(points, "k", "t", "id", 47).count() == 3
     assert evidence.holdout_blocks(points, "k", "t", "id", 49).count() == 0
+
+
+def test_matches_of_equally_partitioned_sides(spark):
+    """Spark 4.1 takes a union of equally partitioned sides for partitioned, and windows over it then miss rows."""
+    schema = "event_id long, kind string, source_start_ms long, source_end_ms long, target_start_ms long, target_end_ms long, k long"
+    side = lambda shift: spark.createDataFrame([(i, "cut", i * 10 + shift, i * 10 + shift, i * 10 + shift, i * 10 + shift, i % 3) for i in range(90)], schema)
+    numbered = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("event_id"))).filter("n > 0").drop("n")
+    found = evidence.greedy_matches(numbered(side(0)), numbered(side(3)), "k", within=8)
+    assert sorted((r.gold_id, r.predicted_id, r.max_error_ms) for r in found.collect()) == [(i, i, 3) for i in range(90)]
+    near = solve.near_in_time(numbered(side(0)).select("k", F.col("source_start_ms").alias("g")), numbered(side(3)).select("k", F.col("source_start_ms").alias("p")), ["k"], 8)
+    # Edits of one key are 30 ms apart, so each pair is a stretch of its own.
+    assert near.select("k", "_stretch").distinct().count() == near.count() == 90
