@@ -119,89 +119,6 @@ def assignments(hypotheses: DataFrame) -> DataFrame:
     return hypotheses.groupBy("project").applyInPandas(assign, "project long, id string, selected boolean, in_runner_up boolean, reason string, total double, margin double, ambiguous boolean, exact boolean")
 
 
-def edit_path(cost: np.ndarray, opening: int = 300, extending: int = 60, inside: np.ndarray | None = None) -> tuple[int, list[tuple[str, int, int]]]:
-    """Global alignment with affine gaps in three states: total cost and steps (kind, i, j), where i and j are
-    how many source and target frames lie before the step. Ties prefer matched, then sourceOnly, then targetOnly."""
-    n, m = cost.shape
-    inf = 1 << 60
-    d = np.full((3, n + 1, m + 1), inf, np.int64)
-    parent = np.full((3, n + 1, m + 1), -1, np.int8)
-    d[0, 0, 0] = 0
-    for j in range(1, m + 1):
-        d[2, 0, j], parent[2, 0, j] = opening + extending * (j - 1), 0 if j == 1 else 2
-    for i in range(1, n + 1):
-        d[1, i, 0], parent[1, i, 0] = opening + extending * (i - 1), 0 if i == 1 else 1
-        ok = np.ones(m, bool) if inside is None else inside[i - 1]
-        before = d[:, i - 1, :-1]
-        k = before.argmin(axis=0)
-        d[0, i, 1:] = np.where(ok, np.minimum(before[k, np.arange(m)] + cost[i - 1], inf), inf)
-        parent[0, i, 1:] = k
-        up = np.stack([d[0, i - 1, 1:] + opening, d[1, i - 1, 1:] + extending, d[2, i - 1, 1:] + opening])
-        k = up.argmin(axis=0)
-        d[1, i, 1:] = np.where(ok, np.minimum(up[k, np.arange(m)], inf), inf)
-        parent[1, i, 1:] = k
-        for j in range(1, m + 1):
-            if ok[j - 1]:
-                left = (d[0, i, j - 1] + opening, d[1, i, j - 1] + opening, d[2, i, j - 1] + extending)
-                k = min(range(3), key=left.__getitem__)
-                d[2, i, j], parent[2, i, j] = min(left[k], inf), k
-    state = int(d[:, n, m].argmin())
-    total, i, j, steps = int(d[state, n, m]), n, m, []
-    while i or j:
-        before = int(parent[state, i, j])
-        if state == 0:
-            i, j = i - 1, j - 1
-        elif state == 1:
-            i -= 1
-        else:
-            j -= 1
-        steps.append((("matched", "sourceOnly", "targetOnly")[state], i, j))
-        state = before
-    return total, steps[::-1]
-
-
-def cosine_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Thousandths of 1 - cosine, rounded half up; 1000 where a vector is zero."""
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    norms = na[:, None] * nb[None, :]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        c = np.floor(np.clip(1 - a @ b.T / norms, 0, 2) * 1000 + 0.5)
-    return np.where(norms <= 1e-12, 1000, c).astype(np.int64)
-
-
-MOST_CELLS = 4_000_000
-
-
-def align_pairs(source: DataFrame, target: DataFrame, key: str, order: str, vec: str, doubtful: int = 700) -> DataFrame:
-    """Spans of the edit-aware alignment of each key's two frame sequences: span, kind, frames before and after on
-    both sides. A pair of more than MOST_CELLS cells is an error: such sequences are to be cut first."""
-
-    def run(key_value: tuple, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        s, t = s.sort_values(order), t.sort_values(order)
-        if (len(s) + 1) * (len(t) + 1) > MOST_CELLS:
-            raise ValueError(f"{key_value}: {len(s)} by {len(t)} frames are too many for one alignment")
-        if not len(s) or not len(t):
-            return pd.DataFrame({"pair": [], "span": [], "kind": [], "source_start": [], "source_end": [], "target_start": [], "target_end": [], "total_cost": []})
-        cost = cosine_costs(np.stack(s[vec].to_numpy()).astype(float), np.stack(t[vec].to_numpy()).astype(float))
-        total, steps = edit_path(cost)
-        out: list[list] = []
-        for kind, i, j in steps:
-            if kind == "matched" and cost[i, j] >= doubtful:
-                kind = "ambiguous"
-            si, tj = int(kind != "targetOnly"), int(kind != "sourceOnly")
-            if out and out[-1][0] == kind:
-                out[-1][2] += si
-                out[-1][4] += tj
-            else:
-                out.append([kind, i, i + si, j, j + tj])
-        return pd.DataFrame([(key_value[0], k, *o, total) for k, o in enumerate(out)], columns=["pair", "span", "kind", "source_start", "source_end", "target_start", "target_end", "total_cost"])
-
-    schema = "pair long, span long, kind string, source_start long, source_end long, target_start long, target_end long, total_cost long"
-    # Fresh columns, in case both sides come from one relation.
-    right = target.select(*[F.col(c).alias(c) for c in (key, order, vec)])
-    return source.select(key, order, vec).groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, schema)
-
-
 def match_most(cost: dict[tuple[int, int], float], n: int, m: int) -> list[tuple[int, int]]:
     """As many pairs as possible, and of those the cheapest: shortest augmenting paths by Bellman-Ford."""
     left, right = [-1] * n, [-1] * m

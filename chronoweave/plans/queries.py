@@ -503,12 +503,6 @@ def global_assignment(spark, d):
     return solve.assignments(h)
 
 
-@query
-def edit_dp(spark, d):
-    f = _frames(spark, d).select(F.col("label").cast("long").alias("label"), "vec_id", "v")
-    return solve.align_pairs(f.filter("vec_id % 2 = 0"), f.filter("vec_id % 2 = 1"), "label", "vec_id", "v")
-
-
 @query
 def bipartite_match(spark, d):
     e = items(spark, d).select(F.col("user_id").alias("case_id"), F.lit("event").alias("kind"), F.col("item_id").alias("event_id"), "t_ms", "asset_id")

@@ -262,43 +262,6 @@ def test_assignment_beam_beyond_the_limit():
     assert not got.exact.any() and got.selected.any()
 
 
-def brute_edit(cost, opening=300, extending=60):
-    n, m = cost.shape
-    best = [10**12]
-
-    def go(i, j, state, total):
-        if total >= best[0]:
-            return
-        if i == n and j == m:
-            best[0] = total
-            return
-        if i < n and j < m:
-            go(i + 1, j + 1, 0, total + cost[i, j])
-        if i < n:
-            go(i + 1, j, 1, total + (extending if state == 1 else opening))
-        if j < m:
-            go(i, j + 1, 2, total + (extending if state == 2 else opening))
-
-    go(0, 0, 0, 0)
-    return best[0]
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_edit_path_against_exhaustive_search(seed):
-    r = np.random.default_rng(seed)
-    cost = r.integers(0, 1500, (r.integers(1, 6), r.integers(1, 6)))
-    total, steps = solve.edit_path(cost)
-    assert total == brute_edit(cost)
-    assert sum(k != "targetOnly" for k, _, _ in steps) == cost.shape[0] and sum(k != "sourceOnly" for k, _, _ in steps) == cost.shape[1]
-
-
-def test_edit_path_finds_a_cut(spark):
-    v = np.eye(12)
-    f = lambda at: spark.createDataFrame([(1, i, v[k].tolist()) for i, k in enumerate(at)], "k long, i long, v array<double>")
-    got = solve.align_pairs(f([0, 1, 2, 3, 8, 9, 10, 11]), f(range(12)), "k", "i", "v").orderBy("span").collect()
-    assert [(r["kind"], r["target_start"], r["target_end"]) for r in got] == [("matched", 0, 4), ("targetOnly", 4, 8), ("matched", 8, 12)]
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_matching_against_exhaustive_search(seed):
     r = random.Random(seed)
