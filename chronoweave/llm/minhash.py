@@ -8,13 +8,14 @@ chance, estimates the similarity of two classes. Candidates whose estimate is at
 What can be lost: two texts at the least similarity of 0.8 share no band with a probability of (1 - 0.8^4)^48 = 1e-11,
 and their estimate is seven standard deviations too low with one of 1e-12. Nothing else is left out:
 
-1. The smallest class of a bucket is its pivot, so near copies have few pivots. Each class is first confirmed with its most
-   similar pivot, then with those of its other pivots that are in another component.
-2. In buckets with several components left, members of different components are compared by their signatures in blocks
-   of BLOCK members, and what passes is confirmed. So a group of thousands of near copies costs some comparisons each,
-   and only unlinked texts that look alike are compared with each other.
-
-Texts move only where candidates are confirmed, one of each class. Large buckets are dealt out by pairs of blocks.
+1. The smallest class of a bucket is its pivot, so near copies have few pivots. Classes whose estimate with one of their
+   pivots is at least SURE form families; where a bucket still holds several families, members of different ones are compared
+   by their signatures, in blocks of BLOCK members, and families with a pair at SURE or more are one.
+2. A family's members are compared with each other on full sets, in pairs of blocks of bounded size. Of a pair of blocks,
+   only links that join what was not joined yet are handed on, so a group of thousands of near copies needs few
+   comparisons and gives few rows, and texts that look alike without a link give none.
+
+Texts move only in families, one of each class. A large family or bucket is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SHINGLE = 4
 #: Least similarity of linked sets, in percent.
 PERCENT = 80
 BANDS, ROWS, BITS = 48, 4, 2
-#: Estimates from here on are confirmed: the least similarity less seven standard deviations of the estimate.
+#: Candidates with estimates from here on are confirmed: the least similarity less seven standard deviations of the estimate.
 SURE = 0.56
 #: Documents that a task holds the sets of at a time, and shingles.
 BATCH, MOST_SHINGLES = 500, 1 << 15
@@ -44,6 +45,8 @@ BATCH, MOST_SHINGLES = 500, 1 << 15
 PART_BYTES = 16_000_000
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 2048
+#: Members of a family, and shingles of their sets, that are compared with as many others at a time.
+FAMILY, FAMILY_SHINGLES = 4096, 1_500_000
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _SHIFTS = _seeds[::2] | np.uint64(1), _seeds[1::2]
@@ -178,74 +181,63 @@ def _similar(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, estimate double").filter(F.col("estimate") >= SURE)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+def _links(families: DataFrame, parts: int, size: int) -> DataFrame:
+    """(a, b) of linked classes, enough of them to join all that links join. families: family, id, n, mark, text."""
+    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("int").alias("of"))
+    rows = _paired(families.join(sizes, "family"), "family", ["n", "mark", "text"])
+    dealt = rows.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, known = Hashes(), None, np.zeros(0, np.uint64)
-        for rows in batches:
-            keep = []
-            for i, (b, x, y) in enumerate(zip(rows.column(1), rows.column(2), rows.column(3))):
-                if b.as_py() != last:  # rows come in the order of b
-                    last, known = b.as_py(), shingle_set(y.as_py(), hashes, size)
-                s = shingle_set(x.as_py(), hashes, size)
-                common = len(np.intersect1d(s, known, assume_unique=True))
-                if 100 * common >= PERCENT * (len(s) + len(known) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep, pa.int64())), rows.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    met = pairs.select("a", "b").join(x, "a").hint("merge").join(y.hint("merge"), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _across(members: DataFrame, labels: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """(a, b) of different components that share a bucket and whose sizes and estimates allow a link."""
-    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).filter("l != h").select("key", "k")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = named.join(several, "key").withColumn("of", blocks).join(marks.select("id", "n", "mark"), "id")
-    # A member of block i meets those of each block j: in the group (min, max) of the two.
+    def confirm(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        """Links between the group's two blocks (or in its one) that join what is not joined yet."""
+        i, j = group[0][1], group[0][2]
+        side = np.array([r[3] == i for r in group])
+        ids, n = [r[4] for r in group], np.array([r[5] for r in group])
+        marks = np.frombuffer(b"".join(r[6] for r in group), "<u8").reshape(len(group), -1)
+        joined = np.arange(len(group))
+        index: tuple | None = None
+        for p in range(len(group)):
+            met = (joined != joined[p]) & (100 * np.minimum(n[p], n) >= PERCENT * np.maximum(n[p], n))
+            met[: p + 1] = False
+            if i != j:
+                met &= side != side[p]
+            at = np.flatnonzero(met)
+            if not len(at) or not (estimates(marks[p], marks[at]) >= SURE).any():
+                continue
+            if index is None:
+                hashes = Hashes()
+                sets = [shingle_set(r[7], hashes, size) for r in group]
+                tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                order = np.argsort(tokens, kind="stable")
+                index = tokens[order], owners[order], sets
+            tokens, owners, sets = index
+            low, high = np.searchsorted(tokens, sets[p], "left"), np.searchsorted(tokens, sets[p], "right")
+            held = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+            common = np.bincount(owners[held], minlength=len(group))
+            for q in np.flatnonzero((100 * common >= PERCENT * (n[p] + n - common)) & (joined != joined[p])):
+                if joined[q] != joined[p]:
+                    yield ids[p], ids[int(q)]
+                    joined[joined == joined[q]] = joined[p]
+
+    return dealt.mapInArrow(_by_group(confirm), "a long, b long").distinct()
+
+
+def _paired(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """``rows`` (key, id, of: number of blocks) for each pair (i, j) of blocks that holds theirs, which is ``own``."""
     own = F.pmod(F.xxhash64("id"), F.col("of")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n", "mark")
-    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", *carried)
 
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = group[0][1], group[0][2]
-        left = [r for r in group if r[3] == i]
-        right = left if i == j else [r for r in group if r[3] == j]
-        if not left or not right:
-            return
-        a, b = ([r[4] for r in side] for side in (left, right))
-        name = {x: k for k, x in enumerate({r[5] for r in group})}
-        la, lb = (np.array([name[r[5]] for r in side]) for side in (left, right))
-        n, m = (np.array([r[6] for r in side]) for side in (left, right))
-        x, y = (np.frombuffer(b"".join(r[7] for r in side), "<u8").reshape(len(side), -1) for side in (left, right))
-        for p in range(len(left)):
-            may = (lb != la[p]) & (100 * np.minimum(n[p], m) >= PERCENT * np.maximum(n[p], m))
-            if i == j:
-                may[: p + 1] = False
-            at = np.flatnonzero(may)
-            for q in at[estimates(x[p], y[at]) >= SURE]:
-                yield min(a[p], b[q]), max(a[p], b[q])
+
+def _by_group(work):  # noqa: ANN001, ANN202
+    """A function for mapInArrow: ``work`` on each run of rows with equal first three columns; it yields (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
-        def out(pairs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         def done() -> Iterator[pa.RecordBatch]:
-            found = []
-            for pair in compare(group) if group else ():
-                found.append(pair)
-                if len(found) == 50_000:
-                    yield out(found)
-                    found = []
+            found = list(work(group)) if len(group) > 1 else []
             if found:
-                yield out(found)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
@@ -255,7 +247,34 @@ def _across(members: DataFrame, labels: DataFrame, marks: DataFrame, parts: int)
                 group.append(r)
         yield from done()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def _across(members: DataFrame, families: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
+    """(a, b) of different families that share a bucket and whose sizes and estimates allow a link; enough of them to join
+    all such families."""
+    named = members.join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
+    several = named.groupBy("key").agg(F.min("family").alias("l"), F.max("family").alias("h"), F.ceil(F.count("*") / BLOCK).cast("int").alias("of")).filter("l != h").select("key", "of")
+    rows = _paired(named.join(several, "key").join(marks.select("id", "n", "mark"), "id"), "key", ["family", "n", "mark"])
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        i, j = group[0][1], group[0][2]
+        side = np.array([r[3] == i for r in group])
+        ids, family, n = [r[4] for r in group], np.unique([r[5] for r in group], return_inverse=True)[1], np.array([r[6] for r in group])
+        marks = np.frombuffer(b"".join(r[7] for r in group), "<u8").reshape(len(group), -1)
+        for p in range(len(group)):
+            may = (family != family[p]) & (100 * np.minimum(n[p], n) >= PERCENT * np.maximum(n[p], n))
+            may[: p + 1] = False
+            if i != j:
+                may &= side != side[p]
+            at = np.flatnonzero(may)
+            for q in at[estimates(marks[p], marks[at]) >= SURE] if len(at) else ():
+                if family[q] != family[p]:
+                    yield ids[p], ids[int(q)]
+                    family[family == family[q]] = family[p]
+
+    return dealt.mapInArrow(_by_group(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -278,28 +297,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot != last").select("key", "pivot")
     members = scratch.save(keyed.join(buckets, "key"), "members")
     stars = scratch.save(_similar(members.filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), marks), "stars")
-    wanted = marks.select("class", "id").join(members.select("id").distinct(), "id")
-    texts = scratch.save(_texts_of(source, wanted, shingle, parts).groupBy("class").agg(F.min("text").alias("text")).join(wanted, "class").select("id", "text"), "texts")
-
-    # Each class with its most similar pivot; then, where that leaves two components, with the others.
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    links = scratch.save(_confirmed(best, texts, shingle), "links-best")
-    labels = components(links, scratch, "labels-best")
-
-    def more(pairs: DataFrame, name: str, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and labels after the pairs that lie in different components are confirmed, too."""
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        found = scratch.save(_confirmed(apart, texts, shingle), f"links-{name}")
-        if not found.head(1):
-            return links, labels
-        links = scratch.save(links.unionByName(found), f"links-to-{name}")
-        return links, components(links, scratch, f"labels-{name}")
-
-    links, labels = more(stars.join(best, ["a", "b"], "left_anti"), "stars", links, labels)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = scratch.save(_across(members.select("key", "id"), labels.select(F.col("node").alias("id"), "label"), marks, parts).join(tried, ["a", "b"], "left_anti"), "across")
-    links, labels = more(across, "across", links, labels)
+    families = lambda edges, name: components(edges, scratch, name).select(F.col("node").alias("id"), F.col("label").alias("family"))
+    family = families(stars, "families")
+    across = scratch.save(_across(members, family, marks, parts), "across")
+    if across.head(1):
+        family = families(stars.select("a", "b").unionByName(across), "families-all")
+    wanted = marks.select("class", "id", "n", "mark").join(family, "id")
+    texts = _texts_of(source, wanted, shingle, parts).groupBy("class").agg(F.min("text").alias("text"))
+    grouped = scratch.save(texts.join(wanted, "class").select("family", "id", "n", "mark", "text"), "grouped")
+    links = scratch.save(_links(grouped, parts, shingle), "links")
+    labels = components(links, scratch, "labels")
 
     named = marks.select("class", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("label", "id").alias("label"))
     full = scratch.save(rows.filter("mark is null").select("doc_id", "n", "class").join(named, "class", "left").select("doc_id", "n", "label"), "full")
