@@ -94,5 +94,6 @@ def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 
 def string_hash(text: Column) -> Column:
-    """h = h * 31 + code, modulo 2^32, over the characters."""
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % F.lit(2**32))
+    """h = h * 31 + code, modulo 2^32, over the characters; the code of one beyond U+FFFF is its first UTF-16 unit."""
+    code = lambda c: F.when(F.ascii(c) > 0xFFFF, 0xD800 + F.shiftright(F.ascii(c) - 0x10000, 10)).otherwise(F.ascii(c))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), F.lit(0).cast("long"), lambda h, c: (h * 31 + code(c)) % F.lit(2**32))

@@ -40,8 +40,11 @@ def interpolate_between(points: DataFrame, knots: DataFrame, key: list[str], x:
     y = F.col("_y1") + (F.col(x) - F.col("_x1")) / (F.col("_x2") - F.col("_x1")) * (F.col("_y2") - F.col("_y1"))
     found = inside.select(*points.columns, y.alias("y"))
     at_last = points.join(last, [*[points[k] == last[k] for k in key], points[x] == last["_xl"]]).select(*[points[c] for c in points.columns], F.col("_yl").cast("double").alias("y"))
-    known = found.unionByName(at_last)
-    return points.join(known, points.columns, "left")
+    # Equal points have equal values, so each point meets one row; nulls in other columns meet nulls.
+    known = found.unionByName(at_last).distinct()
+    known = known.select(*[F.col(c).alias(f"_k_{c}") for c in points.columns], "y")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in points.columns]
+    return points.join(known, same, "left").select(*points.columns, "y")
 
 
 def calibrated(probability: Column, knots: list[tuple[float, float]]) -> Column:

@@ -10,13 +10,21 @@ MOVES = {"pending": ("accepted", "rejected", "blocked"), "accepted": ("pending",
 
 
 def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Candidates with the last decision (by ``seq``) that their state allows; others are refused and counted."""
-    last = decisions.groupBy("candidate_id").agg(F.max_by("to_state", "seq").alias("to_state"))
-    ok = F.lit(False)
-    for a, bs in MOVES.items():
-        ok = ok | ((F.col("state") == a) & F.col("to_state").isin(*bs))
-    j = candidates.join(last, "candidate_id", "left")
-    return j.withColumn("refused", F.col("to_state").isNotNull() & ~ok).withColumn("state", F.when(ok, F.col("to_state")).otherwise(F.col("state"))).drop("to_state")
+    """Candidates after their decisions, one by one in order of ``seq`` (of equals by state): what the state at that time
+    does not allow is refused, and counted. Candidates without decisions stay; decisions without a candidate are left out."""
+    listed = decisions.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("seq", "to_state"))).alias("_d"))
+    pair = lambda state, refused: F.struct(state.alias("state"), refused.cast("long").alias("refused"))
+
+    def step(now: Column, d: Column) -> Column:
+        ok = F.lit(False)
+        for a, bs in MOVES.items():
+            ok = ok | ((now["state"] == a) & d["to_state"].isin(*bs))
+        ok = F.coalesce(ok, F.lit(False))
+        return pair(F.when(ok, d["to_state"]).otherwise(now["state"]), now["refused"] + F.when(ok, 0).otherwise(1))
+
+    none = F.coalesce("_d", F.filter("_d", lambda x: F.lit(False)), F.array().cast(listed.schema["_d"].dataType))
+    after = F.aggregate(none, pair(F.col("state"), F.lit(0)), step)
+    return candidates.join(listed, "candidate_id", "left").withColumn("_a", after).withColumn("refused", F.col("_a.refused")).withColumn("state", F.col("_a.state")).drop("_a", "_d")
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -42,11 +42,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, key: list[str], value: str, within: float) -> DataFrame:
-    """Rows that only one side has, or whose values are more than ``within`` apart."""
-    a, b = left.select(*key, F.col(value).alias("a")), right.select(*key, F.col(value).alias("b"))
-    j = a.join(b, key, "full_outer")
-    status = F.when(F.col("b").isNull(), "missingRight").when(F.col("a").isNull(), "missingLeft").when(F.abs(F.col("a") - F.col("b")) > within, "differs").otherwise("equal")
-    return j.withColumn("status", status).filter("status != 'equal'")
+    """Rows that only one side has, or whose values are more than ``within`` apart; a null value is equal to a null one only."""
+    side = lambda df, name: df.select(*key, F.col(value).alias(name), F.lit(True).alias(f"_{name}"))
+    j = side(left, "a").join(side(right, "b"), key, "full_outer")
+    apart = F.coalesce(F.abs(F.col("a") - F.col("b")) > within, ~F.col("a").eqNullSafe(F.col("b")))
+    status = F.when(F.col("_b").isNull(), "missingRight").when(F.col("_a").isNull(), "missingLeft").when(apart, "differs").otherwise("equal")
+    return j.withColumn("status", status).filter("status != 'equal'").drop("_a", "_b")
 
 
 def conclusion(score: Column, blocked: Column) -> Column:

@@ -48,9 +48,12 @@ def review_queue(queue: DataFrame) -> DataFrame:
 
 
 def numeric_key(label: Column) -> Column:
-    """A key under which labels sort with numbers by value: every run of digits is padded to 20."""
-    padded = F.regexp_replace(label, r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{20})", "$1")
+    """A key under which labels sort with numbers by value: runs of digits are padded to 20; longer ones come after these, by
+    their length."""
+    plain = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    longer = lambda x: F.concat(F.lit("~"), F.lpad(F.length(x).cast("string"), 9, "0"), x)
+    number = lambda x: F.when(F.length(plain(x)) <= 20, F.lpad(plain(x), 20, "0")).otherwise(longer(plain(x)))
+    return F.array_join(F.transform(F.regexp_extract_all(label, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
 def low_confidence_regions(matched: Column, frames: Column) -> Column:

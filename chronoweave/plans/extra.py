@@ -357,33 +357,57 @@ def zoom_buckets(spark, d):
 ORACLE["zoom_buckets"] = f"WITH {_ITEMS} SELECT item_id, CASE WHEN item_id % 500 < 18 THEN 30000 WHEN item_id % 500 < 45 THEN 10000 WHEN item_id % 500 < 130 THEN 1000 WHEN item_id % 500 < 420 THEN 500 ELSE 100 END AS bucket_ms FROM items"
 
 
-CUTS = L.Literal("cuts", "id long, text string", ((1, "0:10, 1:02:03.5;x\n7.25"), (2, ""), (3, "90，1:00；0:60")))
+# Lists as people write them: each user's events in order, a token or line an event, of several forms and some wrong ones.
+_A, _B = "event_id % 97", "event_id % 80"
+_LISTED = f"e AS (SELECT user_id, event_id AS i, {_A} AS a, {_B} AS b, event_id % 7 AS v FROM events)"
+
+
+def _written(spark, d, forms, separator):
+    e = table(spark, d, "events").withColumns({"a": F.expr(_A).cast("string"), "b": F.expr(_B).cast("string"), "b60": F.expr(f"{_B} % 60").cast("string")})
+    told = F.coalesce(*[F.when(F.col("event_id") % 7 == k, F.concat(*[F.col(x[1:]) if x[0] == "$" else F.lit(x) for x in form])) for k, form in enumerate(forms)])
+    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", told.alias("t")))), lambda x: x["t"]), separator).alias("text"))
 
 
 @query
 def cut_lists(spark, d):
-    """Hand-written lists of times, one row a time."""
-    return lists.cut_points(CUTS.df(spark)).select("id", F.posexplode("cut_ms").alias("place", "cut_ms")).withColumn("place", F.col("place").cast("long"))
-
+    forms = (("$a", ":", "$b"), ("1:", "$a", ":", "$b"), ("$a",), ("$a", ".25 min"), ("$b", "分"), ("x", "$a"), ("$a", ":", "$b60", ".5"))
+    return lists.cut_points(_written(spark, d, forms, "， ;")).select("user_id", F.posexplode("cut_ms").alias("place", "cut_ms"), F.size("not_understood").alias("n_wrong"))
 
-ORACLE["cut_lists"] = "SELECT CAST(a AS BIGINT) AS id, CAST(b AS BIGINT) AS place, CAST(c AS BIGINT) AS cut_ms FROM (VALUES (1, 0, 7250), (1, 1, 10000), (1, 2, 3723500), (3, 0, 60000), (3, 1, 60000), (3, 2, 90000)) v(a, b, c)"
 
-PAIRS = L.Literal("pairs", "id long, text string", ((1, "0:10 -> 0:12\n# nothing\n1:00, 1:05 # late\nbad -> 3"), (2, "5\t6\n7→8.5")))
+ORACLE["cut_lists"] = f"""WITH {_LISTED}, t AS (SELECT user_id, CASE v WHEN 0 THEN CASE WHEN b < 60 THEN (a * 60 + b) * 1000 END WHEN 1 THEN CASE WHEN a < 60 AND b < 60 THEN (3600 + a * 60 + b) * 1000 END WHEN 2 THEN a * 60000 WHEN 3 THEN a * 60000 + 15000 WHEN 4 THEN b * 60000 WHEN 6 THEN (a * 60 + b % 60) * 1000 + 500 END AS ms FROM e)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ms) - 1 AS place, ms AS cut_ms, n_wrong FROM t JOIN (SELECT user_id, count(*) FILTER (ms IS NULL) AS n_wrong FROM t GROUP BY 1) USING (user_id) WHERE ms IS NOT NULL"""
 
 
 @query
 def anchor_lists(spark, d):
-    return lists.anchors(PAIRS.df(spark)).withColumn("line", F.col("line").cast("long"))
+    forms = (("$a", ":", "$b", " -> 1:", "$a", ":05"), ("0:", "$a", ":7,", "$b", ":10"), ("# ", "$a", ":1 -> 1:00"), ("$a", ":", "$b60"), ("$a", " -> ", "$b"), ("$a", ":", "$b60", ".25 → ", "$a", ":", "$b60", ".75"), ("$a", ":10\t1:00 # later"))
+    return lists.anchor_lines(_written(spark, d, forms, "\n \n")).withColumn("line", F.col("line").cast("long"))
 
 
-ORACLE["anchor_lists"] = "SELECT CAST(a AS BIGINT) AS id, CAST(b AS BIGINT) AS line, CAST(c AS BIGINT) AS source_ms, CAST(e AS BIGINT) AS target_ms FROM (VALUES (1, 0, 10000, 12000), (1, 2, 60000, 65000), (2, 0, 5000, 6000), (2, 1, 7000, 8500)) v(a, b, c, e)"
-
-LENGTHS = L.Literal("lengths", "text string", (("S1E2 24:10\n3 1:00:00\nE4 = 90\nnothing",),))
+ORACLE["anchor_lists"] = f"""WITH {_LISTED}, t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS line, v,
+        CASE v WHEN 0 THEN CASE WHEN b < 60 AND a < 60 THEN (a * 60 + b) * 1000 END WHEN 1 THEN CASE WHEN a < 60 THEN (a * 60 + 7) * 1000 END WHEN 5 THEN (a * 60 + b % 60) * 1000 + 250 END AS s,
+        CASE v WHEN 0 THEN (3600 + a * 60 + 5) * 1000 WHEN 1 THEN (b * 60 + 10) * 1000 WHEN 5 THEN (a * 60 + b % 60) * 1000 + 750 END AS z FROM e WHERE v <> 2)
+    SELECT user_id, line, s AS source_ms, CASE WHEN s IS NOT NULL THEN z END AS target_ms, CASE WHEN v = 3 THEN 'notAPair' WHEN s IS NULL THEN 'badTime' END AS warning FROM t"""
 
 
 @query
 def duration_lists(spark, d):
-    return lists.durations(LENGTHS.df(spark)).select(F.coalesce("season", F.lit(-1)).cast("long").alias("season"), F.col("episode").cast("long").alias("episode"), "duration_ms")
+    forms = (("S3E", "$a", " ", "$a", ":", "$b60"), ("$a", " 1:", "$b60", ":07"), ("第2季第", "$a", "集 = ", "$a", ".5 分钟"), ("nothing",), ("$b",), ("E", "$a", ": ", "$b", "min"), ("ep-", "$a", "=", "$b", ".25"))
+    return lists.duration_lines(_written(spark, d, forms, "\r\n")).withColumns({c: F.col(c).cast("long") for c in ("line", "season", "episode")})
+
+
+ORACLE["duration_lists"] = f"""WITH {_LISTED}, t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS line, v, a,
+        nullif(CASE v WHEN 0 THEN (a * 60 + b % 60) * 1000 WHEN 1 THEN (3600 + b % 60 * 60 + 7) * 1000 WHEN 2 THEN a * 60000 + 30000 WHEN 4 THEN b * 60000 WHEN 5 THEN b * 60000 WHEN 6 THEN b * 60000 + 15000 END, 0) AS ms FROM e)
+    SELECT user_id, line, ms AS duration_ms, CASE WHEN ms IS NULL THEN NULL WHEN v = 0 THEN 3 WHEN v = 2 THEN 2 END AS season, CASE WHEN ms IS NULL THEN NULL WHEN v IN (4, 5) THEN line ELSE a END AS episode FROM t"""
+
+
+@query
+def source_timecodes(spark, d):
+    e = table(spark, d, "events").select("event_id", F.expr(_A).cast("string").alias("a"), F.expr(_B).cast("string").alias("b"))
+    forms = (F.concat("a", F.lit(":"), "b"), F.concat(F.lit(" 2:"), "a", F.lit(":"), "b", F.lit(".5 ")), F.col("a"), F.concat("b", F.lit(".125")), F.concat("b", F.lit(".1234")), F.concat("a", F.lit(":")), F.concat(F.lit("0:0:"), "b"))
+    text = F.coalesce(*[F.when(F.col("event_id") % 7 == k, x) for k, x in enumerate(forms)])
+    return e.select("event_id", lists.timecode_ms(text).alias("ms"))
 
 
-ORACLE["duration_lists"] = "SELECT CAST(a AS BIGINT) AS season, CAST(b AS BIGINT) AS episode, CAST(c AS BIGINT) AS duration_ms FROM (VALUES (1, 2, 1450000), (-1, 3, 3600000), (-1, 4, 90000)) v(a, b, c)"
+ORACLE["source_timecodes"] = f"""WITH {_LISTED} SELECT i AS event_id, CASE v WHEN 0 THEN CASE WHEN a < 60 AND b < 60 THEN (a * 60 + b) * 1000 END WHEN 1 THEN CASE WHEN a < 60 AND b < 60 THEN (7200 + a * 60 + b) * 1000 + 500 END
+    WHEN 2 THEN CASE WHEN a < 60 THEN a * 1000 END WHEN 3 THEN CASE WHEN b < 60 THEN b * 1000 + 125 END WHEN 6 THEN CASE WHEN b < 60 THEN b * 1000 END END AS ms FROM e"""

@@ -156,9 +156,6 @@ ORACLE = {
     "fingerprint_join": f"WITH {_FP} SELECT source_id, target_id, source_t, target_t, round(distance, 6) AS distance FROM pairs",
     "offset_votes": f"""WITH {_FP}, c AS (SELECT CAST(floor((target_t - source_t) / 10000 + 0.5) AS BIGINT) * 10000 AS offset_ms, count(*) AS votes FROM pairs GROUP BY 1),
         r AS (SELECT *, row_number() OVER (ORDER BY votes DESC, offset_ms) AS rank FROM c) SELECT * FROM r WHERE rank <= 24 AND (votes >= 2 OR rank <= 8)""",
-    "landmark_join": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms, (user_id % 40 * 256 + item_id % 256) // 256 AS family, item_id % 256 AS b FROM items),
-        s AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'click'), t AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'view')
-        SELECT s.family, s.t_ms AS source_ms, t.t_ms AS target_ms, t.t_ms - s.t_ms AS offset_ms FROM s JOIN t ON s.family = t.family AND abs(s.b - t.b) <= 1 WHERE s.n <= 400 AND t.n <= 400""",
     "landmark_join_users": f"""WITH {_ITEMS}, m AS (SELECT asset_id, t_ms, CAST(user_id AS BIGINT) AS family, item_id % 256 AS b FROM items),
         s AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'click'), t AS (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM m WHERE asset_id = 'view')
         SELECT s.family, s.t_ms AS source_ms, t.t_ms AS target_ms, t.t_ms - s.t_ms AS offset_ms FROM s JOIN t ON s.family = t.family AND abs(s.b - t.b) <= 1 WHERE s.n <= 64 AND t.n <= 64""",
@@ -171,7 +168,7 @@ ORACLE = {
     "rms_distance": f"WITH {_FRAMES} SELECT a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda j: (a.v[j] - b.v[j]) * (a.v[j] - b.v[j]))) / 64), 6) AS distance FROM frames a, frames b WHERE b.vec_id = 0",
     "cosine_cost": f"WITH {_FRAMES} SELECT a.vec_id, CAST(floor(least(2.0::DOUBLE, greatest(0.0::DOUBLE, 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))) * 1000 + 0.5::DOUBLE) AS BIGINT) AS cost FROM frames a, frames b WHERE b.vec_id = 0",
     "duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_returnflag) AS first_label, max(l_returnflag) AS last_label FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "orphans_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphans_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
     "has_child_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "health_checks": """SELECT 'duplicateLines' AS "check", count(*) AS n_found FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'orphanOrders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT 'orphanLines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'emptyOrders', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
@@ -226,8 +223,10 @@ ORACLE |= {
     "region_means": f"WITH {_ITEMS}, p AS (SELECT asset_id, user_id % 32 AS x, item_id % 18 AS y, value FROM items) SELECT asset_id, (y - 2) * 2 // 12 * 4 + x * 4 // 32 AS region, round(avg(value), 6) AS mean FROM p WHERE y BETWEEN 2 AND 13 GROUP BY 1, 2",
     "correlations": f"WITH {_FRAMES}, c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS c FROM frames) SELECT a.vec_id, round(list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)), 6) AS r FROM c a, c b WHERE b.vec_id = 0",
     "candidate_decisions": """WITH c AS (SELECT o_orderkey AS candidate_id, ['pending', 'accepted', 'rejected', 'blocked'][o_orderkey % 4 + 1] AS state FROM orders), l AS (SELECT l_orderkey AS candidate_id, l_linenumber * 1000000 + l_partkey AS seq, min(CASE WHEN l_quantity > 25 THEN 'accepted' ELSE 'pending' END) AS t FROM lineitem GROUP BY 1, 2),
-        b AS (SELECT candidate_id, arg_max(t, seq) AS t FROM l GROUP BY 1), j AS (SELECT c.*, t, coalesce((state = 'pending' AND t IN ('accepted', 'rejected', 'blocked')) OR (state <> 'pending' AND t = 'pending'), FALSE) AS ok FROM c LEFT JOIN b USING (candidate_id))
-        SELECT candidate_id, t IS NOT NULL AND NOT ok AS refused, CASE WHEN ok THEN t ELSE state END AS state FROM j""",
+        d AS (SELECT candidate_id, list(t ORDER BY seq, t) AS ts FROM l GROUP BY 1),
+        f AS (SELECT c.candidate_id, list_reduce(list_prepend(state || ' 0', coalesce(ts, [])), lambda s, t: CASE WHEN split_part(s, ' ', 1) = 'pending' AND t IN ('accepted', 'rejected', 'blocked') OR split_part(s, ' ', 1) <> 'pending' AND t = 'pending'
+              THEN t || ' ' || split_part(s, ' ', 2) ELSE split_part(s, ' ', 1) || ' ' || (CAST(split_part(s, ' ', 2) AS BIGINT) + 1) END) AS s FROM c LEFT JOIN d USING (candidate_id))
+        SELECT candidate_id, CAST(split_part(s, ' ', 2) AS BIGINT) AS refused, split_part(s, ' ', 1) AS state FROM f""",
     "superseded_maps": "WITH m AS (SELECT o_orderkey AS map_id, o_custkey % 50 AS s, o_custkey % 7 AS t, o_orderkey % 100 AS revision, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'candidate' END AS state FROM orders) SELECT map_id, CASE WHEN state = 'confirmed' AND row_number() OVER (PARTITION BY s, t, state ORDER BY revision DESC, map_id) > 1 THEN 'superseded' ELSE state END AS state FROM m",
     "shifted_spans": f"WITH {L.SPANS.cte()} SELECT map_id, span_index, kind, source_start_ms + 1000 AS source_start_ms, source_end_ms + 1000 AS source_end_ms, target_start_ms - 500 AS target_start_ms, target_end_ms - 500 AS target_end_ms FROM spans",
     "split_span": f"""WITH {L.SPANS.cte()}, h AS (SELECT *, map_id = 'click' AND span_index = 3 AS hit, {9 * DAY + 1} AS cut_at, {8 * DAY} + (2 * CAST({9 * DAY + 1 - 7 * DAY} AS HUGEINT) * {3 * DAY} + {5 * DAY}) // {10 * DAY} AS im FROM spans),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import episodes
 from chronoweave.functions import exprs as X
-from chronoweave.operators import fingerprint, hints, intervals, projection, quality, sequence, solve, stats, timeline, timemap
+from chronoweave.functions import text as T
+from chronoweave.operators import evaluate, fingerprint, hints, intervals, lifecycle, projection, quality, review, sequence, solve, stats, timeline, timemap
 from chronoweave.sources import comments, lists
 from chronoweave.streaming import stream
 from conftest import rows
@@ -290,12 +291,19 @@ def test_extra_fields_stay(spark):
 
 
 def test_lists(spark):
-    df = spark.createDataFrame([("1:30, 0:45；x；1:00:00",)], "text string")
-    assert lists.cut_points(df).first()["cut_ms"] == [45000, 90000, 3600000]
-    a = spark.createDataFrame([("0:10 -> 0:12 # first\nnothing\n1:00\t1:05",)], "text string")
-    assert sorted((r["source_ms"], r["target_ms"]) for r in lists.anchors(a).collect()) == [(10000, 12000), (60000, 65000)]
-    d = lists.durations(spark.createDataFrame([("S1E2 24:10\n3 90.5\n?",)], "text string"))
-    assert sorted((r["season"] or 0, r["episode"], r["duration_ms"]) for r in d.collect()) == [(0, 3, 90500), (1, 2, 1450000)]
+    df = spark.createDataFrame([("1:30, 0:45；x；1:00:00\r\n7.25;0:60;90m;1:75:00;1:",), (None,)], "text string")
+    got = lists.cut_points(df).collect()
+    assert got[0]["cut_ms"] == [45_000, 60_000, 90_000, 435_000, 3_600_000, 5_400_000] and got[0]["not_understood"] == ["x", "0:60", "1:75:00"] and got[1]["cut_ms"] is None
+    a = spark.createDataFrame([("0:10 -> 0:12 # first\n\nnothing\n# 1:00 -> 2:00\n1:00\t1:05\n5 -> 6\n75:00，1:15:00.5",)], "text string")
+    assert [tuple(r) for r in lists.anchor_lines(a).select("line", "source_ms", "target_ms", "warning").orderBy("line").collect()] == [
+        (1, None, None, "badTime"), (2, None, None, "notAPair"), (3, 60_000, 65_000, None), (4, None, None, "badTime"), (5, 4_500_000, 4_500_500, None)]
+    assert lists.anchors(a).count() == 2
+    d = lists.duration_lines(spark.createDataFrame([("S1E2 24:10\n3 90.5\n?\n第2季第7话 = 45分钟\n12\nE9 0:00",)], "text string"))
+    assert [tuple(r) for r in d.select("line", "season", "episode", "duration_ms").orderBy("line").collect()] == [
+        (1, 1, 2, 1_450_000), (2, None, 3, 5_430_000), (3, None, None, None), (4, 2, 7, 2_700_000), (5, None, 5, 720_000), (6, None, None, None)]
+    t = spark.createDataFrame([(x,) for x in ("90", "1:75", "1:05", "1:02:03.5", "59.9999", "1:60:00", "", "0:00:59.25", "100:00:00")], "t string")
+    assert [r[0] for r in t.select(lists.timecode_ms(F.col("t"))).collect()] == [None, None, 65_000, 3_723_500, None, None, None, 59_250, 360_000_000]
+
 
 
 def test_streaming_density_equals_batch(spark, tmp_path):
@@ -315,3 +323,32 @@ def test_streaming_playback(spark, tmp_path):
     q.stop()
     # 500 ms, then 500 ms over the stalled row, then a gap, then 500 ms.
     assert spark.sql("select max(played_ms) from play").first()[0] == 1500
+
+
+def test_decisions_fold_in_order(spark):
+    c = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "accepted"), (4, "blocked")], "candidate_id long, state string")
+    d = spark.createDataFrame([(1, 1, "accepted"), (1, 2, "pending"), (2, 1, "accepted"), (2, 2, "blocked"), (3, 1, None), (9, 1, "pending")], "candidate_id long, seq long, to_state string")
+    got = {r["candidate_id"]: (r["state"], r["refused"]) for r in lifecycle.decide(c, d).collect()}
+    assert got == {1: ("pending", 0), 2: ("accepted", 1), 3: ("accepted", 1), 4: ("blocked", 0)}
+
+
+def test_interpolation_keeps_equal_points_and_nulls(spark):
+    p = spark.createDataFrame([(1, 5, "a", None), (1, 5, "a", None), (1, 10, None, 1), (1, 11, "a", None)], "k long, x long, s string, n long")
+    knots = spark.createDataFrame([(1, 0, 0.0), (1, 10, 20.0)], "k long, kx long, ky double")
+    got = sorted((r["x"], r["y"]) for r in evaluate.interpolate_between(p, knots, ["k"], "x", "kx", "ky", 100).collect() if r["y"] is not None)
+    assert got == [(5, 10.0), (5, 10.0), (10, 20.0)] and evaluate.interpolate_between(p, knots, ["k"], "x", "kx", "ky", 100).count() == 4
+
+
+def test_comparison_tells_null_values_from_missing_rows(spark):
+    a = spark.createDataFrame([(1, None), (2, 1.0), (3, None), (4, 1.0)], "k long, v double")
+    b = spark.createDataFrame([(1, None), (2, None), (3, 2.0), (5, None)], "k long, v double")
+    got = {r["k"]: r["status"] for r in quality.compare(a, b, ["k"], "v", 0.5).collect()}
+    assert got == {2: "differs", 3: "differs", 4: "missingRight", 5: "missingLeft"}
+
+
+def test_characters_beyond_the_first_plane_and_long_numbers(spark):
+    df = spark.createDataFrame([("\U0001f600",), ("a",)], "s string")
+    assert [r[0] for r in df.select(T.string_hash(F.col("s"))).collect()] == [55_357, 97]
+    labels = ["e9", "e10", "e" + "9" * 20, "e1" + "0" * 20, "e" + "0" * 30 + "7", "e2" + "0" * 20]
+    got = spark.createDataFrame([(x,) for x in labels], "s string").select("s", review.numeric_key(F.col("s")).alias("k")).orderBy("k").collect()
+    assert [r["s"] for r in got] == [labels[i] for i in (4, 0, 1, 2, 3, 5)]
