@@ -72,6 +72,17 @@ def region_means(pixels: DataFrame, key: list[str], x: str, y: str, value: str,
     return inside.groupBy(*key, region.alias("region")).agg(F.avg(value).alias("mean"))
 
 
+def priority(family: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers that mix a family with a place in it (the public SplitMix64 finish)."""
+    with np.errstate(over="ignore"):
+        o = ordinal.astype(np.uint64)
+        v = family.astype(np.uint64) ^ (o << np.uint64(17) | o >> np.uint64(47))
+        v = v + np.uint64(0x9E3779B97F4A7C15)
+        v = (v ^ v >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ v >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return v ^ v >> np.uint64(31)
+
+
 def bounded_sample(landmarks: DataFrame, key: list[str], most: int) -> DataFrame:
     """Of each family (hash >> 8) the ``most`` landmarks whose place in the family mixes to the least number. The
     place is the rank by time, so two encodings of one medium keep corresponding landmarks."""
@@ -82,13 +93,7 @@ def bounded_sample(landmarks: DataFrame, key: list[str], most: int) -> DataFrame
     def mixed(family: pd.Series, ordinal: pd.Series) -> pd.Series:
         from decimal import Decimal
 
-        with np.errstate(over="ignore"):
-            o = ordinal.to_numpy().astype(np.uint64)
-            v = family.to_numpy().astype(np.uint64) ^ (o << np.uint64(17) | o >> np.uint64(47))
-            v = v + np.uint64(0x9E3779B97F4A7C15)
-            v = (v ^ v >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            v = (v ^ v >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            v = v ^ v >> np.uint64(31)
+        v = priority(family.to_numpy(), ordinal.to_numpy())
         return pd.Series([Decimal(int(x)) for x in v])
 
     ranked = placed.withColumn("_m", mixed("family", "ordinal")).withColumn("_r", F.row_number().over(Window.partitionBy(*key, "family").orderBy("_m", "ordinal")))
