@@ -1,4 +1,4 @@
-"""Sequence alignment beyond joins: dense matching, monotone sparse matching, affine fits. One pair is one group."""
+"""Sequence alignment beyond joins: dense matching, monotone sparse matching. One pair is one group."""
 
 from __future__ import annotations
 
@@ -102,40 +102,3 @@ def sparse_matches(candidates: DataFrame, key: str, threshold: float = 0.35, buc
         return monotone(pdf, votes, threshold, bucket)[names]
 
     return candidates.groupBy(key).applyInPandas(run, candidates.schema)
-
-
-def affine_hypotheses(pairs: DataFrame, key: str, source: str = "source_ms", target: str = "target_ms", seeds: int = 768, within: int = 250, least: int = 3, top: int = 3) -> DataFrame:
-    """Scale and offset hypotheses of each pair's landmark matches: seeds from evenly spaced couples of matches (scale
-    0.94 to 1.06), refitted twice on their inliers, near equals dropped, by inliers. A pair is one group; its matches
-    are bounded by the landmark join's own limits."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[source].to_numpy(float), pdf[target].to_numpy(float)
-        order = np.lexsort((y, x))
-        x, y, n = x[order], y[order], len(x)
-        found: list[tuple] = []
-        for i in range(0, n, max(1, n * 2 // seeds)):
-            for scale in {1.0, *((y[j] - y[i]) / (x[j] - x[i]) for j in (n - 1 - i, (i + n // 2) % n) if x[j] != x[i])}:
-                if not 0.94 <= scale <= 1.06:
-                    continue
-                a, b = scale, y[i] - scale * x[i]
-                for _ in range(2):
-                    hit = np.abs(a * x + b - y) <= within
-                    if len(np.unique(x[hit])) < 2:
-                        break
-                    c = np.polyfit(x[hit] - x[hit].mean(), y[hit], 1)
-                    if not 0.94 <= c[0] <= 1.06:
-                        break
-                    a, b = c[0], c[1] - c[0] * x[hit].mean()
-                hit = np.abs(a * x + b - y) <= within
-                if hit.sum() >= least:
-                    found.append((int(hit.sum()), -float(np.abs(a * x + b - y)[hit].mean()), float(a), float(b)))
-        out: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if all(abs(f[2] - o[2]) >= 0.0005 or abs(f[3] - o[3]) >= 40 for o in out):
-                out.append(f)
-            if len(out) == top:
-                break
-        return pd.DataFrame([(pdf[key].iloc[0], k, f[2], f[3], f[0], -f[1]) for k, f in enumerate(out)], columns=["pair", "rank", "scale", "offset_ms", "inliers", "residual_ms"])
-
-    return pairs.groupBy(key).applyInPandas(run, "pair long, rank long, scale double, offset_ms double, inliers long, residual_ms double")

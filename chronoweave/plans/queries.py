@@ -658,13 +658,6 @@ def sparse_match(spark, d):
     return align.sparse_matches(c, "pair", 0.2, 10_000)
 
 
-@query
-def affine_hypotheses(spark, d):
-    e = items(spark, d).select("user_id", "item_id")
-    m = e.select(F.col("user_id").cast("long").alias("pair"), (F.col("item_id") * 700).alias("source_ms"), F.when(F.col("item_id") % 3 != 0, F.floor(F.col("item_id") * 700 * 1.01 + 5000 + F.col("item_id") % 50)).otherwise(F.col("item_id") * 31 % 9973 * 500).alias("target_ms"))
-    return align.affine_hypotheses(m, "pair")
-
-
 @query
 def project_documents(spark, d):
     p = documents.parse(L.PROJECTS.df(spark))

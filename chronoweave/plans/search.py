@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import banded, frontier, graph, localise
+from ..operators import affine, banded, frontier, graph, localise
 from .oracle import _ITEMS, ORACLE
 from .queries import items, query, table
 
@@ -196,3 +196,57 @@ ORACLE["fine_frontier"] = f"""WITH RECURSIVE {_INVENTORY}
     stated AS (SELECT *, CASE WHEN NOT any_live THEN 'noEligible' WHEN coalesce(best_total > runner_total + 5000, true) AND coalesce(best_total > bound + 5000, true) AND len(best) > 0 THEN 'resolved' WHEN waiting > 0 THEN 'pending' ELSE 'unresolved' END AS state FROM base)
     SELECT case_id, best_total, runner_total, bound, state, CASE WHEN state IN ('pending', 'unresolved') THEN greatest(0, waiting - 2) ELSE 0 END AS deferred, CASE WHEN state = 'pending' THEN least(2, waiting) ELSE 0 END AS n_batch,
         array_to_string(best, ' ') AS best, CASE WHEN runner_total IS NOT NULL THEN array_to_string(runner_up, ' ') END AS runner_up FROM stated"""
+
+
+# Affine hypotheses: a user's events are matched landmarks on a line of scale 1.01, every third one elsewhere.
+
+
+def _observed(spark, d):
+    e = items(spark, d).select(F.col("user_id").cast("long").alias("pair"), F.col("item_id").cast("long").alias("i"))
+    target = F.when(F.col("i") % 3 != 0, F.floor(F.col("i") * 707 + 5000 + F.col("i") % 50)).otherwise(F.col("i") * 31 % 9973 * 500)
+    return e.select("pair", (F.col("i") - F.col("i") % 2).alias("source_id"), F.col("i").alias("target_id"), ((F.col("i") - F.col("i") % 2) * 700).alias("source_ms"), target.cast("long").alias("target_ms"))
+
+
+def _hypotheses(spark, d):
+    o = _observed(spark, d)
+    return affine.hypotheses(o, o.groupBy("pair").agg(F.countDistinct("source_id").alias("n_source"), F.countDistinct("target_id").alias("n_target")), within=400)
+
+
+@query
+def affine_seeds(spark, d):
+    return affine.seeds(_observed(spark, d)).select("pair", F.col("seed").cast("long").alias("seed"), F.round("scale", 9).alias("scale"), F.round("offset", 3).alias("offset"))
+
+
+@query
+def affine_hypotheses(spark, d):
+    h = _hypotheses(spark, d)
+    return h.withColumns({c: F.round(c, 6) for c in ("scale", "source_coverage", "target_coverage", "margin")}).withColumns({c: F.col(c).cast("long") for c in ("rank", "seed")}).drop("fitted_offset")
+
+
+_OBSERVED = """o AS (SELECT CAST(user_id AS BIGINT) AS pair, event_id - event_id % 2 AS sid, event_id AS tid, (event_id - event_id % 2) * 700 AS s, CASE WHEN event_id % 3 <> 0 THEN event_id * 707 + 5000 + event_id % 50 ELSE event_id * 31 % 9973 * 500 END AS t FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY s, t, sid, tid) - 1 AS r, count(*) OVER (PARTITION BY pair) AS n FROM o), q AS (SELECT *, greatest(1, n // 96) AS one, greatest(1, n // 48) AS two FROM r),
+    every AS (SELECT pair, r AS i, -1 AS j, CAST(1 AS DOUBLE) AS scale, CAST(t - s AS DOUBLE) AS off FROM q WHERE r % one = 0 AND r // one < 256
+        UNION ALL SELECT a.pair, a.r, b.r, (b.t - a.t) / CAST(b.s - a.s AS DOUBLE), a.t - (b.t - a.t) / CAST(b.s - a.s AS DOUBLE) * a.s FROM q a JOIN q b ON b.pair = a.pair AND a.r % a.two = 0 AND b.r > a.r AND (b.r - a.r - 1) % a.two = 0 AND a.sid <> b.sid AND abs(b.s - a.s) >= 500 AND (b.t - a.t) / CAST(b.s - a.s AS DOUBLE) BETWEEN 0.94 AND 1.06),
+    m0 AS (SELECT * FROM (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY j >= 0, i, j) - 1 AS seed, scale, off FROM every) WHERE seed < 768)"""
+
+
+def _supported(m: str, k: int) -> str:
+    return f"""near{k} AS (SELECT m.*, sid, tid, s, t, CAST(floor(abs(t - (scale * s + off)) + 0.5) AS BIGINT) AS res FROM {m} m JOIN o USING (pair) WHERE floor(abs(t - (scale * s + off)) + 0.5) <= 400),
+    best{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair, seed, sid ORDER BY res, t, tid) AS c FROM near{k}) WHERE c = 1),
+    in{k} AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY pair, seed ORDER BY s, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM best{k}) WHERE reach IS NULL OR t > reach)"""
+
+
+def _fitted(k: int) -> str:
+    return f"m{k + 1} AS (SELECT pair, seed, regr_slope(t, s) AS scale, avg(t) - regr_slope(t, s) * avg(s) AS off FROM in{k} GROUP BY ALL HAVING count(*) >= 4 AND regr_slope(t, s) BETWEEN 0.94 AND 1.06)"
+
+
+ORACLE["affine_seeds"] = f"WITH {_OBSERVED} SELECT pair, seed, round(scale, 9) AS scale, round(off, 3) AS offset FROM m0"
+ORACLE["affine_hypotheses"] = f"""WITH {_OBSERVED}, {_supported("m0", 0)}, {_fitted(0)}, {_supported("m1", 1)}, {_fitted(1)}, {_supported("m2", 2)},
+    h AS (SELECT pair, seed, scale, CAST(round(off) AS BIGINT) AS offset_ms, count(*) AS n_inliers, min(s) AS source_start_ms, max(s) AS source_end_ms, list(res ORDER BY res) AS r FROM in2 GROUP BY pair, seed, scale, off HAVING count(*) >= 4),
+    g AS (SELECT pair, list_reduce(list_prepend(CAST([] AS DOUBLE[][]), list([[CAST(seed AS DOUBLE), scale, CAST(offset_ms AS DOUBLE)]] ORDER BY seed)), lambda got, x: CASE WHEN len(list_filter(got, lambda y: abs(y[2] - x[1][2]) < 0.0005 AND abs(y[3] - x[1][3]) < 40)) > 0 THEN got ELSE list_concat(got, x) END) AS kept FROM h GROUP BY pair),
+    tot AS (SELECT pair, count(DISTINCT sid) AS ns, count(DISTINCT tid) AS nt FROM o GROUP BY pair),
+    k AS (SELECT h.*, n_inliers / CAST(ns AS DOUBLE) AS source_coverage, n_inliers / CAST(nt AS DOUBLE) AS target_coverage, r[CAST(ceil((len(r) - 1) * 0.5) AS BIGINT) + 1] AS p50_ms, r[CAST(ceil((len(r) - 1) * 0.95) AS BIGINT) + 1] AS p95_ms, r[-1] AS max_ms
+        FROM h JOIN (SELECT pair, CAST(unnest(kept)[1] AS BIGINT) AS seed FROM g) USING (pair, seed) JOIN tot USING (pair)),
+    z AS (SELECT *, row_number() OVER w AS rank, lead(n_inliers - p95_ms / 800.0) OVER w AS next FROM k WINDOW w AS (PARTITION BY pair ORDER BY n_inliers DESC, p95_ms, source_coverage DESC, target_coverage DESC, abs(offset_ms), scale, seed))
+    SELECT pair, rank, seed, round(scale, 6) AS scale, offset_ms, n_inliers, round(source_coverage, 6) AS source_coverage, round(target_coverage, 6) AS target_coverage, source_start_ms, source_end_ms, p50_ms, p95_ms, max_ms,
+        CASE WHEN rank = 1 THEN round(least(1, greatest(0, (greatest(n_inliers - p95_ms / 800.0, 0.001) - coalesce(next, 0)) / greatest(n_inliers - p95_ms / 800.0, 0.001))), 6) END AS margin FROM z"""

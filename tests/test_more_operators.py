@@ -33,12 +33,6 @@ def test_a_cut_is_found(spark):
     assert sum(r["gap_ms"] for r in got) == 20000 and any(abs(r["source_at_ms"] - 40000) <= 2000 for r in got)
 
 
-def test_affine_hypothesis(spark):
-    m = [(1, x, round(x * 1.02 + 3000)) for x in range(0, 100000, 900)] + [(1, x, (x * 7919) % 90000) for x in range(0, 100000, 2100)]
-    got = align.affine_hypotheses(spark.createDataFrame(m, "pair long, source_ms long, target_ms long"), "pair").orderBy("rank").first()
-    assert got["scale"] == pytest.approx(1.02, abs=1e-3) and got["offset_ms"] == pytest.approx(3000, abs=60) and got["inliers"] >= 100
-
-
 def test_spectrum_finds_a_tone():
     t = np.arange(1024) / 8000
     x = (np.sin(2 * np.pi * 500 * t) * 20000).reshape(1, -1)
@@ -106,14 +100,6 @@ def test_split_keeps_the_line(spark):
     assert [(r["source_end_ms"], r["target_end_ms"]) for r in got[:2]] == [(L.DAY, 2 * L.DAY), (5 * L.DAY, 6 * L.DAY)] and len(got) == 8
 
 
-def test_affine_hypotheses_read_every_event(spark):
-    """Two of three events lie near one line, so each pair's best hypothesis has them all; at sf0.01 ids go past 2,857."""
-    got = {r["pair"]: r["inliers"] for r in queries.affine_hypotheses(spark, f"{DATA}/sf0.01").filter("rank = 0").collect()}
-    events = spark.read.parquet(f"{DATA}/sf0.01/events.parquet")
-    want = {r["user_id"]: r["n"] for r in events.groupBy("user_id").agg(F.count(F.when(F.col("event_id") % 3 != 0, 1)).alias("n")).collect()}
-    assert set(got) == set(want) and all(got[k] >= n for k, n in want.items())
-
-
 def test_landmark_families_do_not_grow_with_the_table(spark):
     """No family of sf0.1 is over the limit, so every close click and view of a user meet."""
     e = queries.items(spark, f"{DATA}/sf0.1").select("user_id", "asset_id", (F.col("item_id") % 256).alias("b"))
