@@ -411,3 +411,17 @@ def source_timecodes(spark, d):
 
 ORACLE["source_timecodes"] = f"""WITH {_LISTED} SELECT i AS event_id, CASE v WHEN 0 THEN CASE WHEN a < 60 AND b < 60 THEN (a * 60 + b) * 1000 END WHEN 1 THEN CASE WHEN a < 60 AND b < 60 THEN (7200 + a * 60 + b) * 1000 + 500 END
     WHEN 2 THEN CASE WHEN a < 60 THEN a * 1000 END WHEN 3 THEN CASE WHEN b < 60 THEN b * 1000 + 125 END WHEN 6 THEN CASE WHEN b < 60 THEN b * 1000 END END AS ms FROM e"""
+
+_FILED = f"{_ITEMS}, x AS (SELECT asset_id || '-' || CAST(t_ms // 3600000 % 24 AS VARCHAR) AS a, item_id, t_ms, mode, ' <&> ' || coalesce(text, '') || chr(9) AS text FROM items)"
+ORACLE["xml_items"] = f"WITH {_FILED} SELECT a AS asset_id, item_id AS row_id, t_ms, CAST(mode AS BIGINT) AS mode, 'u&<' AS user_hash, text || CASE WHEN length(a) % 3 = 2 THEN ' more' ELSE '' END AS text FROM x"
+ORACLE["xml_roundtrip"] = f"WITH {_FILED} SELECT a AS asset_id, count(*) AS n_items, count(*) AS n_same FROM x GROUP BY a"
+_U = "CAST({} AS UHUGEINT)"
+_WRAP = "CAST({} % 18446744073709551616 AS UBIGINT)"
+_MIXED = [f"xor(CAST(family AS UBIGINT), CAST(ordinal AS UBIGINT) << 17)"]
+_MIXED.append(_WRAP.format(f"({_U.format('v')} + CAST(11400714819323198485 AS UHUGEINT))"))
+_MIXED.append(_WRAP.format(f"({_U.format('xor(v, v >> 30)')} * CAST(13787848793156543929 AS UHUGEINT))"))
+_MIXED.append(_WRAP.format(f"({_U.format('xor(v, v >> 27)')} * CAST(10723151780598845931 AS UHUGEINT))"))
+_MIXED.append("xor(v, v >> 31)")
+ORACLE["bounded_family_sample"] = f"""WITH {_ITEMS}, m AS (SELECT item_id, asset_id, user_id % 40 AS family, t_ms, user_id % 40 * 256 + item_id % 256 AS hash FROM items),
+    o AS (SELECT item_id, asset_id, family, row_number() OVER (PARTITION BY asset_id, family ORDER BY t_ms, hash) - 1 AS ordinal FROM m), """ + ", ".join(f"v{k} AS (SELECT * {'EXCLUDE (v)' if k else ''}, {x} AS v FROM {f'v{k - 1}' if k else 'o'})" for k, x in enumerate(_MIXED)) + """
+    SELECT item_id, asset_id, CAST(family AS BIGINT) AS family, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, family ORDER BY v, ordinal) AS r FROM v4) WHERE r <= 8"""

@@ -461,12 +461,36 @@ def rounding(spark, d):
     return L.NUMBERS.df(spark).select("x", X.round_half_up(F.col("x")).alias("nearest"), X.clamp_ms(F.col("x")).alias("clamped"))
 
 
+def _comment_files(spark, d):
+    """Events as one comment file per hour of day and type; the text has spaces at its ends, and what must be escaped."""
+    e = items(spark, d).withColumn("target_id", F.concat_ws("-", "asset_id", F.floor(F.col("t_ms") / 3_600_000) % 24)).withColumns({"font_size": F.lit(25), "color": F.lit(16777215), "created": F.lit(0), "pool": F.lit(0), "user_hash": F.lit("u&<"), "row_id": F.col("item_id").cast("string"), "raw_fields": F.array().cast("array<string>")})
+    e = e.withColumn("text", F.concat(F.lit(" <&> "), F.coalesce("text", F.lit("")), F.lit("\t")))
+    return comments.documents(e, final="t_ms").select(F.col("target_id").alias("asset_id"), "xml")
+
+
 @query
 def xml_roundtrip(spark, d):
-    """Events written as one comment file per hour of day and type, read again, compared."""
-    e = items(spark, d).withColumn("target_id", F.concat_ws("-", "asset_id", F.floor(F.col("t_ms") / 3_600_000) % 24)).withColumns({"font_size": F.lit(25), "color": F.lit(16777215), "created": F.lit(0), "pool": F.lit(0), "user_hash": F.lit("u&<"), "row_id": F.col("item_id").cast("string"), "raw_fields": F.array().cast("array<string>")})
-    files = comments.documents(e, final="t_ms").select(F.col("target_id").alias("asset_id"), "xml")
-    return comments.round_trip(files)
+    """Comment files written, read again, compared with themselves written again."""
+    return comments.round_trip(_comment_files(spark, d))
+
+
+@query
+def xml_items(spark, d):
+    """Items of comment files whose elements lie deeper, without p, or behind others, as the files' names say."""
+    kind = F.length("asset_id") % 3
+    body = F.regexp_replace("xml", r'(?s)^.*?<i>\n', "")
+    nested = F.concat(F.lit("<i><g>"), F.regexp_replace(body, "</i>\\s*$", "</g></i>"))
+    wrapped = F.concat(F.lit("<i>"), F.regexp_replace(body, r"</d>", "<b/><!-- x --> more</d>"))
+    files = _comment_files(spark, d).withColumn("xml", F.when(kind == 0, F.concat(F.lit("<i>"), body)).when(kind == 1, nested).otherwise(wrapped))
+    found = comments.items(comments.elements(files))
+    return found.select("asset_id", F.col("row_id").cast("long").alias("row_id"), "t_ms", "mode", "user_hash", "text")
+
+
+@query
+def xml_errors(spark, d):
+    """Comment files cut off after a number of bytes: elements kept, warnings, and the error of each."""
+    files = _comment_files(spark, d).withColumn("xml", F.expr("substr(xml, 1, 60 + 37 * length(asset_id))"))
+    return comments.warnings(comments.parsed(files)).groupBy("asset_id", "severity", "code").agg(F.count("*").alias("n"))
 
 
 @query

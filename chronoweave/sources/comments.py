@@ -1,7 +1,16 @@
-"""Comment files: <d p="seconds,mode,size,colour,time,pool,user,row">text</d> elements under one root."""
+"""Comment files: <d p="seconds,mode,size,colour,time,pool,user,row">text</d> elements at any depth.
+
+Files are read by Spark, one row each, and parsed as a stream of events, so that what stands before an error is kept. An
+element's text is all text inside it, as it is; an element inside another one counts for both.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +19,122 @@ from ..functions import exprs as X
 SNIPPET = 240
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """asset_id (file name) and xml, one row a file."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("asset_id"), F.col("value").alias("xml"))
+@dataclass(frozen=True)
+class Limits:
+    """Fixed values of the import: bytes of a file, elements of one, bytes and fields of p, bytes of a text, depth; and of a
+    batch: files, bytes, elements."""
+
+    file_bytes: int = 64 << 20
+    items: int = 250_000
+    p_bytes: int = 16 << 10
+    p_fields: int = 64
+    text_bytes: int = 1 << 20
+    depth: int = 256
+    batch_files: int = 256
+    batch_bytes: int = 256 << 20
+    batch_items: int = 500_000
 
 
-def elements(files: DataFrame) -> DataFrame:
-    """Every element in document order: asset_id, original_index, p, text. Bad XML has none."""
-    parsed = F.from_xml("xml", "d array<struct<_VALUE string, _p string>>")
-    return files.select("asset_id", F.posexplode(F.coalesce(parsed["d"], F.array().cast("array<struct<_VALUE:string,_p:string>>"))).alias("original_index", "d")).select("asset_id", "original_index", F.col("d._p").alias("p"), F.coalesce(F.col("d._VALUE"), F.lit("")).alias("text"))
+class Beyond(Exception):
+    """A limit that a file is beyond; its name is the code."""
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """asset_id (file name), xml (bytes), n_bytes and sha256, one row a file."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("asset_id"), F.col("content").alias("xml"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def parse(data: str | bytes, limits: Limits | None = None) -> tuple[list[list], tuple[str, str] | None]:
+    """Elements [p, text, snippet] in document order, and the error that ended the reading (code, snippet), if one did. With
+    limits, a file beyond one has no elements."""
+    raw = data.encode("utf-8", "surrogatepass") if isinstance(data, str) else bytes(data)
+    reader = expat.ParserCreate("utf-8" if isinstance(data, str) else None)
+    found: list[list] = []
+    open_at: list[tuple[list, int, int]] = []  # element, where it began, its depth
+    depth = 0
+
+    def start(name: str, attributes: dict) -> None:
+        nonlocal depth
+        depth += 1
+        if limits and depth > limits.depth:
+            raise Beyond("tooDeep")
+        if name == "d":
+            p = attributes.get("p")
+            found.append([p, [], "", 0])
+            open_at.append((found[-1], reader.CurrentByteIndex, depth))
+            if limits and len(found) > limits.items:
+                raise Beyond("tooManyItems")
+            if limits and p and (len(p.encode()) > limits.p_bytes or p.count(",") >= limits.p_fields):
+                raise Beyond("tooManyFields" if p.count(",") >= limits.p_fields else "longFields")
+
+    def text(part: str) -> None:
+        for element, *_ in open_at:
+            element[1].append(part)
+            element[3] += len(part.encode("utf-8", "surrogatepass"))
+            if limits and element[3] > limits.text_bytes:
+                raise Beyond("longText")
+
+    def end(name: str) -> None:
+        nonlocal depth
+        if open_at and open_at[-1][2] == depth:
+            element, begin, _ = open_at.pop()
+            element[2] = raw[begin : begin + 4 * SNIPPET].decode("utf-8", "replace")[:SNIPPET]
+        depth -= 1
+
+    reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = start, end, text
+    error = None
+    try:
+        if limits and len(raw) > limits.file_bytes:
+            raise Beyond("fileTooLarge")
+        reader.Parse(raw, True)
+    except Beyond as e:
+        return [], (str(e), raw[: 4 * SNIPPET].decode("utf-8", "replace")[:SNIPPET])
+    except expat.ExpatError as e:
+        error = "parseError", f"line {e.lineno}, column {e.offset}: {expat.ErrorString(e.code)}"[:SNIPPET]
+    return [[p, "".join(parts), snippet] for p, parts, snippet, _ in found], error
+
+
+_PARSED = "original_index long, p string, text string, snippet string, error string"
+
+
+def parsed(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """``files`` (asset_id, xml: text or bytes) as a row for each element, and one with an error code and no original_index for
+    each file that has an error. A file that is null or empty has an error and no elements."""
+    names = ["original_index", "p", "text", "snippet", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found, error = parse(b.column(1)[i].as_py() or "", limits)
+                rows = [(k, *x, None) for k, x in enumerate(found)] + ([(None, None, None, error[1], error[0])] if error else [])
+                for k in range(0, len(rows), 10_000):
+                    part = rows[k : k + 10_000]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), *[pa.string()] * 4))]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(part), b.schema.field(0).type), *cols], ["asset_id", *names])
+
+    kind = files.schema["asset_id"].dataType.simpleString()
+    return files.select("asset_id", "xml").mapInArrow(run, f"asset_id {kind}, {_PARSED}")
+
+
+def elements(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Every element in document order: asset_id, original_index, p, text, snippet; those before an error, too."""
+    return parsed(files, limits).filter("original_index is not null").drop("error")
+
+
+def file_errors(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """asset_id, code, snippet of files that could not be read to their end: ``parseError``, or the limit they are beyond
+    (``fileTooLarge``, ``tooManyItems``, ``longFields``, ``tooManyFields``, ``longText``, ``tooDeep``)."""
+    return parsed(files, limits).filter("error is not null").select("asset_id", F.col("error").alias("code"), "snippet")
+
+
+def batch_errors(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Codes of the limits that the files are beyond together: ``tooManyFiles``, ``tooManyBytes``, ``tooManyItemsInAll``."""
+    limits = limits or Limits()
+    size = files.agg(F.count("*").alias("f"), F.coalesce(F.sum(F.octet_length("xml")), F.lit(0)).alias("b"))
+    n = elements(files, limits).agg(F.count("*").alias("i"))
+    odd = F.array_compact(F.array(F.when(F.col("f") > limits.batch_files, "tooManyFiles"), F.when(F.col("b") > limits.batch_bytes, "tooManyBytes"), F.when(F.col("i") > limits.batch_items, "tooManyItemsInAll")))
+    return size.crossJoin(n).select(F.explode(odd).alias("code"))  # one row each
 
 
 def items(found: DataFrame) -> DataFrame:
@@ -39,18 +155,21 @@ def items(found: DataFrame) -> DataFrame:
         blank(at(6)).alias("user_hash"),
         blank(at(7)).alias("row_id"),
         "text",
-        F.when(F.col("p").isNotNull(), f).otherwise(F.array().cast("array<string>")).alias("raw_fields"),
+        F.when(F.coalesce("p", F.lit("")) != "", f).otherwise(F.array().cast("array<string>")).alias("raw_fields"),
         F.lit(True).alias("enabled"),
     )
 
 
 def warnings(found: DataFrame) -> DataFrame:
-    """asset_id, original_index, severity, code and snippet of everything odd."""
-    f = F.split(F.coalesce("p", F.lit("")), ",")
-    w = lambda cond, severity, code: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
-    missing = F.col("p").isNull() | (F.trim("p") == "")
-    odd = F.array_compact(F.array(w(missing, "error", "missingFields"), w(~missing & (F.size(f) < 8), "warning", "fewFields"), w(~missing & X.decimal_seconds_ms(F.element_at(f, 1)).isNull(), "warning", "badTime"), w(F.trim("text") == "", "info", "emptyText")))
-    return found.select("asset_id", "original_index", F.explode(odd).alias("w"), F.substring("text", 1, SNIPPET).alias("snippet")).select("asset_id", "original_index", "w.severity", "w.code", "snippet")
+    """asset_id, original_index, severity, code and snippet of everything odd in ``elements`` or ``parsed``: an element
+    without p has ``missingFields``, ``fewFields`` and ``badTime``; a file's error has no original_index."""
+    f = F.when(F.coalesce("p", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("p", ","))
+    w = lambda cond, code: F.when(cond, F.struct(F.lit("warning").alias("severity"), F.lit(code).alias("code")))
+    time = X.decimal_seconds_ms(F.try_element_at(f, F.lit(1)))
+    odd = [w(F.col("p").isNull(), "missingFields"), w(F.size(f) < 8, "fewFields"), w(time.isNull(), "badTime"), w(F.col("text") == "", "emptyText")]
+    if "error" in found.columns:
+        odd = [F.when(F.col("error").isNull(), x) for x in odd] + [F.when(F.col("error").isNotNull(), F.struct(F.lit("error").alias("severity"), F.col("error").alias("code")))]
+    return found.select("asset_id", "original_index", F.explode(F.array_compact(F.array(*odd))).alias("w"), "snippet").select("asset_id", "original_index", "w.severity", "w.code", "snippet")
 
 
 def _escape(c: Column) -> Column:

@@ -280,7 +280,7 @@ def test_comment_files(spark):
     e = comments.elements(f)
     got = comments.items(e).filter("asset_id = 'f.xml'").orderBy("original_index").collect()
     assert [(r["t_ms"], r["mode"], r["text"]) for r in got] == [(1235, 1, "a & b"), (0, 1, "x"), (0, None, "no fields"), (2000, 4, "")]
-    assert {(r["original_index"], r["code"]) for r in comments.warnings(e).collect()} == {(1, "fewFields"), (1, "badTime"), (2, "missingFields"), (3, "emptyText")}
+    assert {(r["original_index"], r["code"]) for r in comments.warnings(e).collect()} == {(1, "fewFields"), (1, "badTime"), (2, "missingFields"), (2, "fewFields"), (2, "badTime"), (3, "emptyText")}
     back = comments.round_trip(f).filter("asset_id = 'f.xml'").first()
     assert back["n_items"] == back["n_same"] == 4
 
@@ -352,3 +352,35 @@ def test_characters_beyond_the_first_plane_and_long_numbers(spark):
     labels = ["e9", "e10", "e" + "9" * 20, "e1" + "0" * 20, "e" + "0" * 30 + "7", "e2" + "0" * 20]
     got = spark.createDataFrame([(x,) for x in labels], "s string").select("s", review.numeric_key(F.col("s")).alias("k")).orderBy("k").collect()
     assert [r["s"] for r in got] == [labels[i] for i in (4, 0, 1, 2, 3, 5)]
+
+
+def test_comment_files_as_they_occur(spark):
+    made = {
+        "space": '<i><d p="1,1,25,1,0,0,u,r">  sp  </d></i>', "mixed": "<i><d>t<b/>u<!-- no --><![CDATA[<&]]></d></i>", "deep": "<r><g><d>in</d></g><d>a<d>b</d>c</d></r>",
+        "cut": "<i><d>one</d><d>two</d><d p='1", "wrong": "<i><d>one</d><x></i><d>three</d>", "open": "<i><d>one</d><d>tw", "empty": "", "plain": "<i/>",
+    }
+    f = spark.createDataFrame([*made.items(), ("none", None)], "asset_id string, xml string")
+    got = {}
+    for r in comments.elements(f).orderBy("asset_id", "original_index").collect():
+        got.setdefault(r["asset_id"], []).append(r["text"])
+    assert got == {"space": ["  sp  "], "mixed": ["tu<&"], "deep": ["in", "abc", "b"], "cut": ["one", "two"], "wrong": ["one"], "open": ["one", "tw"]}
+    assert {r["asset_id"] for r in comments.file_errors(f).collect()} == {"cut", "wrong", "open", "empty", "none"}
+    w = comments.warnings(comments.parsed(f)).filter("severity = 'error'").collect()
+    assert len(w) == 5 and all(r["original_index"] is None and r["code"] == "parseError" for r in w)
+    snippets = {r["snippet"] for r in comments.elements(f).filter("asset_id = 'deep'").collect()}
+    assert any(x.startswith("<d>a<d>b</d>c</d>") for x in snippets)
+
+
+def test_import_limits(spark, tmp_path):
+    few = comments.Limits(file_bytes=400, items=3, p_bytes=20, p_fields=9, text_bytes=5, depth=4, batch_files=2, batch_bytes=10, batch_items=1)
+    made = {
+        "ok": "<i><d p='1,2'>12345</d><d/></i>", "fileTooLarge": "<i>" + " " * 400 + "</i>", "tooManyItems": "<i>" + "<d/>" * 4 + "</i>", "longFields": f"<i><d p='{'x' * 21}'/></i>",
+        "tooManyFields": "<i><d p=',,,,,,,,,'/></i>", "longText": "<i><d>éé<b>é</b></d></i>", "tooDeep": "<i><a><a><a><a/></a></a></a></i>",
+    }
+    for k, x in made.items():
+        (tmp_path / f"{k}.xml").write_text(x)
+    f = comments.read_files(spark, f"{tmp_path}/*.xml")
+    assert {r["asset_id"]: r["n_bytes"] for r in f.collect()}["ok.xml"] == len(made["ok"])
+    assert {r["asset_id"].removesuffix(".xml"): r["code"] for r in comments.file_errors(f, few).collect()} == {k: k for k in made if k != "ok"}
+    assert [(r["p"], r["text"]) for r in comments.elements(f, few).collect()] == [("1,2", "12345"), (None, "")]
+    assert {r["code"] for r in comments.batch_errors(f, few).collect()} == {"tooManyFiles", "tooManyBytes", "tooManyItemsInAll"} and comments.batch_errors(f).count() == 0
