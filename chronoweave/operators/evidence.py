@@ -164,18 +164,22 @@ def greedy_matches(gold: DataFrame, predicted: DataFrame, key: str, event_id: st
     ).filter(F.col("max_error_ms") <= within)
     order = ["max_error_ms", "total_error_ms", "other_kind", *[f"{s}_{c}" for s in ("gold", "pred") for c in ("source_start_ms", "target_start_ms", "id")]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        used, keep = (set(), set()), []
-        for g, p in zip(pdf.gold_id, pdf.pred_id):
-            free = g not in used[0] and p not in used[1]
-            keep.append(free)
-            if free:
-                used[0].add(g)
-                used[1].add(p)
-        return pdf[keep]
-
-    return rows.groupBy(key, "_stretch").applyInPandas(run, rows.schema).select(key, F.col("gold_id"), F.col("pred_id").alias("predicted_id"), "max_error_ms", "total_error_ms", "other_kind")
+    listed = rows.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("c"))
+
+    @F.pandas_udf(listed.schema["c"].dataType)
+    def greedy(lists: pd.Series) -> pd.Series:
+        out = []
+        for c in lists:
+            gold_used, pred_used, keep = set(), set(), []
+            for x in c:
+                if x["gold_id"] not in gold_used and x["pred_id"] not in pred_used:
+                    keep.append(x)
+                    gold_used.add(x["gold_id"])
+                    pred_used.add(x["pred_id"])
+            out.append(keep)
+        return pd.Series(out, dtype=object)
+
+    return listed.select(key, F.inline(greedy("c"))).select(key, "gold_id", F.col("pred_id").alias("predicted_id"), "max_error_ms", "total_error_ms", "other_kind")
 
 
 def _codes(*rules: tuple[str, Column]) -> Column:

@@ -169,10 +169,19 @@ def match_events(gold: DataFrame, predicted: DataFrame, case: str = "case_id", k
     p = predicted.select(case, kind, F.col(event_id).alias("predicted_id"), F.col(t).alias("p"))
     near = near_in_time(g, p, [case, kind], within).select(case, kind, "_stretch", "gold_id", "predicted_id", F.abs(F.col("g") - F.col("p")).cast("double").alias("error_ms"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gi, pi = {v: i for i, v in enumerate(sorted(set(pdf.gold_id)))}, {v: i for i, v in enumerate(sorted(set(pdf.predicted_id)))}
-        cost = {(gi[a], pi[b]): c for a, b, c in zip(pdf.gold_id, pdf.predicted_id, pdf.error_ms)}
-        pairs = set(match_most(cost, len(gi), len(pi)))
-        return pdf[[(gi[a], pi[b]) in pairs for a, b in zip(pdf.gold_id, pdf.predicted_id)]]
-
-    return near.groupBy(case, kind, "_stretch").applyInPandas(run, near.schema).drop("_stretch")
+    # A list for each stretch, which is short as a rule: one Arrow batch holds thousands.
+    pair = F.struct("gold_id", "predicted_id", "error_ms")
+    listed = near.groupBy(case, kind, "_stretch").agg(F.collect_list(pair).alias("c"))
+
+    @F.pandas_udf(listed.schema["c"].dataType)
+    def matched(lists: pd.Series) -> pd.Series:
+        out = []
+        for c in lists:
+            if len(c) > 1:
+                gi, pi = ({v: i for i, v in enumerate(sorted({x[k] for x in c}))} for k in ("gold_id", "predicted_id"))
+                pairs = set(match_most({(gi[x["gold_id"]], pi[x["predicted_id"]]): x["error_ms"] for x in c}, len(gi), len(pi)))
+                c = [x for x in c if (gi[x["gold_id"]], pi[x["predicted_id"]]) in pairs]
+            out.append(list(c))
+        return pd.Series(out, dtype=object)
+
+    return listed.select(case, kind, F.inline(matched("c")))
