@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import evaluate, graph
 
 # Seeds of a pair, evenly spaced observations, least time apart, scales, tolerance, inliers, near equals.
 SEEDS, SINGLE, COUPLE, APART_MS, SCALES, WITHIN_MS, INLIERS, SAME_SCALE, SAME_MS = 768, 96, 48, 500, (0.94, 1.06), 90, 4, 0.0005, 40
@@ -98,3 +98,21 @@ def evidence(found: DataFrame, observations: DataFrame, within: int = WITHIN_MS)
     """(pair, rank, source_ms, target_ms, residual_ms): the observations that support each hypothesis, by its fitted line."""
     models = found.select("pair", F.col("rank").alias("seed"), "scale", F.col("fitted_offset").alias("offset"))
     return inliers(models, observations, within).select("pair", F.col("seed").alias("rank"), "source_ms", "target_ms", "residual_ms")
+
+
+def held_out(found: DataFrame, observations: DataFrame, within: int = WITHIN_MS) -> DataFrame:
+    """(pair, rank, source_id, source_ms, target_ms, residual_ms): what the held-out observations say of each hypothesis
+    (pair, rank, scale, offset_ms). An observation counts if its residual is within the tolerance, or if it stands in a cell of
+    5 s of source time by 250 ms of residual that has, with the cells around, three distinct source landmarks, targets,
+    seconds of source time and seconds of target time. Of each source landmark the one with the least residual counts (of
+    equals the earliest target)."""
+    off = F.col("target_ms") - (F.col("scale") * F.col("source_ms") + F.col("offset_ms"))
+    signed = F.when(off >= 0, F.floor(off + 0.5)).otherwise(F.ceil(off - 0.5)).cast("long")
+    every = found.select("pair", "rank", "scale", "offset_ms").join(observations, "pair").withColumn("_signed", signed)
+    every = every.withColumn("_s", F.floor(F.col("source_ms") / 1000)).withColumn("_t", F.floor(F.col("target_ms") / 1000))
+    cells = evaluate.supported_cells(every, ["pair", "rank"], "source_ms", "_signed", ["source_id", "target_id", "_s", "_t"])
+    placed = every.withColumn("cell", F.floor(F.col("source_ms") / 5_000)).withColumn("offset_cell", F.floor(F.col("_signed") / 250))
+    known = placed.join(cells.withColumn("_held", F.lit(True)), ["pair", "rank", "cell", "offset_cell"], "left").withColumn("residual_ms", F.abs("_signed"))
+    kept = known.filter((F.col("residual_ms") <= within) | F.col("_held"))
+    best = kept.groupBy("pair", "rank", "source_id").agg(F.min(F.struct("residual_ms", "target_ms", "source_ms")).alias("b"))
+    return best.select("pair", "rank", "source_id", "b.source_ms", "b.target_ms", "b.residual_ms")

@@ -93,6 +93,19 @@ def local_consensus(pairs: DataFrame, key: list[str], t: str, offset: str, sourc
     return support.join(own, [*key, "cell", "offset_cell"], "left_semi").filter((F.col("n_sources") >= least) & (F.col("n_targets") >= least))
 
 
+def supported_cells(pairs: DataFrame, key: list[str], t: str, offset: str, axes: list[str], cell_ms: int = 5_000, offset_ms: int = 250, least: int = 3) -> DataFrame:
+    """(key, cell, offset_cell): cells of time by offset that hold a pair and have, with the cells around (two in time, one in
+    offset), ``least`` distinct values on every axis. A cell hands on ``least`` values of an axis, which is enough to know, so
+    what is copied to the cells around does not grow with a cell's pairs."""
+    here = pairs.withColumn("_a", F.floor(F.col(t) / cell_ms)).withColumn("_o", F.floor(F.col(offset) / offset_ms))
+    told = here.select(*key, "_a", "_o", F.posexplode(F.array(*[F.col(x).cast("long") for x in axes])).alias("axis", "value")).distinct()
+    few = told.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_a", "_o", "axis").orderBy("value"))).filter(F.col("_n") <= least)
+    around = F.explode(F.array(*[F.struct((F.col("_a") + i).alias("cell"), (F.col("_o") + j).alias("offset_cell")) for i in range(-2, 3) for j in (-1, 0, 1)]))
+    n = few.select(*key, "axis", "value", around.alias("c")).groupBy(*key, "c.cell", "c.offset_cell", "axis").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= least)
+    enough = n.groupBy(*key, "cell", "offset_cell").count().filter(F.col("count") == len(axes)).drop("count")
+    return enough.join(here.select(*key, F.col("_a").alias("cell"), F.col("_o").alias("offset_cell")).distinct(), [*key, "cell", "offset_cell"], "left_semi")
+
+
 def best_two(ranked: DataFrame, key: list[str], score: str, order: list[str]) -> DataFrame:
     """Per key the best candidate's score, the second's, and their margin."""
     w = Window.partitionBy(*key).orderBy(F.desc(score), *order)

@@ -250,3 +250,20 @@ ORACLE["affine_hypotheses"] = f"""WITH {_OBSERVED}, {_supported("m0", 0)}, {_fit
     z AS (SELECT *, row_number() OVER w AS rank, lead(n_inliers - p95_ms / 800.0) OVER w AS next FROM k WINDOW w AS (PARTITION BY pair ORDER BY n_inliers DESC, p95_ms, source_coverage DESC, target_coverage DESC, abs(offset_ms), scale, seed))
     SELECT pair, rank, seed, round(scale, 6) AS scale, offset_ms, n_inliers, round(source_coverage, 6) AS source_coverage, round(target_coverage, 6) AS target_coverage, source_start_ms, source_end_ms, p50_ms, p95_ms, max_ms,
         CASE WHEN rank = 1 THEN round(least(1, greatest(0, (greatest(n_inliers - p95_ms / 800.0, 0.001) - coalesce(next, 0)) / greatest(n_inliers - p95_ms / 800.0, 0.001))), 6) END AS margin FROM z"""
+
+
+@query
+def held_out_anchors(spark, d):
+    """Every fifth event, against the line that the others lie near and one that none does."""
+    o = _observed(spark, d).withColumns({"source_ms": F.col("source_ms") % 90_000, "target_ms": F.col("target_ms") % 90_900})
+    lines = o.select("pair").distinct().select("pair", F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(a).alias("scale"), F.lit(b).alias("offset_ms")) for k, a, b in ((1, 1.01, 5_000), (2, 0.97, -700))])).alias("m")).select("pair", "m.*")
+    return affine.held_out(lines, o.filter("target_id % 5 < 3"), within=900).withColumn("rank", F.col("rank").cast("long"))
+
+
+ORACLE["held_out_anchors"] = """WITH o AS (SELECT CAST(user_id AS BIGINT) AS pair, event_id - event_id % 2 AS source_id, event_id AS target_id, (event_id - event_id % 2) * 700 % 90000 AS s, CASE WHEN event_id % 3 <> 0 THEN event_id * 707 + 5000 + event_id % 50 ELSE event_id * 31 % 9973 * 500 END % 90900 AS t FROM events WHERE event_id % 5 < 3),
+    m AS (SELECT * FROM (VALUES (1, 1.01::DOUBLE, 5000), (2, 0.97::DOUBLE, -700)) v(rank, scale, off)),
+    e AS (SELECT o.*, rank, CAST(round(t - (scale * s + off)) AS BIGINT) AS r, s // 5000 AS a, CAST(floor(round(t - (scale * s + off)) / 250) AS BIGINT) AS b FROM o, m),
+    c AS (SELECT x.pair, x.rank, x.a, x.b FROM (SELECT DISTINCT pair, rank, a, b FROM e) x JOIN e y ON y.pair = x.pair AND y.rank = x.rank AND y.a BETWEEN x.a - 2 AND x.a + 2 AND y.b BETWEEN x.b - 1 AND x.b + 1
+        GROUP BY ALL HAVING count(DISTINCT y.source_id) >= 3 AND count(DISTINCT y.target_id) >= 3 AND count(DISTINCT y.s // 1000) >= 3 AND count(DISTINCT y.t // 1000) >= 3),
+    k AS (SELECT e.*, row_number() OVER (PARTITION BY e.pair, e.rank, source_id ORDER BY abs(r), t, s) AS n FROM e LEFT JOIN c ON c.pair = e.pair AND c.rank = e.rank AND c.a = e.a AND c.b = e.b WHERE abs(r) <= 900 OR c.pair IS NOT NULL)
+    SELECT pair, CAST(rank AS BIGINT) AS rank, source_id, s AS source_ms, t AS target_ms, abs(r) AS residual_ms FROM k WHERE n = 1"""
