@@ -128,3 +128,39 @@ def range_durations(ranges: DataFrame, known: DataFrame) -> DataFrame:
     rank = F.when(F.col("rule") == "number", 0).when(F.col("rule") == "place", 1).otherwise(2)
     chosen = enough.groupBy("asset_id").agg(F.min_by("rule", rank).alias("rule"))
     return every.join(chosen, ["asset_id", "rule"]).select("asset_id", "k", "duration_ms", "rule")
+
+
+def _parts(edges: DataFrame, rule: str) -> DataFrame:
+    """edges: asset_id, a (borders in order). A row for each part."""
+    pair = F.transform(F.sequence(F.lit(1), F.size("a") - 1), lambda i: F.struct(i.cast("int").alias("part"), F.get("a", i.cast("int") - 1).alias("start_ms"), F.get("a", i.cast("int")).alias("end_ms")))
+    return edges.filter(F.size("a") > 1).select("asset_id", F.inline(pair)).withColumn("rule", F.lit(rule))
+
+
+def split_ranges(timed: DataFrame, ranges: DataFrame, cuts: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Files that hold several episodes, cut by hand, by durations or at quiet gaps: asset_id, part (from 1), start_ms, end_ms,
+    rule.
+
+    timed: asset_id, mapped_ms. ranges: asset_id, season, episode_start, episodes. With ``cuts`` (asset_id, cut_ms): the first
+    ones strictly inside a file's time, one less than its episodes (``cutPoints``). With ``known`` (see ``range_durations``):
+    the episodes' durations from the first time on; what lies behind the last one is in no part (``durations``). A file
+    with too few of them is cut at quiet gaps (``gaps``, see ``range_segments``). A part holds its start, not its end; the last
+    part by durations holds its end, too. A file without rows has no parts.
+    """
+    ends = timed.groupBy("asset_id").agg(F.min("mapped_ms").alias("first"), F.max("mapped_ms").alias("last")).join(ranges, "asset_id")
+    found = None
+    if cuts is not None:
+        at = F.greatest(F.lit(0), F.floor(F.col("cut_ms") + 0.5)).cast("long")
+        inside = cuts.select("asset_id", at.alias("at")).join(ends, "asset_id").filter((F.col("at") > F.col("first")) & (F.col("at") < F.col("last")))
+        # The first ones: as many as a file has episodes, some dozens at most.
+        w = Window.partitionBy("asset_id").orderBy("at")
+        few = inside.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") < F.col("episodes")).groupBy("asset_id", "first", "last", "episodes").agg(F.array_sort(F.collect_list("at")).alias("c"))
+        edges = few.filter(F.size("c") == F.col("episodes") - 1).select("asset_id", F.concat(F.array("first"), "c", F.array(F.col("last") + 1)).alias("a"))
+        found = _parts(edges, "cutPoints")
+    elif known is not None:
+        d = range_durations(ranges, known).groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "duration_ms"))), lambda x: x["duration_ms"]).alias("d"))
+        upto = lambda i: F.aggregate(F.slice("d", 1, i.cast("int")), F.col("first").cast("long"), lambda s, x: s + x)
+        edges = ends.join(d, "asset_id").filter(F.size("d") >= F.col("episodes")).select("asset_id", F.transform(F.sequence(F.lit(0), F.col("episodes")), upto).alias("a"))
+        found = _parts(edges, "durations")
+    rest = ranges if found is None else ranges.join(found.select("asset_id").distinct(), "asset_id", "left_anti")
+    gaps = range_segments(timed.join(rest.select("asset_id"), "asset_id", "left_semi"), rest.select("asset_id", "episodes")).select("asset_id", F.col("part").cast("int").alias("part"), "start_ms", "end_ms", F.lit("gaps").alias("rule"))
+    return gaps if found is None else found.unionByName(gaps)

@@ -425,3 +425,33 @@ _MIXED.append("xor(v, v >> 31)")
 ORACLE["bounded_family_sample"] = f"""WITH {_ITEMS}, m AS (SELECT item_id, asset_id, user_id % 40 AS family, t_ms, user_id % 40 * 256 + item_id % 256 AS hash FROM items),
     o AS (SELECT item_id, asset_id, family, row_number() OVER (PARTITION BY asset_id, family ORDER BY t_ms, hash) - 1 AS ordinal FROM m), """ + ", ".join(f"v{k} AS (SELECT * {'EXCLUDE (v)' if k else ''}, {x} AS v FROM {f'v{k - 1}' if k else 'o'})" for k, x in enumerate(_MIXED)) + """
     SELECT item_id, asset_id, CAST(family AS BIGINT) AS family, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, family ORDER BY v, ordinal) AS r FROM v4) WHERE r <= 8"""
+
+
+# Files of several episodes: the events of a type, cut by some of their times, or by durations that nations give.
+
+
+def _ranged(spark, d):
+    timed = items(spark, d).select("asset_id", F.col("t_ms").alias("mapped_ms"))
+    ranges = timed.select("asset_id").distinct().select("asset_id", F.lit(None).cast("int").alias("season"), F.lit(1).alias("episode_start"), (2 + F.length("asset_id") % 3).cast("int").alias("episodes"))
+    return timed, ranges
+
+
+@query
+def range_parts_cut(spark, d):
+    cuts = items(spark, d).filter("item_id % 37 = 0").select("asset_id", F.col("t_ms").alias("cut_ms"))
+    return merge.split_ranges(*_ranged(spark, d), cuts=cuts).filter("rule = 'cutPoints'").withColumn("part", F.col("part").cast("long"))
+
+
+@query
+def range_parts_durations(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("place"), F.lit(None).cast("int").alias("season"), (F.col("n_nationkey") + 1).cast("int").alias("episode"), ((F.col("n_nationkey") % 5 + 1) * 3 * L.DAY).cast("long").alias("duration_ms"))
+    return merge.split_ranges(*_ranged(spark, d), known=n).withColumn("part", F.col("part").cast("long"))
+
+
+_RANGED = f"{_ITEMS}, ends AS (SELECT asset_id, min(t_ms) AS a, max(t_ms) AS z, 2 + length(asset_id) % 3 AS e FROM items GROUP BY asset_id)"
+ORACLE["range_parts_cut"] = f"""WITH {_RANGED}, c AS (SELECT i.asset_id, t_ms, row_number() OVER (PARTITION BY i.asset_id ORDER BY t_ms) AS r FROM items i JOIN ends USING (asset_id) WHERE item_id % 37 = 0 AND t_ms > a AND t_ms < z),
+    k AS (SELECT asset_id, r, t_ms FROM c JOIN ends USING (asset_id) WHERE r < e UNION ALL SELECT asset_id, 0, a FROM ends UNION ALL SELECT asset_id, e, z + 1 FROM ends),
+    p AS (SELECT asset_id, r + 1 AS part, t_ms AS start_ms, lead(t_ms) OVER (PARTITION BY asset_id ORDER BY r) AS end_ms FROM k)
+    SELECT p.*, 'cutPoints' AS rule FROM p JOIN ends USING (asset_id) WHERE end_ms IS NOT NULL AND (SELECT count(*) FROM c WHERE c.asset_id = p.asset_id AND c.r < ends.e) = e - 1"""
+ORACLE["range_parts_durations"] = f"""WITH {_RANGED}, d AS (SELECT asset_id, a, n_nationkey + 1 AS part, (n_nationkey % 5 + 1) * 3 * {L.DAY} AS d FROM ends JOIN nation ON n_nationkey < e)
+    SELECT asset_id, CAST(part AS BIGINT) AS part, CAST(a + sum(d) OVER w - d AS BIGINT) AS start_ms, CAST(a + sum(d) OVER w AS BIGINT) AS end_ms, 'durations' AS rule FROM d WINDOW w AS (PARTITION BY asset_id ORDER BY part)"""

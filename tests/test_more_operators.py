@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as T
-from chronoweave.operators import align, evaluate, features, lifecycle
+from chronoweave.operators import align, evaluate, features, lifecycle, merge
 from chronoweave.plans import fixtures as L
 from chronoweave.plans import queries
 from chronoweave.sources import project
@@ -107,3 +107,16 @@ def test_landmark_families_do_not_grow_with_the_table(spark):
     s, t = (e.filter(F.col("asset_id") == k).select("user_id", F.col("b").alias(k)) for k in ("click", "view"))
     want = s.join(t, "user_id").filter(F.abs(F.col("click") - F.col("view")) <= 1).count()
     assert queries.landmark_join_users(spark, f"{DATA}/sf0.1").count() == want > 0
+
+
+def test_files_cut_by_hand_or_durations(spark):
+    timed = spark.createDataFrame([(a, t) for a in "abc" for t in (100, 500, 900, 1_000)], "asset_id string, mapped_ms long")
+    ranges = spark.createDataFrame([("a", None, 1, 3), ("b", None, 1, 3), ("c", 2, 5, 2), ("none", None, 1, 2)], "asset_id string, season int, episode_start int, episodes int")
+    cuts = spark.createDataFrame([("a", 300.4), ("a", 100.0), ("a", 600.5), ("a", 700.0), ("b", 400.0), ("c", 1_000.0)], "asset_id string, cut_ms double")
+    parts = lambda df, rule: [tuple(r)[:4] for r in df.filter(F.col("rule") == rule).orderBy("asset_id", "part").collect()]
+    got = merge.split_ranges(timed, ranges, cuts=cuts)
+    assert parts(got, "cutPoints") == [("a", 1, 100, 300), ("a", 2, 300, 601), ("a", 3, 601, 1_001)] and {r["asset_id"] for r in got.filter("rule = 'gaps'").collect()} == {"b", "c"}
+    known = spark.createDataFrame([(0, None, 1, 200), (1, None, 2, 300), (2, None, 3, 10), (3, 2, 5, 70)], "place int, season int, episode int, duration_ms long")
+    got = merge.split_ranges(timed, ranges.filter("asset_id != 'c'"), known=known)
+    assert parts(got, "durations") == [(x, k, a, z) for x in "ab" for k, a, z in ((1, 100, 300), (2, 300, 600), (3, 600, 610))]
+    assert merge.split_ranges(timed, ranges).count() == 8
