@@ -101,3 +101,27 @@ def test_hypotheses_equal_the_rule(spark, observations):
             assert all(supported[p, r["rank"]] == r["n_inliers"] for r in mine)
     assert len(seeds[3]) == 768 and 2 not in got and len(got[0]) > 1
     assert affine.hypotheses(df.limit(0), totals).count() == 0
+
+
+def test_short_pairs_without_joins_as_long_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for pair in range(12):
+        for k in range(rng.choice((3, 40, 70, 230))):
+            sid = rng.randrange(200)
+            at = sid * 700 + (rng.randrange(3) * 200 if pair % 4 == 1 else 0)  # some landmarks with several times
+            rows.append((pair, sid, k, at, at + 3_000 + rng.randrange(80) if rng.random() < 0.7 else rng.randrange(150_000)))
+    rows += [(90, 1, 1, None, 5), *[(90, k, k, k * 900, k * 900) for k in range(9)]]
+    o = spark.createDataFrame(rows, OBS)
+    short = affine.solved(o.filter("pair < 90"))
+    assert "Join" not in short._jdf.queryExecution().toString()
+    known = affine.dealt(o.filter("pair < 90")).select(*short.columns)
+    plainly = lambda df: sorted(tuple(round(x, 6) for x in r) for r in df.collect())
+    assert plainly(short) == plainly(known)
+    totals = o.groupBy("pair").agg(F.countDistinct("source_id").alias("n_source"), F.countDistinct("target_id").alias("n_target"))
+    whole = lambda: sorted(tuple(round(x, 6) if x is not None else x for x in r) for r in affine.hypotheses(o, totals).collect())
+    monkeypatch.setattr(affine, "CELLS", 500)
+    got = whole()
+    assert any(r[0] == 90 for r in got)
+    monkeypatch.setattr(affine, "LONG", 0)
+    assert whole() == got
