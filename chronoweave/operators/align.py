@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_CELLS = 16_000_000
+# Cells of the table of ways that are in memory at once.
+CELLS = 16_000_000
 
 
 def dense_matches(distance: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Monotone pairs (complete, source) with the highest sum of 1 - distance / threshold; of equal ways a match
     comes first, then skipping a complete frame. Rows are complete frames."""
-    n, m = distance.shape
-    gain = np.where(distance <= threshold, 1 - distance / threshold, -np.inf)
-    best = np.zeros(m + 1)
-    way = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        now = np.zeros(m + 1)
-        hit = best[:-1] + gain[i - 1]
-        for j in range(1, m + 1):
-            a, b, c = hit[j - 1], best[j], now[j - 1]
-            if a >= b and a >= c:
-                now[j], way[i, j] = a, 1
-            elif b >= c:
-                now[j], way[i, j] = b, 2
-            else:
-                now[j], way[i, j] = c, 3
-        best = now
-    out, i, j = [], n, m
-    while i and j:
-        if way[i, j] == 1:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif way[i, j] == 2:
-            i -= 1
-        else:
-            j -= 1
+    return [(i, j) for i, j, _ in traced(lambda a, z: distance[a:z], *distance.shape, threshold)]
+
+
+def traced(rows: Callable[[int, int], np.ndarray], n: int, m: int, threshold: float) -> list[tuple[int, int, float]]:
+    """``dense_matches`` with distances, which ``rows`` (from, to) gives for a stretch of complete frames. Only the best sums
+    at the start of each stretch are kept; on the way back the ways of one stretch at a time are found again, so memory
+    goes with the lengths of both sides and not with their product."""
+    step = max(1, min(n, CELLS // (m + 1), int(n**0.5) + 1))
+
+    def swept(first: int, best: np.ndarray, way: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        d = rows(first, min(n, first + step))
+        for i, gain in enumerate(np.where(d <= threshold, 1 - d / threshold, -np.inf)):
+            hit = best[:-1] + gain
+            now = np.append(0.0, np.maximum.accumulate(np.maximum(hit, best[1:])))
+            if way is not None:
+                way[i] = np.where((hit >= best[1:]) & (hit >= now[:-1]), 1, np.where(best[1:] >= now[:-1], 2, 3))
+            best = now
+        return best, d
+
+    starts = [np.zeros(m + 1)]
+    for first in range(0, n - step, step):
+        starts.append(swept(first, starts[-1], None)[0])
+    out, j = [], m
+    for k in range(len(starts) - 1 if n else -1, -1, -1):
+        way = np.zeros((step, m), np.int8)
+        _, d = swept(k * step, starts.pop(), way)
+        i = len(d)
+        while i and j:
+            w = way[i - 1, j - 1]
+            i, j = i - (w != 3), j - (w != 2)
+            if w == 1:
+                out.append((k * step + i, j, float(d[i, j])))
     return out[::-1]
 
 
@@ -48,13 +58,12 @@ def match_sequences(complete: DataFrame, source: DataFrame, key: str, t: str, ve
         names = ["pair", "complete_ms", "source_ms", "distance"]
         if not len(a) or not len(b):
             return pd.DataFrame({n: [] for n in names})
-        if (len(a) + 1) * (len(b) + 1) > MOST_CELLS:
-            raise ValueError(f"{k}: {len(a)} by {len(b)} frames are too many for one alignment")
         a, b = a.sort_values(t), b.sort_values(t)
         x, y = np.stack(a[vec].to_numpy()).astype(float), np.stack(b[vec].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T) / x.shape[1], 0))
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        rows = lambda i, z: np.sqrt(np.maximum((xx[i:z, None] + yy[None, :] - 2 * x[i:z] @ y.T) / x.shape[1], 0))
         ta, tb = a[t].to_numpy(), b[t].to_numpy()
-        return pd.DataFrame([(k[0], int(ta[i]), int(tb[j]), float(d[i, j])) for i, j in dense_matches(d, threshold)], columns=names)
+        return pd.DataFrame([(k[0], int(ta[i]), int(tb[j]), d) for i, j, d in traced(rows, len(a), len(b), threshold)], columns=names)
 
     # Fresh columns, in case both sides come from one relation.
     right = source.select(*[F.col(c).alias(c) for c in (key, t, vec)])

@@ -120,3 +120,37 @@ def test_files_cut_by_hand_or_durations(spark):
     got = merge.split_ranges(timed, ranges.filter("asset_id != 'c'"), known=known)
     assert parts(got, "durations") == [(x, k, a, z) for x in "ab" for k, a, z in ((1, 100, 300), (2, 300, 600), (3, 600, 610))]
     assert merge.split_ranges(timed, ranges).count() == 8
+
+
+def _plain_dense(d, threshold):
+    """The table of ways as a whole, cell by cell."""
+    n, m = d.shape
+    best, way = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), int)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            a = best[i - 1, j - 1] + (1 - d[i - 1, j - 1] / threshold if d[i - 1, j - 1] <= threshold else -np.inf)
+            ways = (a, best[i - 1, j], best[i, j - 1])
+            best[i, j], way[i, j] = max(ways), ways.index(max(ways)) + 1
+    out, i, j = [], n, m
+    while i and j:
+        w = way[i, j]
+        i, j = i - (w != 3), j - (w != 2)
+        if w == 1:
+            out.append((i, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (17, 5), (16, 16), (40, 33), (0, 3), (3, 0)])
+@pytest.mark.parametrize("cells", [16_000_000, 1, 60])
+def test_dense_matches_by_stretches(monkeypatch, shape, cells):
+    monkeypatch.setattr(align, "CELLS", cells)
+    d = np.random.default_rng(7).integers(0, 6, shape) / 8
+    assert align.dense_matches(d, 0.6) == _plain_dense(d, 0.6)
+
+
+def test_sequences_of_more_than_16_million_cells(spark):
+    """4,200 by 4,100 frames, of which every 42nd is missing from the source."""
+    v = F.array(*[F.sin(F.col("i") * k) for k in (1.0, 2.3, 3.1)])
+    f = spark.range(4_200).select(F.lit(1).cast("long").alias("pair"), (F.col("id") * 500).alias("t"), F.col("id").alias("i")).withColumn("v", v)
+    got = align.match_sequences(f, f.filter("i % 42 != 0"), "pair", "t", "v", threshold=1e-4)
+    assert got.filter("complete_ms = source_ms").count() == got.count() == 4_100
