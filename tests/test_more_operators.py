@@ -154,3 +154,11 @@ def test_sequences_of_more_than_16_million_cells(spark):
     f = spark.range(4_200).select(F.lit(1).cast("long").alias("pair"), (F.col("id") * 500).alias("t"), F.col("id").alias("i")).withColumn("v", v)
     got = align.match_sequences(f, f.filter("i % 42 != 0"), "pair", "t", "v", threshold=1e-4)
     assert got.filter("complete_ms = source_ms").count() == got.count() == 4_100
+
+
+def test_a_cut_in_sequences_of_more_than_16_million_cells(spark):
+    """Frames 2,000 to 2,099 are missing from the source, whose times close up."""
+    v = F.array(*[F.sin(F.col("i") * k) for k in (1.0, 2.3, 3.1)])
+    f = spark.range(4_200).select(F.lit(1).cast("long").alias("pair"), (F.col("id") * 500).alias("t"), F.col("id").alias("i")).withColumn("v", v)
+    s = f.filter("i not between 2000 and 2099").withColumn("t", F.when(F.col("i") >= 2_100, F.col("t") - 50_000).otherwise(F.col("t")))
+    assert [tuple(r) for r in align.cuts(align.match_sequences(f, s, "pair", "t", "v", threshold=1e-4)).collect()] == [(1, 999_750, 50_000)]
