@@ -103,13 +103,22 @@ def nearest(points: DataFrame, frames: DataFrame, t: str, frame_t: str, within:
     """For each point the nearest frame at most ``within`` away, or none; of equals the earlier (or later) one."""
     on = on or []
     width = max(1, within)
-    p = points.withColumn("_bin", F.explode(F.array(*[F.floor(F.col(t) / width) + k for k in (-1, 0, 1)])))
-    f = frames.withColumn("_bin", F.floor(F.col(frame_t) / width))
-    cond = [F.col(f"p.{c}") == F.col(f"f.{c}") for c in [*on, "_bin"]] + [F.abs(F.col(f"p.{t}") - F.col(f"f.{frame_t}")) <= within]
+    # Of frames of one time, one; of points of one time, their time: what meets is bounded by times, not by rows.
     sign = -1 if later_wins else 1
-    rank = F.struct(F.abs(F.col(f"p.{t}") - F.col(f"f.{frame_t}")).alias("d"), (F.col(f"f.{frame_t}") * sign).alias("t"), (F.col(f"f.{frame_id}") * sign).alias("i"))
-    best = p.alias("p").join(f.alias("f"), cond).groupBy(F.col(f"p.{point_id}").alias(point_id)).agg(F.min(rank).alias("r"))
-    return best.select(point_id, (F.col("r.i") * sign).alias("frame_id"), F.col("r.d").alias("distance"))
+    times = frames.filter(F.col(frame_t).isNotNull()).groupBy(*on, F.col(frame_t).alias("_t")).agg((F.min(F.col(frame_id) * sign) * sign).alias("_frame"), F.first(F.lit(True)).alias("_is"))
+    asked = points.filter(F.col(t).isNotNull()).groupBy(*on, F.col(t).alias("_t")).agg(F.first(F.lit(True)).alias("_asked"))
+    every = asked.join(times, [*on, "_t"], "full_outer").withColumn("_bin", F.floor(F.col("_t") / width))
+    here = F.when(F.col("_is"), F.struct("_t", "_frame"))
+    # A frame that near is in the same bin or in one beside it: the last of the bin before, or the first of the one after.
+    ends = every.filter("_is").groupBy(*on, "_bin").agg(F.min(here).alias("_first"), F.max(here).alias("_last"))
+    before, after = (ends.select(*on, (F.col("_bin") + k).alias("_bin"), F.col(c).alias(f"{c}_beside")) for k, c in ((1, "_last"), (-1, "_first")))
+    # Both ways a growing frame: one that shrinks would be read anew for each row.
+    last = lambda order: F.last(here, True).over(Window.partitionBy(*on, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    seen = every.withColumns({"_before": last(F.asc("_t")), "_after": last(F.desc("_t"))}).filter("_asked").join(before, [*on, "_bin"], "left").join(after, [*on, "_bin"], "left")
+    rank = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("_t") - c["_t"]).alias("d"), (c["_t"] * sign).alias("t"), (c["_frame"] * sign).alias("i")))
+    best = seen.select(*on, "_t", F.least(rank(F.coalesce("_before", "_last_beside")), rank(F.coalesce("_after", "_first_beside"))).alias("r")).filter(F.col("r.d") <= within)
+    found = points.select(*on, F.col(t).alias("_t"), point_id).join(best, [*on, "_t"]).groupBy(point_id).agg(F.min("r").alias("r"))
+    return found.select(point_id, (F.col("r.i") * sign).alias("frame_id"), F.col("r.d").alias("distance"))
 
 
 def near_exists(left: DataFrame, right: DataFrame, lt: str, rt: str, within: int, on: list[str] | None = None, how: str = "left_semi") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small inputs with literal expectations, and solvers against exhaustive search."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -384,3 +385,13 @@ def test_import_limits(spark, tmp_path):
     assert {r["asset_id"].removesuffix(".xml"): r["code"] for r in comments.file_errors(f, few).collect()} == {k: k for k in made if k != "ok"}
     assert [(r["p"], r["text"]) for r in comments.elements(f, few).collect()] == [("1,2", "12345"), (None, "")]
     assert {r["code"] for r in comments.batch_errors(f, few).collect()} == {"tooManyFiles", "tooManyBytes", "tooManyItemsInAll"} and comments.batch_errors(f).count() == 0
+
+
+def test_nearest_of_many_at_one_time_meets_times_only(spark):
+    """20,000 points and 20,000 frames of two times: 400 million pairs of rows."""
+    p = spark.range(20_000).select(F.col("id").alias("pid"), (F.col("id") % 2 * 10).alias("t"))
+    f = spark.range(20_000).select(F.col("id").alias("f"), (F.col("id") % 2 * 10).alias("ft"))
+    got = intervals.nearest(p, f, "t", "ft", 100, "pid", "f")
+    assert got.filter("frame_id = pid % 2 and distance = 0").count() == 20_000
+    seen = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "abs(" in seen and not any("Join Inner" in line and "abs(" in line for line in seen.splitlines())
