@@ -387,6 +387,23 @@ def test_import_limits(spark, tmp_path):
     assert {r["code"] for r in comments.batch_errors(f, few).collect()} == {"tooManyFiles", "tooManyBytes", "tooManyItemsInAll"} and comments.batch_errors(f).count() == 0
 
 
+@pytest.mark.parametrize("later", [False, True])
+@pytest.mark.parametrize("on", [None, ["k"]])
+def test_nearest_against_all_pairs(spark, later, on):
+    rng = random.Random(3)
+    at = lambda: rng.choice([rng.randrange(-60, 400), rng.randrange(40) * 10, 5_000, None])
+    pts = [(i, rng.randrange(3), at()) for i in range(150)]
+    frs = [(i, rng.randrange(2), at()) for i in range(60)]
+    sign = -1 if later else 1
+    want = []
+    for i, k, t in pts:
+        near = [(abs(t - ft), ft * sign, f * sign) for f, fk, ft in frs if t is not None and ft is not None and abs(t - ft) <= 15 and (not on or k == fk)]
+        if near:
+            want.append((i, min(near)[2] * sign, min(near)[0]))
+    p, f = spark.createDataFrame(pts, "pid long, k long, t long"), spark.createDataFrame(frs, "f long, k long, ft long")
+    assert rows(intervals.nearest(p, f, "t", "ft", 15, "pid", "f", on, later)) == sorted(want, key=lambda r: tuple(map(repr, r)))
+
+
 def test_nearest_of_many_at_one_time_meets_times_only(spark):
     """20,000 points and 20,000 frames of two times: 400 million pairs of rows."""
     p = spark.range(20_000).select(F.col("id").alias("pid"), (F.col("id") % 2 * 10).alias("t"))
