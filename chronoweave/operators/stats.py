@@ -6,10 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Buckets of a key's values among which a percentile is first sought.
+BUCKETS = 1 << 14
+
+
 def nearest_rank(df: DataFrame, key: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles (index ceil(p n) - 1), maximum and count."""
-    aggs = [F.expr(f"percentile_disc({p}) within group (order by `{value}`)").alias(f"p{round(p * 100)}") for p in ps]
-    return df.groupBy(*key).agg(*aggs, F.max(value).alias("max_value"), F.count(value).alias("n"))
+    """Nearest-rank percentiles (index ceil(p n) - 1), maximum and count.
+
+    Rows are counted in buckets of equal width between a key's least and greatest value; only the values of the buckets that
+    hold a rank are then counted one by one. No list or map of a key's values is held."""
+    v = F.col(value).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v / 2)  # halves, so that no difference overflows
+    known = df.select(*key, value)
+    whole = known.groupBy(*key).agg(F.max(value).alias("max_value"), F.count(value).alias("n"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    same = lambda a, b, columns: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    bounds = whole.select(*key, "_low", (F.col("_high") - F.col("_low")).alias("_wide"))
+    place = F.coalesce(F.floor((v / 2 - F.col("_low")) / F.nullif("_wide", F.lit(0.0)) * BUCKETS), F.lit(0))
+    bucket = F.when(F.isnan(v), BUCKETS + 2).when(v == float("inf"), BUCKETS + 1).when(v == float("-inf"), -1).otherwise(place).cast("long")
+    placed = known.filter(F.col(value).isNotNull()).alias("r").join(F.broadcast(bounds).alias("b"), same("r", "b", key)).select(*[F.col(f"r.{c}") for c in (*key, value)], bucket.alias("_bucket"))
+    w = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.groupBy(*key, "_bucket").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(w))
+    ranks = whole.filter("n > 0").select(*key, F.posexplode(F.array(*[F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(p)))).cast("long") for p in ps])).alias("_p", "_rank"))
+    held = (F.col("_rank") > F.col("u._upto") - F.col("u._c")) & (F.col("_rank") <= F.col("u._upto"))
+    sought = upto.alias("u").join(F.broadcast(ranks).alias("k"), [*same("u", "k", key), held])
+    sought = sought.select(*[F.col(f"u.{c}") for c in (*key, "_bucket")], "_p", (F.col("_rank") - F.col("u._upto") + F.col("u._c")).alias("_rank"))
+    full = [*key, "_bucket"]
+    few = placed.alias("r").join(F.broadcast(sought.select(*full).distinct()).alias("s"), same("r", "s", full), "left_semi").groupBy(*full, value).agg(F.count("*").alias("_c"))
+    counted = few.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*full).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = counted.alias("c").join(F.broadcast(sought).alias("s"), [*same("c", "s", full), F.col("c._upto") >= F.col("s._rank")])
+    found = at.groupBy(*[F.col(f"c.{c}") for c in key]).agg(*[F.min(F.when(F.col("_p") == i, F.col(f"c.{value}"))).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)])
+    names = [f"p{round(p * 100)}" for p in ps]
+    out = whole.alias("w").join(F.broadcast(found).alias("f"), same("w", "f", key), "left") if key else whole.alias("w").crossJoin(found.alias("f"))
+    return out.select(*[F.col(f"w.{c}") for c in key], *[F.col(f"f.{c}") for c in names], "max_value", "n")
 
 
 def ceil_rank(df: DataFrame, key: list[str], value: str, q: float, alias: str) -> DataFrame:

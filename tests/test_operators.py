@@ -412,3 +412,18 @@ def test_nearest_of_many_at_one_time_meets_times_only(spark):
     assert got.filter("frame_id = pid % 2 and distance = 0").count() == 20_000
     seen = got._jdf.queryExecution().optimizedPlan().toString()
     assert "abs(" in seen and not any("Join Inner" in line and "abs(" in line for line in seen.splitlines())
+
+
+def test_nearest_rank_against_sorted_lists(spark):
+    rng = random.Random(11)
+    inf, nan = float("inf"), float("nan")
+    keyed = {"a": [rng.random() * 1e6 for _ in range(500)], "b": [3.5] * 7, "c": [1e308, -1e308, 1.0, 2.0], "d": [inf, nan, -inf, 0.0, 5.0, nan], "e": [], None: [1e-9 * k for k in range(41)] + [1e12], "f": [nan], "g": [inf, inf]}
+    data = [(k, x) for k, xs in keyed.items() for x in [*xs, None]]
+    df = spark.createDataFrame(data, "k string, x double")
+    got = {r["k"]: tuple(r)[1:] for r in stats.nearest_rank(df, ["k"], "x").collect()}
+    for k, xs in keyed.items():
+        o = sorted(xs, key=lambda x: (x != x, x))
+        want = (*[o[max(1, math.ceil(p * len(o))) - 1] if o else None for p in (0.5, 0.95, 0.99)], o[-1] if o else None, len(o))
+        assert repr(got[k]) == repr(want), k
+    plan = stats.nearest_rank(df, ["k"], "x")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "percentile" not in plan and "objecthashaggregate" not in plan
