@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -114,9 +116,101 @@ def assign(h: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"project": h.project, "id": h.id, "selected": [i in chosen for i in range(n)], "in_runner_up": [bool(other) and i in other[1] for i in range(n)], "reason": [reason(i) for i in range(n)], "total": top[0], "margin": margin, "ambiguous": bool(ambiguous), "exact": exact})
 
 
+# States of small projects that are in memory at once.
+STATES = 1 << 20
+_NEEDED = ["source_media", "target_media", "source_start_ms", "source_end_ms", "target_start_ms", "target_end_ms", "score", "unique_coverage", "alternative_margin", "repeated_only", "blocked"]
+_ASSIGNED = "project long, id string, selected boolean, in_runner_up boolean, reason string, total double, margin double, ambiguous boolean, exact boolean"
+
+
 def assignments(hypotheses: DataFrame) -> DataFrame:
-    """``assign`` for each project. A project is one problem and holds what one person's media give, so it is one group."""
-    return hypotheses.groupBy("project").applyInPandas(assign, "project long, id string, selected boolean, in_runner_up boolean, reason string, total double, margin double, ambiguous boolean, exact boolean")
+    """``assign`` for each project, which holds what one person's media give. Small projects stream by, thousands at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for h in batches:
+            last = h.project.iloc[-1] if len(h) else None
+            tail = (h.project.isna() if pd.isna(last) else h.project == last).to_numpy() if len(h) else np.zeros(0, bool)
+            first = held[0].project.iloc[0] if held else None
+            if len(h) and not (held and tail.all() and (first == last or pd.isna(first) and pd.isna(last))):
+                whole = pd.concat([*held, h[~tail]], ignore_index=True)
+                held = []
+                if len(whole):
+                    yield from _assigned(whole)
+            if len(h):
+                held.append(h[tail])
+        if held:
+            yield from _assigned(pd.concat(held, ignore_index=True))
+
+    return hypotheses.repartition("project").sortWithinPartitions("project", "id").mapInPandas(run, _ASSIGNED)
+
+
+def _assigned(h: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Whole projects, sorted by project and id: those of up to EXACT hypotheses without nulls by size, others one by one."""
+    new = np.append(True, (h.project.to_numpy()[1:] != h.project.to_numpy()[:-1]) & ~(h.project.isna().to_numpy()[1:] & h.project.isna().to_numpy()[:-1]))
+    at = np.cumsum(new) - 1
+    odd = h[[*_NEEDED, "project", "id"]].isna().any(axis=1).to_numpy() | (np.append(False, h.id.to_numpy()[1:] == h.id.to_numpy()[:-1]) & ~new)
+    size = np.bincount(at)
+    small = (size <= EXACT) & (np.bincount(at, odd) == 0)
+    for n in np.unique(size[small]):
+        rows = np.flatnonzero((small & (size == n))[at])
+        step = n * max(1, STATES >> int(n))
+        for k in range(0, len(rows), step):
+            yield _assign_equal(h.iloc[rows[k : k + step]], int(n))
+    for k in np.flatnonzero(~small):
+        yield assign(h[at == k])
+
+
+def _assign_equal(h: pd.DataFrame, n: int) -> pd.DataFrame:
+    """``assign`` for projects of n hypotheses each: all sets that it would grow, as bits, a hypothesis at a time."""
+    col = lambda c, kind: h[c].to_numpy().astype(kind).reshape(-1, n)
+    w, cover, free = _weights(h).reshape(-1, n), col("unique_coverage", float), ~col("blocked", bool)
+    group = pd.factorize(h.alternative_group)[0].reshape(-1, n)
+    bits = 1 << np.arange(n, dtype=np.int64)
+    mask = lambda m: (m * bits).sum(2)
+    across = lambda x: (x[:, :, None], x[:, None, :])
+    (ga, gb), crossing, over = across(group), False, {}
+    for side, other in (("source", "target"), ("target", "source")):
+        (ma, mb), (a, b), (y, z) = (across(x) for x in (pd.factorize(h[f"{side}_media"])[0].reshape(-1, n), col(f"{side}_start_ms", np.int64), col(f"{side}_end_ms", np.int64)))
+        p, q = across(col(f"{other}_order", float))
+        over[side] = mask((ma == mb) & (np.minimum(y, z) - np.maximum(a, b) > OVERLAP_MS))
+        crossing = crossing | (ma == mb) & (np.sign(a - b) * np.sign(p - q) < 0)
+    alike, crossing = mask((ga == gb) & (ga >= 0)), mask(crossing)
+    clash = alike | over["source"] | over["target"] | bits
+    penalty = np.cumsum([0.0, *[INVERSION] * n])
+    order = np.lexsort((np.broadcast_to(np.arange(n), w.shape), -cover, -w, ~free))
+    m = len(w)
+    own, chosen, score = np.arange(m), np.zeros(m, np.int64), np.zeros(m)
+    for k in range(n):
+        i = order[own, k]
+        more = w[own, i] - penalty[np.bitwise_count(crossing[own, i] & chosen)]
+        fit = free[own, i] & (clash[own, i] & chosen == 0) & (more > 0)
+        own, chosen, score = np.append(own, own[fit]), np.append(chosen, chosen[fit] | bits[i[fit]]), np.append(score, score[fit] + more[fit])
+    # Lists of ids in order compare as these numbers: a place that is held, one before others, one after all.
+    rank = np.zeros(len(own), np.int64)
+    for k in range(n):
+        rank = rank * 3 + np.where(chosen >> k & 1, 1, np.where(chosen >> (k + 1), 2, 0))
+
+    def best(of: np.ndarray) -> np.ndarray:
+        """The state of each project with the highest score, of equals the first by ids; -1 without any."""
+        high, out = np.full(m, -np.inf), np.full(m, -1)
+        np.maximum.at(high, own[of], score[of])
+        tied = of[score[of] >= high[own[of]] - 1e-12]
+        tied = tied[np.lexsort((rank[tied], own[tied]))][::-1]
+        out[own[tied]] = tied
+        return out
+
+    top = best(np.arange(len(own)))
+    got, total = chosen[top], score[top]
+    second = best(np.flatnonzero(chosen & ~got[own]))
+    any_second = second >= 0
+    margin = np.where(any_second, (total - score[second]) / np.maximum(np.abs(total), 1e-9), np.where(got > 0, 1.0, np.nan))
+    each = lambda x: np.repeat(x, n)
+    isin, hit = (got[:, None] & bits) > 0, lambda x: x & got[:, None] > 0
+    why = np.select([isin, ~free, hit(alike), hit(over["source"]), hit(over["target"])], [0, 1, 2, 3, 4], 5).ravel()
+    names = np.array([None, "blocked", "samePairAlternative", "sourceOverlap", "targetOverlap", "notInBestCombination"], object)
+    runner = any_second[:, None] & ((chosen[second][:, None] & bits) > 0)
+    known = pd.Series(each(margin)).astype(object).where(~np.isnan(each(margin)), None)
+    return pd.DataFrame({"project": h.project.to_numpy(), "id": h.id.to_numpy(), "selected": isin.ravel(), "in_runner_up": runner.ravel(), "reason": names[why], "total": each(total), "margin": known, "ambiguous": each(any_second & (margin < AMBIGUOUS)), "exact": True})
 
 
 def match_most(cost: dict[tuple[int, int], float], n: int, m: int) -> list[tuple[int, int]]:

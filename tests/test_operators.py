@@ -427,3 +427,22 @@ def test_nearest_rank_against_sorted_lists(spark):
         assert repr(got[k]) == repr(want), k
     plan = stats.nearest_rank(df, ["k"], "x")._jdf.queryExecution().executedPlan().toString().lower()
     assert "percentile" not in plan and "objecthashaggregate" not in plan
+
+
+def test_small_projects_at_once_as_one_by_one(monkeypatch):
+    rng = random.Random(2)
+    every = []
+    for k in range(60):
+        h = hypotheses(rng.choice((1, 2, 5, 9, 12, 20)), k)
+        h["project"] = k
+        if k % 7 == 0:
+            h["score"], h["unique_coverage"], h["alternative_margin"], h["repeated_only"] = 0.5, 1.0, 0.0, False  # equal weights
+        if k % 9 == 0:
+            h["blocked"] = True
+        every.append(h)
+    monkeypatch.setattr(solve, "STATES", 9_000)
+    whole = pd.concat(every).sort_values(["project", "id"], ignore_index=True)
+    key = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False)))
+    parts = list(solve._assigned(whole))
+    assert key(pd.concat(parts)) == key(pd.concat([solve.assign(h) for h in every]))
+    assert len(parts) < 40
