@@ -122,6 +122,77 @@ def elements(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     return parsed(files, limits).filter("original_index is not null").drop("error")
 
 
+def elements_of_parts(parts: DataFrame, order: list[str]) -> DataFrame:
+    """asset_id, original_index, p, text of every element of files that come in parts (asset_id, xml, and the columns that order
+    them): read as they stream by, so that no file is one value. What precedes an error is kept, as in ``elements``."""
+    names = ["asset_id", "original_index", "p", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, reader = None, None
+        for b in batches:
+            found: list[tuple] = []
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if reader is None or ids[i] != file:
+                    if reader:
+                        found += [(file, *x) for x in reader.rest()]
+                    file, reader = ids[i], PartReader()
+                found += [(file, *x) for x in reader.feed("".join(x for x in texts[i:j] if x))]
+            yield made(found)
+        if reader:
+            yield made([(file, *x) for x in reader.rest()])
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found)) if found else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names)
+
+    dealt = parts.select(F.col("asset_id").cast("string").alias("asset_id"), "xml", *order).repartition("asset_id").sortWithinPartitions("asset_id", *order)
+    return dealt.select("asset_id", "xml").mapInArrow(run, "asset_id string, original_index long, p string, text string")
+
+
+class PartReader:
+    """Elements (original_index, p, text) of one file's parts, each when it ends; those open at an error or the end at last."""
+
+    def __init__(self) -> None:
+        self.reader = expat.ParserCreate("utf-8")
+        self.reader.StartElementHandler, self.reader.EndElementHandler, self.reader.CharacterDataHandler = self._start, self._end, self._text
+        self.n, self.depth, self.over = 0, 0, False
+        self.open: list[tuple[int, str | None, list[str], int]] = []
+        self.ended: list[tuple[int, str | None, str]] = []
+
+    def _start(self, name: str, attributes: dict) -> None:
+        self.depth += 1
+        if name == "d":
+            self.open.append((self.n, attributes.get("p"), [], self.depth))
+            self.n += 1
+
+    def _text(self, part: str) -> None:
+        for element in self.open:
+            element[2].append(part)
+
+    def _end(self, name: str) -> None:
+        if self.open and self.open[-1][3] == self.depth:
+            i, p, text, _ = self.open.pop()
+            self.ended.append((i, p, "".join(text)))
+        self.depth -= 1
+
+    def feed(self, part: str) -> list[tuple[int, str | None, str]]:
+        if not self.over:
+            try:
+                self.reader.Parse(part.encode("utf-8", "surrogatepass"), False)
+            except expat.ExpatError:
+                self.over = True
+        out, self.ended = self.ended, []
+        return out
+
+    def rest(self) -> list[tuple[int, str | None, str]]:
+        # An end that is missing is an error of the file, after all its elements.
+        return [(i, p, "".join(text)) for i, p, text, _ in self.open]
+
+
 def file_errors(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     """asset_id, code, snippet of files that could not be read to their end: ``parseError``, or the limit they are beyond
     (``fileTooLarge``, ``tooManyItems``, ``longFields``, ``tooManyFields``, ``longText``, ``tooDeep``)."""
@@ -194,6 +265,14 @@ def documents(entries: DataFrame, target: str = "target_id", final: str = "final
     return made.groupBy(target).agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<i>\n'), body, F.lit("\n</i>\n")).alias("xml"), F.count("*").alias("n_entries"), F.count_if(F.col(final) < 0).alias("n_clamped"))
 
 
+def parts(entries: DataFrame, head: Column, foot: Column, target: str = "target_id", final: str = "final_ms") -> DataFrame:
+    """The texts of ``documents`` as rows (target, xml) ordered by part, at, place: head, a line for each entry, foot."""
+    ends = entries.select(target).distinct().select(target, F.inline(F.array(*[F.struct(F.lit(k).alias("part"), x.alias("xml")) for k, x in ((0, head), (2, foot))])))
+    ends = ends.select(target, "xml", "part", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("place"))
+    made = lines(entries, final).select(target, F.concat("line", F.lit("\n")).alias("xml"), F.lit(1).alias("part"), F.col(final).cast("long").alias("at"), F.col("original_index").cast("long").alias("place"))
+    return made.unionByName(ends)
+
+
 def write_lines(entries: DataFrame, path: str, target: str = "target_id", final: str = "final_ms", partitions: int = 32) -> None:
     """For targets beyond one value: their lines as text files per target, sorted over all of the target's files."""
     made = lines(entries, final).repartitionByRange(partitions, target, final, "original_index").sortWithinPartitions(target, final, "original_index")

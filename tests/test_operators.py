@@ -446,3 +446,12 @@ def test_small_projects_at_once_as_one_by_one(monkeypatch):
     parts = list(solve._assigned(whole))
     assert key(pd.concat(parts)) == key(pd.concat([solve.assign(h) for h in every]))
     assert len(parts) < 40
+
+
+@pytest.mark.parametrize("size", [1, 7, 1_000])
+def test_files_in_parts_read_as_whole_files(spark, size):
+    files = {"a": '<i><d p="1,2">x &amp; <b>y</b><d>in\u00e9</d></d>t<d/></i>', "b": "<i><d p='3'>cut <d>off", "c": "<i><d>one</d></j><d>two</d>", "d": ""}
+    parts = [(k, n, x[n : n + size]) for k, x in files.items() for n in range(0, max(1, len(x)), size)]
+    random.Random(size).shuffle(parts)
+    got = comments.elements_of_parts(spark.createDataFrame(parts, "asset_id string, n long, xml string"), ["n"])
+    assert rows(got) == sorted(((k, i, p, t) for k, x in files.items() for i, (p, t, _) in enumerate(comments.parse(x)[0])), key=lambda r: tuple(map(repr, r)))
