@@ -162,3 +162,40 @@ def test_a_cut_in_sequences_of_more_than_16_million_cells(spark):
     f = spark.range(4_200).select(F.lit(1).cast("long").alias("pair"), (F.col("id") * 500).alias("t"), F.col("id").alias("i")).withColumn("v", v)
     s = f.filter("i not between 2000 and 2099").withColumn("t", F.when(F.col("i") >= 2_100, F.col("t") - 50_000).otherwise(F.col("t")))
     assert [tuple(r) for r in align.cuts(align.match_sequences(f, s, "pair", "t", "v", threshold=1e-4)).collect()] == [(1, 999_750, 50_000)]
+
+
+@pytest.mark.parametrize(("shape", "beside"), [((60, 60), 1), ((60, 41), 2), ((33, 70), 4), ((0, 4), 1), ((50, 50), 256)])
+@pytest.mark.parametrize("noise", [0, 0.02, 5])
+def test_dense_matches_in_a_band(monkeypatch, shape, beside, noise):
+    """Near copies with frames left out, and unrelated sequences, for which the band grows to the whole table."""
+    monkeypatch.setattr(align, "CELLS", 200)
+    monkeypatch.setattr(align, "BESIDE", beside)
+    r = np.random.default_rng(shape[1] + beside)
+    x = r.random(100)
+    a, b = (np.sort(r.permutation(100)[:k]) for k in shape)
+    d = np.abs(x[a][:, None] - x[b][None, :]) + noise * r.random(shape)
+    assert align.dense_matches(d, 0.3) == _plain_dense(d, 0.3)
+
+
+def test_memory_of_dense_matches_goes_with_the_lengths():
+    """120,000 frames a side: with the sums of every stretch kept, 800 MB."""
+    import tracemalloc
+
+    n = 120_000
+    tracemalloc.start()
+    got = align.traced(lambda a, z, b, y: np.abs(np.arange(a, z)[:, None] - np.arange(b, y)[None, :]) / 4.0, n, n, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, j) for i, j, _ in got] == [(i, i) for i in range(n)] and peak < 300e6
+
+
+def test_frames_of_one_time_match_alike_in_any_order(spark):
+    """Two frames a time and equal vectors among them; one frame has none."""
+    f = [(1, k // 2 * 500, [float(k % 3), float(k % 5)]) for k in range(40)] + [(1, 250, None)]
+    schema = "pair long, t long, v array<double>"
+    found = []
+    for g in (f, f[::-1], f[7:] + f[:7]):
+        df = spark.createDataFrame(g, schema).repartition(3)
+        m = align.match_sequences(df, spark.createDataFrame(g[::-1], schema).filter("t != 3000"), "pair", "t", "v")
+        found.append((rows(m), rows(align.cuts(m, 1))))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 38
