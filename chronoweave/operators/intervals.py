@@ -103,22 +103,29 @@ def nearest(points: DataFrame, frames: DataFrame, t: str, frame_t: str, within:
     """For each point the nearest frame at most ``within`` away, or none; of equals the earlier (or later) one."""
     on = on or []
     width = max(1, within)
-    # Of frames of one time, one; of points of one time, their time: what meets is bounded by times, not by rows.
     sign = -1 if later_wins else 1
-    times = frames.filter(F.col(frame_t).isNotNull()).groupBy(*on, F.col(frame_t).alias("_t")).agg((F.min(F.col(frame_id) * sign) * sign).alias("_frame"), F.first(F.lit(True)).alias("_is"))
-    asked = points.filter(F.col(t).isNotNull()).groupBy(*on, F.col(t).alias("_t")).agg(F.first(F.lit(True)).alias("_asked"))
-    every = asked.join(times, [*on, "_t"], "full_outer").withColumn("_bin", F.floor(F.col("_t") / width))
-    here = F.when(F.col("_is"), F.struct("_t", "_frame"))
+    # Points and frames meet in one shuffle by bins, and nothing is joined back to the points.
+    side = lambda df, at, point, frame: df.filter(" and ".join(f"`{c}` is not null" for c in [*on, at])).select(*on, F.col(at).alias("_t"), point.alias("_point"), frame.alias("_frame"), F.lit(df is frames).alias("_is"))
+    asked = side(points, t, F.col(point_id), F.lit(None))
+    given = side(frames, frame_t, F.lit(None), F.col(frame_id) * sign)
+    in_bin = F.floor(F.col("_t") / width).alias("_bin")
+    # Parts of a fixed number: joined by size, they would sort on disk.
+    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = asked.unionByName(given).select("*", in_bin).repartition(parts, *on, "_bin")
     # A frame that near is in the same bin or in one beside it: the last of the bin before, or the first of the one after.
-    ends = every.filter("_is").groupBy(*on, "_bin").agg(F.min(here).alias("_first"), F.max(here).alias("_last"))
-    before, after = (ends.select(*on, (F.col("_bin") + k).alias("_bin"), F.col(c).alias(f"{c}_beside")) for k, c in ((1, "_last"), (-1, "_first")))
-    # Both ways a growing frame: one that shrinks would be read anew for each row.
-    last = lambda order: F.last(here, True).over(Window.partitionBy(*on, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    seen = every.withColumns({"_before": last(F.asc("_t")), "_after": last(F.desc("_t"))}).filter("_asked").join(before, [*on, "_bin"], "left").join(after, [*on, "_bin"], "left")
-    rank = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("_t") - c["_t"]).alias("d"), (c["_t"] * sign).alias("t"), (c["_frame"] * sign).alias("i")))
-    best = seen.select(*on, "_t", F.least(rank(F.coalesce("_before", "_last_beside")), rank(F.coalesce("_after", "_first_beside"))).alias("r")).filter(F.col("r.d") <= within)
-    found = points.select(*on, F.col(t).alias("_t"), point_id).join(best, [*on, "_t"]).groupBy(point_id).agg(F.min("r").alias("r"))
-    return found.select(point_id, (F.col("r.i") * sign).alias("frame_id"), F.col("r.d").alias("distance"))
+    first, last = F.min(F.struct("_t", F.col("_frame").isNull().alias("n"), "_frame")), F.max(F.struct("_t", (-F.col("_frame")).alias("m")))
+    ends = given.select("*", in_bin).groupBy(*on, "_bin").agg(first.alias("f"), last.alias("l"))
+    beside = lambda k, at, frame, name: ends.select(*on, (F.col("_bin") + k).alias("_bin"), F.struct(at.alias("_t"), frame.alias("_frame")).alias(name))
+    before, after = beside(1, F.col("l._t"), -F.col("l.m"), "_last_beside"), beside(-1, F.col("f._t"), F.col("f._frame"), "_first_beside")
+    # Both ways a growing frame: one that shrinks would be read anew for each row. Of one time, frames come before points, and
+    # the frame to be taken last.
+    here = F.when(F.col("_is"), F.struct("_t", "_frame"))
+    order = lambda time: Window.partitionBy(*on, "_bin").orderBy(time, F.desc("_is"), F.desc_nulls_first("_frame")).rowsBetween(Window.unboundedPreceding, 0)
+    near = {name: F.last(here, True).over(order(time)) for name, time in (("_before", F.asc("_t")), ("_after", F.desc("_t")))}
+    seen = every.withColumns(near).filter("not _is").join(before, [*on, "_bin"], "left").join(after, [*on, "_bin"], "left")
+    rank = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("_t") - c["_t"]).alias("d"), (c["_t"] * sign).alias("t"), c["_frame"].alias("i")))
+    best = seen.select("_point", F.least(rank(F.coalesce("_before", "_last_beside")), rank(F.coalesce("_after", "_first_beside"))).alias("r")).filter(F.col("r.d") <= within)
+    return best.groupBy("_point").agg(F.min("r").alias("r")).select(F.col("_point").alias(point_id), (F.col("r.i") * sign).alias("frame_id"), F.col("r.d").alias("distance"))
 
 
 def near_exists(left: DataFrame, right: DataFrame, lt: str, rt: str, within: int, on: list[str] | None = None, how: str = "left_semi") -> DataFrame:

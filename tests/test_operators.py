@@ -455,3 +455,13 @@ def test_files_in_parts_read_as_whole_files(spark, size):
     random.Random(size).shuffle(parts)
     got = comments.elements_of_parts(spark.createDataFrame(parts, "asset_id string, n long, xml string"), ["n"])
     assert rows(got) == sorted(((k, i, p, t) for k, x in files.items() for i, (p, t, _) in enumerate(comments.parse(x)[0])), key=lambda r: tuple(map(repr, r)))
+
+
+def test_nearest_deals_points_out_twice_only(spark):
+    """By bins with the frames, and by id; frames without an id, repeated ids and null ids keep their meaning."""
+    p = spark.createDataFrame([(1, 5), (1, 29), (None, 12), (None, 40), (2, 1_000)], "pid long, t long")
+    f = spark.createDataFrame([(None, 10), (7, 10), (9, 10), (None, 31), (4, 45)], "f long, ft long")
+    got = intervals.nearest(p, f, "t", "ft", 15, "pid", "f")
+    assert rows(got) == sorted([(1, None, 2), (None, 7, 2)], key=lambda r: tuple(map(repr, r)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") + plan.count("LogicalRDD") == 4 and plan.count("Join Inner") == 0 and "FullOuter" not in plan
