@@ -46,6 +46,8 @@ BUCKETS, MOST_BUCKETS, WORDS_A_BUCKET = 1 << 14, 1 << 18, 256
 CLASS_FEATURES, WORD_FEATURES = 4, 2
 #: Tokens whose probabilities are held at a time, and characters of texts.
 WINDOW, CHARS = 8192, 1_000_000
+#: Windows whose expectations are added up at once (40 MB), and rows of one key from which they are added alone.
+WINDOWS, OFTEN = 8, 32
 #: Updates: shares of the training rows in sixteenths, and step sizes. Counts added to a weight's and to a bucket's own.
 STEPS, RATES, SMOOTH, RARE = (4, 5, 7), (0.7, 0.4, 0.3), 4.0, 5.0
 _NEVER = np.float32(-1e9)
@@ -183,26 +185,31 @@ class Stream:
         return found[:, :CLASS_FEATURES], found[:, CLASS_FEATURES:]
 
 
-def logits(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray) -> np.ndarray:
+def logits(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
     """Of every outcome for each token; base: of each outcome, or of each token and outcome. Updates move a weight by at
-    most the sum of RATES, and the bases are logs of shares that sum to one, so exponentials stay far from overflow."""
-    z = weights.take(buckets[:, 0], axis=0)
-    z += base
+    most the sum of RATES, and the bases are logs of shares that sum to one, so exponentials stay far from overflow.
+    With the exponentials of weights and base, and ``np.multiply``, those of the logits."""
+    z, more = np.empty((2, len(buckets), weights.shape[1]), weights.dtype)
+    # Buckets are in range; other modes would take a copy.
+    np.take(weights, buckets[:, 0], axis=0, out=z, mode="clip")
+    join(z, base, out=z)
     for k in range(1, buckets.shape[1]):
-        z += weights.take(buckets[:, k], axis=0)
+        np.take(weights, buckets[:, k], axis=0, out=more, mode="clip")
+        join(z, more, out=z)
     return z
 
 
-def factors(v: Vocabulary, weights: np.ndarray, stream: Stream, window: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def factors(v: Vocabulary, weights: np.ndarray, stream: Stream, window: slice, bases: tuple[np.ndarray, np.ndarray] | None = None, join: np.ufunc = np.add) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The class factor and then the word factor of a window: (places in it, buckets, outcomes, logits of all
-    outcomes). Words that are classes of their own have no word factor."""
+    outcomes). Words that are classes of their own have no word factor. bases, join: as for ``logits``."""
+    class_base, word_base = bases or (v.class_base, v.word_base)
     rows = stream.rows[window]
     by_class, by_word = stream.features(window)
     kinds = v.kind[rows]
-    yield np.arange(len(rows)), by_class, kinds, logits(weights, by_class, v.class_base)
+    yield np.arange(len(rows)), by_class, kinds, logits(weights, by_class, class_base, join)
     at = np.flatnonzero(kinds > SINGLES)
     if len(at):
-        yield at, by_word[at], v.entry[rows[at]], logits(weights, by_word[at], v.word_base.take(kinds[at], axis=0))
+        yield at, by_word[at], v.entry[rows[at]], logits(weights, by_word[at], word_base.take(kinds[at], axis=0), join)
 
 
 def log_probabilities(v: Vocabulary, weights: np.ndarray, stream: Stream) -> np.ndarray:
@@ -242,33 +249,64 @@ def observed(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
 
 
 def add_rows(sums: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-    """sums[key] += row for all rows: those of one key are added in pairs until each key has one."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    while len(order):
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(first, len(keys)))
-        alone = first[n == 1]
-        sums[keys[alone]] += rows.take(order[alone], axis=0)
-        many = np.repeat(n > 1, n)
-        place = (np.arange(len(keys)) - np.repeat(first, n))[many]
-        order, keys = order[many], keys[many]
-        odd, even = np.flatnonzero(place & 1), np.flatnonzero(place & 1 == 0)
-        held = rows.take(order[even], axis=0)
-        # The odd row after the i-th even one; a last one may have none.
-        held[np.searchsorted(even, odd) - 1] += rows.take(order[odd], axis=0)
-        rows, keys, order = held, keys[even], np.arange(len(even))
-
-
-def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]]) -> None:
-    """Add to ``sums`` what the model expects ``observed`` to be."""
+    """sums[key] += row for all rows: the first of each key, then the second of each, and so on; keys of many rows alone."""
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(keys.astype(np.uint16), kind="stable") if len(sums) <= 1 << 16 else np.argsort(keys)
+    sort = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
+    n = np.diff(np.append(first, len(sort)))
+    falling = np.argsort(-n, kind="stable")
+    first, n = first[falling], n[falling]
+    many = int(np.searchsorted(-n, -OFTEN))
+    for a, k in zip(first[:many].tolist(), n[:many].tolist()):
+        sums[sort[a]] += rows.take(order[a : a + k], axis=0).sum(axis=0, dtype=np.float64)
+    first, n = first[many:], n[many:]
+    if len(first):
+        held = rows.take(order[first], axis=0)
+        for place in range(1, n[0]):
+            more = int(np.searchsorted(-n, -place))
+            held[:more] += rows.take(order[first[:more] + place], axis=0)
+        sums[sort[first]] += held
+
+
+def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]], odds: np.ndarray | None = None) -> None:
+    """Add to ``sums`` what the model expects ``observed`` to be. odds: the exponentials of the weights, if they are known."""
     stream = v.stream(texts)
+    odds = np.exp(weights) if odds is None else odds
+    bases = np.exp(v.class_base), np.exp(v.word_base)
+    windows = list(stream.windows())
+    for i in range(0, len(windows), WINDOWS):
+        some = windows[i : i + WINDOWS]
+        held = [(np.empty((len(some) * WINDOW, k), np.int64), np.empty((len(some) * WINDOW, CLASSES), odds.dtype)) for k in (CLASS_FEATURES, WORD_FEATURES)]
+        ends = [0, 0]
+        for window in some:
+            for of, (_, buckets, _, p) in enumerate(factors(v, odds, stream, window, bases, np.multiply)):
+                at = slice(ends[of], ends[of] + len(p))
+                held[of][0][at] = buckets
+                np.divide(p, p.sum(axis=1, keepdims=True), out=held[of][1][at])
+                ends[of] = at.stop
+        for (buckets, p), end in zip(held, ends):
+            for k in range(buckets.shape[1] if end else 0):
+                add_rows(sums, buckets[:end, k], p[:end])
+
+
+def expected_at_start(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
+    """``expected`` with all weights 0: each token has the shares of classes, and those of its class's entries."""
+    stream, seen = v.stream(texts), np.zeros(len(sums), np.int64)
+    kinds, words_of = [], []
     for window in stream.windows():
-        for _, buckets, _, z in factors(v, weights, stream, window):
-            p = np.exp(z, out=z)
-            p /= p.sum(axis=1, keepdims=True)
-            for k in range(buckets.shape[1]):
-                add_rows(sums, buckets[:, k], p)
+        by_class, by_word = stream.features(window)
+        seen += np.bincount(by_class.ravel(), minlength=len(sums))
+        kind = v.kind[stream.rows[window]]
+        at = np.flatnonzero(kind > SINGLES)
+        kinds.append(np.repeat(kind[at], WORD_FEATURES))
+        words_of.append(by_word[at].ravel())
+    share = lambda base: np.exp(base) / np.exp(base).sum(axis=-1, keepdims=True)
+    at = np.flatnonzero(seen)
+    sums[at] += seen[at, None] * share(v.class_base)
+    both, n = np.unique(np.concatenate(words_of) * CLASSES + np.concatenate(kinds), return_counts=True)
+    if len(both):
+        add_rows(sums, both // CLASSES, share(v.word_base)[both % CLASSES] * n[:, None])
 
 
 def update(weights: np.ndarray, data: np.ndarray, model: np.ndarray, rate: float) -> np.ndarray:
@@ -326,10 +364,14 @@ def train(docs: DataFrame, vocabulary, text: str = "text") -> np.ndarray:  # noq
     weights = np.zeros((buckets, CLASSES), np.float32)
     share, low = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(sum(STEPS))), 0
     for k, rate in zip(STEPS, RATES):
-        given = spark.sparkContext.broadcast(weights)
         some = docs.filter((share >= low) & (share < low + k))
-        weights = update(weights, data, _sum_over_tasks(some, text, buckets, lambda sums, texts, w=given: expected(vocabulary.value, w.value, sums, texts), np.float64), rate)
-        given.unpersist()
+        if low:
+            given = spark.sparkContext.broadcast((weights, np.exp(weights)))
+            model = _sum_over_tasks(some, text, buckets, lambda sums, texts, w=given: expected(vocabulary.value, w.value[0], sums, texts, w.value[1]), np.float64)
+            given.unpersist()
+        else:
+            model = _sum_over_tasks(some, text, buckets, lambda sums, texts: expected_at_start(vocabulary.value, sums, texts), np.float64)
+        weights = update(weights, data, model, rate)
         low += k
     return weights
 

@@ -986,3 +986,35 @@ def test_gram_order_counts():
     h = W.Hashes()
     a, b = h.of(["x", "y", "z"]), h.of(["y", "x", "z"])
     assert W.grams(a, 3)[0] != W.grams(b, 3)[0] and len(W.grams(a, 4)) == 0
+
+
+def test_lm_rows_are_added_by_key():
+    """Keys of many rows, of few and of one, in small and large tables."""
+    r = np.random.default_rng(5)
+    for size in (70_000, 500):
+        keys = np.concatenate([np.full(200, 3), r.integers(0, size, 700), np.full(33, 9), np.full(32, 11)])
+        x = r.random((len(keys), 4), dtype=np.float32)
+        got, want = np.ones((size, 4)), np.ones((size, 4))
+        lm.add_rows(got, keys, x)
+        np.add.at(want, keys, x)
+        assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_lm_first_expectation_needs_no_softmax():
+    """With weights of 0 what is expected is known from counts; other weights go through odds."""
+    texts = [[f"w{i * i % 97}" for i in range(k)] for k in (0, 1, 5, 400, 90)]
+    count = Counter(w for t in texts for w in t)
+    head = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:70]
+    sums = Counter()
+    for w, n in list(count.items()):
+        if w not in dict(head[: lm.SINGLES]):
+            sums[lm._shape(w)] += n + 1
+    v = lm.Vocabulary.build(head, sums, len(texts), sum(count.values()) + len(texts), len(count) + 1)
+    a, b = np.zeros((v.buckets, lm.CLASSES)), np.zeros((v.buckets, lm.CLASSES))
+    lm.expected(v, np.zeros((v.buckets, lm.CLASSES), np.float32), a, texts)
+    lm.expected_at_start(v, b, texts)
+    assert np.allclose(a, b, rtol=1e-4, atol=1e-5) and b.sum() > 0
+    a, b = np.zeros((v.buckets, lm.CLASSES)), np.zeros((v.buckets, lm.CLASSES))
+    lm.expected(v, np.zeros((v.buckets, lm.CLASSES), np.float32), a, [[]])
+    lm.expected_at_start(v, b, [[]])
+    assert np.allclose(a, b, rtol=1e-4, atol=1e-5)
