@@ -282,11 +282,21 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(t) for t in common], pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["a", "b", "fragment", "common", "cells"])
 
 
-def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sets_of(sets: DataFrame, pairs: DataFrame, side: str, name: str, parts: int) -> DataFrame:
+    """The sets of one side of the pairs, and few others: most sets are in no pair, and are not shuffled for any."""
+    shared = sets.sparkSession.sparkContext.broadcast(bitfilter.build(pairs, side, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bitfilter.passes(shared.value, b.column(0).to_numpy())))
+
+    return sets.select(F.col("owner").alias(side), "fragment", F.col("tokens").alias(name)).mapInArrow(run, f"{side} long, fragment int, {name} binary")
+
+
+def count_overlaps(pairs: DataFrame, sets: DataFrame, parts: int = 2) -> DataFrame:
     """(a, b, common, cells) of each pair: overlap counted in each fragment, then summed; cells: the overlap in each
-    cell of the whole order. sets: owner, n, fragment, tokens."""
-    left = sets.select(F.col("owner").alias("a"), "fragment", F.col("tokens").alias("x"))
-    right = sets.select(F.col("owner").alias("b"), "fragment", F.col("tokens").alias("y"))
+    cell of the whole order. sets: owner, n, fragment, tokens; owners are not negative."""
+    left, right = _sets_of(sets, pairs, "a", "x", parts), _sets_of(sets, pairs, "b", "y", parts)
     parts = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "x", "y").mapInArrow(_overlap, "a long, b long, fragment int, common long, cells array<int>")
     cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "cells"))), lambda p: p["cells"]))
     return parts.groupBy("a", "b").agg(F.sum("common").alias("common"), cells.alias("cells"))
@@ -326,7 +336,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = sets.filter("fragment = 0").select("owner", "n")
 
     def counted_links(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        counted = scratch.save(count_overlaps(pairs, sets), f"counted-{name}")
+        counted = scratch.save(count_overlaps(pairs, sets, parts), f"counted-{name}")
         sized_pairs = counted.join(size.select(F.col("owner").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("owner").alias("b"), "n"), "b")
         return counted, scratch.save(sized_pairs.filter("100 * common >= 75 * (m + n - common)").select("a", "b"), f"links-{name}")
 

@@ -1018,3 +1018,15 @@ def test_lm_first_expectation_needs_no_softmax():
     lm.expected(v, np.zeros((v.buckets, lm.CLASSES), np.float32), a, [[]])
     lm.expected_at_start(v, b, [[]])
     assert np.allclose(a, b, rtol=1e-4, atol=1e-5)
+
+
+def test_sets_of_no_pair_are_not_joined(spark):
+    """Of 2,000 sets, two pairs name three: few others pass the filter, and the overlaps are right."""
+    rows = [(i << 44, 4, 0, np.arange(i, i + 4, dtype=np.uint64).tobytes()) for i in range(2000)]
+    sets = spark.createDataFrame(rows, "owner long, n long, fragment int, tokens binary")
+    pairs = spark.createDataFrame([(5 << 44, 6 << 44), (5 << 44, 8 << 44)], "a long, b long")
+    left = [r["a"] for r in jaccard._sets_of(sets, pairs, "a", "x", 3).collect()]
+    right = [r["b"] for r in jaccard._sets_of(sets, pairs, "b", "y", 3).collect()]
+    assert 5 << 44 in left and {6 << 44, 8 << 44} <= set(right) and len(left) + len(right) < 40
+    assert sorted((r["a"] >> 44, r["b"] >> 44, r["common"]) for r in jaccard.count_overlaps(pairs, sets).collect()) == [(5, 6, 3), (5, 8, 1)]
+    assert jaccard.count_overlaps(pairs.limit(0), sets).count() == 0
