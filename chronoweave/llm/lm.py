@@ -212,14 +212,17 @@ def factors(v: Vocabulary, weights: np.ndarray, stream: Stream, window: slice, b
         yield at, by_word[at], v.entry[rows[at]], logits(weights, by_word[at], word_base.take(kinds[at], axis=0), join)
 
 
-def log_probabilities(v: Vocabulary, weights: np.ndarray, stream: Stream) -> np.ndarray:
-    """log10 of each token's probability, but for the counts of words outside the head: those have count 0 here."""
+def log_probabilities(v: Vocabulary, weights: np.ndarray, stream: Stream, odds: np.ndarray | None = None) -> np.ndarray:
+    """log10 of each token's probability, but for the counts of words outside the head: those have count 0 here. odds: the
+    exponentials of the weights, if they are known. No token's outcome has a share of 0, so every product is above 0."""
     kinds = v.kind[stream.rows]
+    odds = np.exp(weights) if odds is None else odds
+    bases = np.exp(v.class_base), np.exp(v.word_base)
     out = np.where((kinds > SINGLES) & (v.entry[stream.rows] == OWN), v.logc[stream.rows] - v.log_share[kinds], 0.0)
     for window in stream.windows():
-        for places, _, y, z in factors(v, weights, stream, window):
-            chosen = z[np.arange(len(y)), y].astype(np.float64)
-            out[window.start + places] += (chosen - np.log(np.exp(z, out=z).sum(axis=1))) / math.log(10)
+        for places, _, y, p in factors(v, odds, stream, window, bases, np.multiply):
+            chosen = p[np.arange(len(y)), y].astype(np.float64)
+            out[window.start + places] += np.log10(chosen / p.sum(axis=1))
     return out
 
 
@@ -400,6 +403,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w, at = vocabulary.value, given.value, TaskContext.get().partitionId() << 33
+        odds = np.exp(w)
         known_end = texts > 0
         for b in batches:
             for start, lists in _texts(b, 1):
@@ -407,7 +411,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 rows, n = stream.rows, stream.n
                 begin = np.cumsum(n) - n
                 logc = v.logc[rows]
-                model = log_probabilities(v, w, stream)
+                model = log_probabilities(v, w, stream, odds)
                 in_head = rows < v.rare
                 known = np.add.reduceat(in_head, begin, dtype=np.int64) + known_end
                 ids = at + np.arange(len(lists))

@@ -1030,3 +1030,19 @@ def test_sets_of_no_pair_are_not_joined(spark):
     assert 5 << 44 in left and {6 << 44, 8 << 44} <= set(right) and len(left) + len(right) < 40
     assert sorted((r["a"] >> 44, r["b"] >> 44, r["common"]) for r in jaccard.count_overlaps(pairs, sets).collect()) == [(5, 6, 3), (5, 8, 1)]
     assert jaccard.count_overlaps(pairs.limit(0), sets).count() == 0
+
+
+def test_lm_scores_take_known_odds():
+    """Scores from the weights' exponentials are those from the weights, for words of every kind."""
+    v, weights, _ = small_model(4)
+    texts = [["w3", "w70", "rare", "w5"] * 20, [], ["w1"]]
+    s = v.stream(texts)
+    want = np.zeros(len(s.rows))
+    for window in s.windows():
+        for places, _, y, z in lm.factors(v, weights, s, window):
+            z = z.astype(float)
+            want[window.start + places] += (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+    kinds = v.kind[s.rows]
+    want += np.where((kinds > lm.SINGLES) & (v.entry[s.rows] == lm.OWN), v.logc[s.rows] - v.log_share[kinds], 0.0)
+    got = lm.log_probabilities(v, weights, s, np.exp(weights))
+    assert np.allclose(got, want, atol=1e-5) and np.isfinite(got).all()
