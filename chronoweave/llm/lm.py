@@ -11,12 +11,14 @@ training rows). Then come synchronous updates: every task sums the model's expec
 rows at one common set of weights, the sums are added over all tasks, and one update is made with the whole. The rows
 of each update are a fixed share of all by hash of their text. So nothing depends on how the input is partitioned.
 
+Texts are cut into words once to count these, and once more to be written as numbers that training and scoring read.
 Scoring runs in numpy batches. Counts of frequent words are broadcast (a fixed bound); rarer words meet their counts
 in a join by word, so no count is dropped. The weights are broadcast too: 256 bytes for each of MOST_BUCKETS at most.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +47,8 @@ OWN = CLASSES - 1
 BUCKETS, MOST_BUCKETS, WORDS_A_BUCKET = 1 << 14, 1 << 18, 256
 #: Features of the class factor, and of the word factor.
 CLASS_FEATURES, WORD_FEATURES = 4, 2
-#: Tokens whose probabilities are held at a time, and characters of texts.
-WINDOW, CHARS = 8192, 1_000_000
+#: Tokens whose probabilities are held at a time, and characters or tokens of texts.
+WINDOW, CHARS, TOKENS = 8192, 1_000_000, 1 << 17
 #: Windows whose expectations are added up at once (40 MB), and rows of one key from which they are added alone.
 WINDOWS, OFTEN = 8, 32
 #: Updates: shares of the training rows in sixteenths, and step sizes. Counts added to a weight's and to a bucket's own.
@@ -57,8 +60,17 @@ def tokens(text: str | None) -> list[str]:
     return words(lower_ascii(text)) if text else []
 
 
+def _crc32(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+@functools.lru_cache(1 << 16)
+def _shape_of(end: str) -> int:
+    return _crc32(end) % SHAPES
+
+
 def _shape(word: str) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % SHAPES
+    return _shape_of(word[-2:])
 
 
 def _shape_column(word: Column) -> Column:
@@ -123,6 +135,11 @@ class Vocabulary:
             word_base = np.maximum(np.log(mass / mass.sum(axis=1, keepdims=True)), _NEVER).astype(np.float32)
         return cls(index, np.log10(counts), kind, entry, context, class_base, word_base, np.log10(mass[:, OWN]), total, distinct)
 
+    @functools.cached_property
+    def by_class(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of an ordered pair of classes (the nearer one times 128 comes first), and of the class three before."""
+        return tuple(_buckets(np.arange(n, dtype=np.uint64), i, self.buckets) for i, n in ((2, (CLASSES + 1) * 128), (3, CLASSES + 1)))
+
     def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(rows of all tokens with an end after each text, tokens of each text)."""
         end = self.rare + SHAPES
@@ -137,18 +154,37 @@ class Vocabulary:
             at += 1
         return out, n
 
-    def contexts(self, rows: np.ndarray, texts: list[list[str]]) -> np.ndarray:
-        """What features see of each token: every word by its own hash, in the head or not."""
+    def tail(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the words outside the head."""
+        return np.flatnonzero((rows >= self.rare) & (rows < self.rare + SHAPES))
+
+    def contexts(self, rows: np.ndarray, tail: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """What features see of each token: every word by its own hash, in the head or not (``seen``: those of ``tail``)."""
         out = self.context[rows]
-        tail = np.flatnonzero((rows >= self.rare) & (rows < self.rare + SHAPES)).tolist()
-        if tail:
-            flat = [w for t in texts for w in (*t, "")]
-            out[tail] = np.fromiter((zlib.crc32(flat[i].encode("utf-8", "surrogatepass")) for i in tail), np.uint64, len(tail))
+        out[tail] = seen
         return out
 
-    def stream(self, texts: list[list[str]]) -> Stream:
+    def stream(self, texts: list[list[str]] | Stream) -> Stream:
+        if isinstance(texts, Stream):
+            return texts
         rows, n = self.rows(texts)
-        return Stream(self, rows, n, self.contexts(rows, texts))
+        tail, seen = self.tail(rows), np.zeros(0, np.uint64)
+        if len(tail):
+            flat = [w for t in texts for w in (*t, "")]
+            seen = np.fromiter((_crc32(flat[i]) for i in tail.tolist()), np.uint64, len(tail))
+        return Stream(self, rows, n, self.contexts(rows, tail, seen))
+
+    def streams(self, b: pa.RecordBatch) -> Iterator[tuple[int, Stream]]:
+        """(first row, tokens) for slices of some TOKENS tokens of columns ``rows`` and ``seen``; a longer text stands alone."""
+        columns = [b.column(b.schema.get_field_index(c)) for c in ("rows", "seen")]
+        n = pc.binary_length(columns[0]).to_numpy().astype(np.int64) // 4
+        ends, start = np.cumsum(n), 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + TOKENS, side="right")))
+            rows, seen = (np.frombuffer(b"".join(x.slice(start, stop - start).to_pylist()), kind) for x, kind in zip(columns, (np.int32, np.uint32)))
+            rows = rows.astype(np.int64)
+            yield start, Stream(self, rows, n[start:stop], self.contexts(rows, self.tail(rows), seen))
+            start = stop
 
 
 @dataclass
@@ -178,11 +214,16 @@ class Stream:
             there = self.place[at] >= k
             back = np.where(there, at - k, 0)
             seen.append(np.where(there, self.context[back], v.context[begin]))
-            classes.append(np.where(there, v.kind[self.rows[back]], CLASSES).astype(np.uint64))
+            classes.append(np.where(there, v.kind[self.rows[back]], CLASSES))
         own = v.kind[self.rows[at]].astype(np.uint64) << np.uint64(40)
-        keys = [seen[0], seen[1], classes[0] * np.uint64(128) + classes[1], classes[2], seen[0] + own, seen[1] + own]
-        found = np.stack([mix(k * np.uint64(8) + np.uint64(i + 0x2545F490)) % np.uint64(v.buckets) for i, k in enumerate(keys)], axis=1).astype(np.int64)
-        return found[:, :CLASS_FEATURES], found[:, CLASS_FEATURES:]
+        pair, third = v.by_class
+        of = lambda i, key: _buckets(key, i, v.buckets)
+        by_class = [of(0, seen[0]), of(1, seen[1]), pair[classes[0] * 128 + classes[1]], third[classes[2]]]
+        return np.stack(by_class, axis=1), np.stack([of(4, seen[0] + own), of(5, seen[1] + own)], axis=1)
+
+
+def _buckets(keys: np.ndarray, feature: int, buckets: int) -> np.ndarray:
+    return (mix(keys * np.uint64(8) + np.uint64(feature + 0x2545F490)) % np.uint64(buckets)).astype(np.int64)
 
 
 def logits(weights: np.ndarray, buckets: np.ndarray, base: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
@@ -240,7 +281,7 @@ def _texts(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[str]
         yield start, held
 
 
-def observed(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
+def observed(v: Vocabulary, sums: np.ndarray, texts: list[list[str]] | Stream) -> None:
     """Add to ``sums`` (by bucket and outcome) how often each feature stands with each outcome."""
     stream, flat = v.stream(texts), sums.ravel()
     for window in stream.windows():
@@ -272,7 +313,7 @@ def add_rows(sums: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
         sums[sort[first]] += held
 
 
-def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]], odds: np.ndarray | None = None) -> None:
+def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[list[str]] | Stream, odds: np.ndarray | None = None) -> None:
     """Add to ``sums`` what the model expects ``observed`` to be. odds: the exponentials of the weights, if they are known."""
     stream = v.stream(texts)
     odds = np.exp(weights) if odds is None else odds
@@ -293,7 +334,7 @@ def expected(v: Vocabulary, weights: np.ndarray, sums: np.ndarray, texts: list[l
                 add_rows(sums, buckets[:end, k], p[:end])
 
 
-def expected_at_start(v: Vocabulary, sums: np.ndarray, texts: list[list[str]]) -> None:
+def expected_at_start(v: Vocabulary, sums: np.ndarray, texts: list[list[str]] | Stream) -> None:
     """``expected`` with all weights 0: each token has the shares of classes, and those of its class's entries."""
     stream, seen = v.stream(texts), np.zeros(len(sums), np.int64)
     kinds, words_of = [], []
@@ -322,14 +363,15 @@ def update(weights: np.ndarray, data: np.ndarray, model: np.ndarray, rate: float
     return (weights + rate * np.where(seen > 0, step, 0)).astype(np.float32)
 
 
-def _sum_over_tasks(docs: DataFrame, text: str, buckets: int, add, kind: type) -> np.ndarray:  # noqa: ANN001
-    """The sums (by bucket and outcome) that ``add`` makes of every batch of texts, added over all tasks."""
+def _sum_over_tasks(coded: DataFrame, vocabulary, add, kind: type) -> np.ndarray:  # noqa: ANN001
+    """The sums (by bucket and outcome) that ``add`` makes of every batch of coded texts, added over all tasks."""
+    buckets = vocabulary.value.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((buckets, CLASSES), kind)
         for b in batches:
-            for _, texts in _texts(b, 0):
-                add(sums, texts)
+            for _, stream in vocabulary.value.streams(b):
+                add(sums, stream)
         at = np.flatnonzero(sums.any(axis=1))
         for i in range(0, len(at), 10_000):
             some = at[i : i + 10_000]
@@ -351,8 +393,8 @@ def _sum_over_tasks(docs: DataFrame, text: str, buckets: int, add, kind: type) -
             sums[at] += np.add.reduceat(v[order].astype(np.float64), first)
         yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int64()), pa.array([x.tobytes() for x in sums[: len(where)]], pa.binary())], ["bucket", "v"])
 
-    local = docs.select(F.col(f"`{text}`")).mapInArrow(run, "bucket long, v binary")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = coded.select("rows", "seen").mapInArrow(run, "bucket long, v binary")
+    parts = max(1, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros((buckets, CLASSES))
     # As many rows as buckets, so MOST_BUCKETS at most.
     for r in local.repartition(parts, "bucket").mapInArrow(added, "bucket long, v binary").collect():
@@ -360,32 +402,82 @@ def _sum_over_tasks(docs: DataFrame, text: str, buckets: int, add, kind: type) -
     return out
 
 
-def train(docs: DataFrame, vocabulary, text: str = "text") -> np.ndarray:  # noqa: ANN001
-    """Weights from all rows: the observed counts of all, then one update for each of STEPS with its share of them."""
-    spark, buckets = docs.sparkSession, vocabulary.value.buckets
-    data = _sum_over_tasks(docs, text, buckets, lambda sums, texts: observed(vocabulary.value, sums, texts), np.int64)
-    weights = np.zeros((buckets, CLASSES), np.float32)
-    share, low = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(sum(STEPS))), 0
+def train(coded: DataFrame, vocabulary) -> np.ndarray:  # noqa: ANN001
+    """Weights from all coded rows that have a share: the observed counts of all, then one update for each of STEPS with
+    its share of them."""
+    spark, v = coded.sparkSession, vocabulary
+    learnt = coded.filter("share is not null")
+    data = _sum_over_tasks(learnt, v, lambda sums, stream: observed(v.value, sums, stream), np.int64)
+    weights, low = np.zeros((v.value.buckets, CLASSES), np.float32), 0
     for k, rate in zip(STEPS, RATES):
-        some = docs.filter((share >= low) & (share < low + k))
+        some = learnt.filter((F.col("share") >= low) & (F.col("share") < low + k))
         if low:
             given = spark.sparkContext.broadcast((weights, np.exp(weights)))
-            model = _sum_over_tasks(some, text, buckets, lambda sums, texts, w=given: expected(vocabulary.value, w.value[0], sums, texts, w.value[1]), np.float64)
+            model = _sum_over_tasks(some, v, lambda sums, stream, w=given: expected(v.value, w.value[0], sums, stream, w.value[1]), np.float64)
             given.unpersist()
         else:
-            model = _sum_over_tasks(some, text, buckets, lambda sums, texts: expected_at_start(vocabulary.value, sums, texts), np.float64)
+            model = _sum_over_tasks(some, v, lambda sums, stream: expected_at_start(v.value, sums, stream), np.float64)
         weights = update(weights, data, model, rate)
         low += k
     return weights
 
 
+def _code(source: DataFrame, vocabulary, texts: int, total: int, distinct: int) -> DataFrame:  # noqa: ANN001
+    """Each row of doc_id, text, share with an id, its tokens as rows of the vocabulary (32 bits each), the hashes that
+    features see of words outside the head (``seen``), how often the text has each of these (``rest``), and from the head's
+    counts alone how many tokens are known and the unigram score."""
+    floor = math.log10(total + distinct + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, at = vocabulary.value, TaskContext.get().partitionId() << 33
+        known_end = texts > 0
+        for b in batches:
+            for start, lists in _texts(b, 1):
+                stream = v.stream(lists)
+                rows, n = stream.rows, stream.n
+                begin = np.cumsum(n) - n
+                known = np.add.reduceat(rows < v.rare, begin, dtype=np.int64) + known_end
+                tail = v.tail(rows)
+                owner = np.searchsorted(begin, tail, side="right") - 1
+                # Of each text on its own, in order, so that a text's words follow each other.
+                rest: Counter = Counter((k, lists[k][j]) for j, k in zip((tail - begin[owner]).tolist(), owner.tolist()))
+                words_of = np.bincount(np.fromiter((k for k, _ in rest), np.int64, len(rest)), minlength=len(n))
+                ids = at + np.arange(len(lists))
+                at += len(lists)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids),
+                        b.column(0).slice(start, len(lists)),
+                        b.column(2).slice(start, len(lists)),
+                        pa.array(n),
+                        pa.array(known),
+                        pa.array(np.add.reduceat(v.logc[rows], begin) - n * floor),
+                        _binary(rows.astype(np.int32), n),
+                        _binary(stream.context[tail].astype(np.uint32), np.bincount(owner, minlength=len(n))),
+                        pa.MapArray.from_arrays(_offsets(words_of), pa.array([w for _, w in rest], pa.string()), pa.array(list(rest.values()), pa.int64())),
+                    ],
+                    ["row_id", "doc_id", "share", "n", "known", "base", "rows", "seen", "rest"],
+                )
+
+    return source.mapInArrow(run, "row_id long, doc_id long, share long, n long, known long, base double, rows binary, seen binary, rest map<string,long>")
+
+
+def _offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+
+
+def _binary(x: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The bytes of each n following elements."""
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, _offsets(n * x.itemsize).buffers()[1], pa.py_buffer(x)])
+
+
 def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every row's whole text with a model learnt from the rows where ``learn`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10. A null
     or empty text is the end token alone. Without training rows every count is 0. Repeated rows and null ids
     stay; other columns are read only as far as ``learn`` needs them. ids are read as long. A very long text is held
-    whole in one task, its probabilities a window at a time.
+    whole in one task (up to 2^29 tokens), its probabilities a window at a time.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     learnt = docs.filter(learn).select(F.col(f"`{text}`").alias("text"))
@@ -397,50 +489,28 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     total, distinct = sum(r["n"] for r in sums) + texts, sum(r["k"] for r in sums) + (texts > 0)
     built = Vocabulary.build(head, {r["s"]: r["n"] + r["k"] for r in sums if not r["single"]}, texts, total, distinct)
     vocabulary = spark.sparkContext.broadcast(built)
-    weights = train(learnt, vocabulary)
-    given = spark.sparkContext.broadcast(weights)
-    floor = math.log10(total + distinct + 1)
+    key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.when(learn, F.pmod(key, F.lit(sum(STEPS)))).alias("share"))
+    coded = scratch.save(_code(source, vocabulary, texts, total, distinct), "coded")
+    given = spark.sparkContext.broadcast(train(coded, vocabulary))
+    kept = ["row_id", "doc_id", "n", "known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, at = vocabulary.value, given.value, TaskContext.get().partitionId() << 33
+        v, w = vocabulary.value, given.value
         odds = np.exp(w)
-        known_end = texts > 0
         for b in batches:
-            for start, lists in _texts(b, 1):
-                stream = v.stream(lists)
-                rows, n = stream.rows, stream.n
-                begin = np.cumsum(n) - n
-                logc = v.logc[rows]
-                model = log_probabilities(v, w, stream, odds)
-                in_head = rows < v.rare
-                known = np.add.reduceat(in_head, begin, dtype=np.int64) + known_end
-                ids = at + np.arange(len(lists))
-                at += len(lists)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column(0).slice(start, len(lists)), pa.nulls(len(lists), pa.string()), pa.array(n), pa.array(known), pa.array(np.add.reduceat(logc, begin) - n * floor), pa.array(np.add.reduceat(model, begin))],
-                    _NAMES,
-                )
-                rest: Counter = Counter()
-                tail = np.flatnonzero(~in_head & (rows < v.rare + SHAPES))
-                owner = np.searchsorted(begin, tail, side="right") - 1
-                for j, k in zip((tail - begin[owner]).tolist(), owner.tolist()):
-                    rest[k, lists[k][j]] += 1
-                if rest:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[[k for k, _ in rest]]), pa.nulls(len(rest), pa.int64()), pa.array([x for _, x in rest], pa.string()), pa.array(list(rest.values()), pa.int64()), *[pa.nulls(len(rest), t) for t in (pa.int64(), pa.float64(), pa.float64())]],
-                        _NAMES,
-                    )
-
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    scored = scratch.save(source.mapInArrow(run, "row_id long, doc_id long, word string, n long, known long, base double, model double"), "scored")
+            for start, stream in v.streams(b):
+                model = np.add.reduceat(log_probabilities(v, w, stream, odds), np.cumsum(stream.n) - stream.n)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(start, len(model)) for i in range(len(kept))), pa.array(model)], [*kept, "model"])
+
+    scored = scratch.save(coded.select(*kept, "rows", "seen").mapInArrow(run, "row_id long, doc_id long, n long, known long, base double, model double"), "scored")
     rare = (
-        scored.filter("word is not null")
-        .select("row_id", "word", "n")
+        coded.select("row_id", F.explode("rest").alias("word", "n"))
         .join(counts.withColumnRenamed("n", "c"), "word")
         .groupBy("row_id")
         .agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
     )
-    whole = scored.filter("word is null").select("row_id", "doc_id", "n", "known", "base", "model").join(rare, "row_id", "left")
+    whole = scored.join(rare, "row_id", "left")
     more = F.coalesce(F.col("more"), F.lit(0.0))
     return whole.select(
         "doc_id",
@@ -450,6 +520,3 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         (F.col("base") + more).alias("base_score"),
         (F.col("model") + more).alias("score"),
     )
-
-
-_NAMES = ["row_id", "doc_id", "word", "n", "known", "base", "model"]

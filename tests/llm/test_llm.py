@@ -1046,3 +1046,35 @@ def test_lm_scores_take_known_odds():
     want += np.where((kinds > lm.SINGLES) & (v.entry[s.rows] == lm.OWN), v.logc[s.rows] - v.log_share[kinds], 0.0)
     got = lm.log_probabilities(v, weights, s, np.exp(weights))
     assert np.allclose(got, want, atol=1e-5) and np.isfinite(got).all()
+
+
+def test_lm_reads_texts_once_to_count_and_once_to_code(spark):
+    """Rows go through the source three times (words, their number, codes), however many updates and scores follow."""
+    read = spark.sparkContext.accumulator(0)
+
+    def texts(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"one two w{i % 9} w{i % 5} v{i}") for i in range(60)], "doc_id long, text string").mapInArrow(texts, "doc_id long, text string")
+    assert lm.score(docs, F.lit(True)).count() == 60 and read.value <= 3 * 60
+
+
+def test_lm_codes_are_the_texts(spark, monkeypatch):
+    """What is read back, in slices of any size, is what the words give; words outside the head keep their own hash."""
+    v, _, counts = small_model(5)
+    texts = [["w3", "rare", "zzz", "zzz", "w2999"], [], ["odd"], ["w1"] * 40 + ["é", "日本"], ["zzz"]]
+    source = spark.createDataFrame([(i, " ".join(t) if t else None, i % 2 or None) for i, t in enumerate(texts)], "doc_id long, text string, share long").coalesce(1)
+    table = lm._code(source, spark.sparkContext.broadcast(v), 5, 1000, 3003).toArrow().combine_chunks()
+    (b,) = table.to_batches()
+    whole = v.stream(texts)
+    for size in (1, 7, 1 << 17):
+        monkeypatch.setattr(lm, "TOKENS", size)
+        got = list(v.streams(b))
+        assert [start for start, _ in got] == [sum(len(s.n) for _, s in got[:i]) for i in range(len(got))] and len(got) == (1 if size > 100 else 5 if size == 1 else len(got))
+        for name in ("rows", "n", "context"):
+            assert np.array_equal(np.concatenate([getattr(s, name) for _, s in got]), getattr(whole, name))
+    rows = table.to_pylist()
+    assert [dict(r["rest"]) for r in rows] == [dict(Counter(w for w in t if w not in v.index)) for t in texts]
+    assert [r["known"] for r in rows] == [sum(w in v.index for w in t) + 1 for t in texts] and [r["share"] for r in rows] == [None, 1, None, 1, None]
